@@ -68,36 +68,33 @@ class RollingHash:
     """Hashes of all runs of a given length at once: a polynomial in an odd base modulo 2**64, by prefix sums."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = np.uint64(base | 1), np.uint64(pow(base | 1, -1, 1 << 64))
-
-    @staticmethod
-    def _powers(base: np.uint64, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
-        return np.multiply.accumulate(out)
-
-    def prefix(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(values)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self._powers(self.inverse, n), dtype=np.uint64, out=sums[1:])
-        return sums, self._powers(self.base, n + 1)
-
-    def runs(self, prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self.bases = np.uint64(base | 1), np.uint64(pow(base | 1, -1, 1 << 64))
+        self._powers = [np.ones(1, np.uint64)] * 2
+
+    def powers(self, which: int, n: int) -> np.ndarray:
+        if len(self._powers[which]) < n:
+            grown = np.full(max(n, 1 << 16), self.bases[which], np.uint64)
+            grown[0] = 1
+            self._powers[which] = np.multiply.accumulate(grown)
+        return self._powers[which][:n]
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.powers(1, len(values)), dtype=np.uint64, out=sums[1:])
+        return sums
+
+    def runs(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of values[start:end], for each pair."""
-        sums, powers = prefix
-        return mixed((sums[end] - sums[start]) * powers[start])
+        return mixed((sums[end] - sums[start]) * self.powers(0, len(sums))[start] + (end - start).astype(np.uint64))
 
 
-def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """The position of the leftmost minimum of each run of `width` values."""
-    n = len(values) - width + 1
+def sliding_minimum(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The position of the least hash (by its upper 32 bits, then the leftmost) of each run of `width`."""
+    n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    order = np.argsort(values, kind="stable")
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values))
-    pad = -len(rank) % width
-    blocks = np.concatenate([rank, np.full(pad, len(rank), np.int64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return order[np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])]
+    key = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
+    key = np.concatenate([key, np.full(-len(key) % width, 2**64 - 1, np.uint64)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(key, axis=1).ravel()
+    behind = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
