@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelscope.llm import languages, passages, simhash, suffixes
+from panelscope.llm import languages, passages, quality, simhash, suffixes
 from panelscope.llm.common import table
 
 
@@ -29,11 +29,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judged(docs).drop("text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {}
