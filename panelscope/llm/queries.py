@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelscope.llm import languages, passages, quality, simhash, suffixes
+from panelscope.llm import extraction, languages, mixing, passages, quality, resampling, simhash, suffixes, urls
 from panelscope.llm.common import table
 
 
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of the pages whose article, numbered in the URL's path, is labelled toxic."""
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    return table(spark, sf_dir, "pages").select("url", number.alias("doc_id")).join(toxic, "doc_id", "left_semi").select("url")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), listed_urls(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -24,22 +40,61 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.without_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judged(docs).drop("text", "lang")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_simhash": op2_simhash,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
+    "op6_html_extraction": op6_html_extraction,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+HOST = "coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
+
+SQL: dict[str, str] = {
+    "op1_url_filters": rf"""
+WITH parts AS (
+  SELECT page_id, url, {HOST} AS host, {PATH} AS path,
+         regexp_replace(regexp_replace(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '(^|&)(utm_[^=&]*|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&+', '') AS query
+  FROM pages),
+named AS (
+  SELECT page_id, url, host, path,
+         coalesce(concat(regexp_replace(host, '^www\.', ''), regexp_replace(path, '/+$', ''), CASE WHEN query <> '' THEN '?' || query ELSE '' END), '') AS canon
+  FROM parts),
+listed AS (
+  SELECT DISTINCT canon FROM named
+  WHERE canon <> '' AND try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+rules(verdict, host, path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+distinct_pages AS (SELECT DISTINCT host, path FROM named),
+best AS (
+  SELECT p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM distinct_pages p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.host, p.path)
+SELECT n.page_id, n.host, n.path, b.rule,
+       coalesce(b.verdict, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canon IS NOT NULL AS listed
+FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path LEFT JOIN listed l ON n.canon = l.canon
+""",
+}
