@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.llm.common import kept, mixed
@@ -141,17 +141,16 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
     masked classes; the others compare every member with the bucket's least and greatest node, in
     each of its up to segments * wildcards buckets.
     """
-    index = variants(nodes, p)
-    buckets = kept(index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"))
-    pairs = buckets.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    members = kept(index.join(buckets.where("n > 2"), "key"))
+    together = F.count("*").over(Window.partitionBy("key"))
+    members = kept(variants(nodes, p).withColumn("n", together).where("n > 1"))
     some = members.where(F.col("n") <= PAIRS)
     mate = some.select("key", F.col("node").alias("v"))
-    pairs = pairs.union(some.select("key", F.col("node").alias("u")).join(mate, "key").where("u < v").select("u", "v"))
+    pairs = some.select("key", F.col("node").alias("u")).join(mate, "key").where("u < v").select("u", "v")
     crowded = members.where(F.col("n") > PAIRS)
     if not p.exact:
-        for leader in ("lo", "hi"):
-            pairs = pairs.union(crowded.where(f"node <> {leader}").select(F.least("node", leader), F.greatest("node", leader)))
+        ends = crowded.join(crowded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "key")
+        for end in ("lo", "hi"):
+            pairs = pairs.union(ends.where(f"node <> {end}").select(F.least("node", end), F.greatest("node", end)))
     if p.width == 64:
         pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= p.distance).distinct()
         return pairs.union(_cliques(crowded.select("node").distinct(), p)) if p.exact else pairs
