@@ -21,11 +21,11 @@ from panelscope.llm.common import kept
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets of the models; how many raw counts of smoothing each bucket gets, spread as in the raw model; share of
-    the rows that have words to keep (None: the share of the target among the labelled rows); seed of the noise."""
+    """buckets of the models; raw counts of smoothing for each bucket; share of
+    the rows that have words to keep (None: the share of quality 1 among the labelled documents); seed of the noise."""
 
     buckets: int = 1 << 16
-    smoothing: float = 50_000.0
+    smoothing: float = 3.0
     share: float | None = None
     seed: int = 11
 
@@ -65,25 +65,20 @@ def models(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Ratio:
-    """Counts of the target, the raw model's probabilities, and the weight of the latter in the target's model."""
+    """Counts of the target and of all raw text; both are smoothed so that a bucket seen in neither tells nothing."""
 
     target: np.ndarray
-    total: float
     raw: np.ndarray
-    prior: float
-
-    @staticmethod
-    def of(target: np.ndarray, raw: np.ndarray, smoothing: float) -> Ratio:
-        return Ratio(target, float(target.sum()), (raw + 1e-3) / (raw + 1e-3).sum(), min(smoothing, raw.sum() / 10 + 1))
+    smoothing: float
 
     def log_weight(self, at: np.ndarray, own: bool) -> float:
-        """log of the target's likelihood over the raw one; own: the text is part of the target, and isn't counted there."""
-        if not self.total:
-            return 0.0
+        """log of the target's likelihood over the raw one, the text's own counts left out of both."""
         buckets, n = np.unique(at, return_counts=True)
-        seen = self.target[buckets] - (n if own else 0)
-        q = self.raw[buckets]
-        return float((n * np.log((seen + self.prior * q) / (self.total - own * len(at) + self.prior) / q)).sum())
+        total, everything = self.target.sum() - own * len(at), self.raw.sum() - len(at)
+        if total <= 0 or everything <= 0:
+            return 0.0
+        seen, raw = self.target[buckets] - n * own, self.raw[buckets] - n
+        return float((n * np.log((seen / total * everything + self.smoothing) / (raw + self.smoothing))).sum())
 
 
 def threshold(keys: DataFrame, k: int) -> int:
@@ -104,18 +99,19 @@ def resampled(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> D
     """doc_id, n_words, log_weight, sample_key and kept, one row for each row of docs.
 
     The target is the text of documents with a label of quality 1 and not toxic; several labels of
-    one document count as their best quality and worst toxicity. A document of the target is weighed
+    one document count as their best quality and worst toxicity. Every document is weighed
     without its own counts, so that labelled and other documents are treated alike. k is a share of the rows that have
     words; rows with keys equal to the k-th are all kept, so repeated rows stand or fall together.
     Null and blank texts have a weight and key of null and aren't kept. Without labels of the target
     all weights are 0 and the sample is uniform. Noise is a hash of doc_id, so reruns agree.
     """
     tags = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    tags = tags.select("doc_id", ((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target"))
-    share = s.share if s.share is not None else (tags.agg(F.avg(F.col("target").cast("int"))).first()[0] or 1.0)
+    good = F.coalesce(F.col("quality") == 1, F.lit(False))
+    share = s.share if s.share is not None else (tags.agg(F.avg(good.cast("int"))).first()[0] or 1.0)
+    tags = tags.select("doc_id", (good & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target"))
     rows = docs.select("doc_id", "text").join(tags, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     target, raw = models(rows, s.buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(Ratio.of(target, raw, s.smoothing))
+    shared = docs.sparkSession.sparkContext.broadcast(Ratio(target, raw, s.smoothing))
 
     @F.pandas_udf("n_words long, log_weight double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
