@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.llm.common import hash_words, kept, words_of
-from panelscope.llm.winnow import Units, contested, row_key, shared_segments, windows, with_texts
+from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segments, windows, with_texts
 
 LENGTH = 50
 #: An anchor with at most so many classes has its matches extended pair by pair; beyond, by window fingerprints.
@@ -29,55 +29,66 @@ def units(length: int = LENGTH) -> Units:
     return Units(lambda text: hash_words(words_of(text)), length, max(1, length // 6))
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+def _common(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """For each pair, how many units agree from a[a_at] and b[b_at] on in the direction of step, at most `most`."""
+    run, k = ragged(most)
+    differ = a[a_at[run] + step * k] != b[b_at[run] + step * k]
+    out = most.copy()
+    np.minimum.at(out, run[differ], k[differ])
+    return out
+
+
+def _joined(units: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Binary columns of units as one array, with each row's start and length."""
+    n = units.str.len().to_numpy(np.int64) // 8
+    return np.frombuffer(b"".join(units), np.int64), np.cumsum(n) - n, n
 
 
 def _extended(pairs: DataFrame, length: int) -> DataFrame:
-    """(row, first, count): windows of the later segment that the earlier one has too."""
+    """(row, first, count): windows of the later segment that the earlier one has too, by extension from the anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for x in batch.itertuples(index=False):
-                ahead = _common(x.units[x.off :], x.units_b[x.off_b :])
-                back = _common(x.units[: x.off][::-1], x.units_b[: x.off_b][::-1])
-                least, most = max(length - ahead, x.off - x.count + 1, 0), min(back, x.off)
-                if least <= most:
-                    found.append((x.row, x.first + x.off - most, most - least + 1))
-            yield pd.DataFrame(found, columns=["row", "first", "count"])
+        for x in batches:
+            if not len(x):
+                continue
+            (a, a_start, a_n), (b, b_start, b_n) = _joined(x["units"]), _joined(x["units_b"])
+            off, off_b, count = (x[c].to_numpy(np.int64) for c in ("off", "off_b", "count"))
+            ahead = _common(a, a_start + off, b, b_start + off_b, np.minimum(a_n - off, b_n - off_b), 1)
+            back = _common(a, a_start + off - 1, b, b_start + off_b - 1, np.minimum(off, off_b), -1)
+            least, most = np.maximum(np.maximum(length - ahead, off - count + 1), 0), np.minimum(back, off)
+            yield pd.DataFrame({"row": x["row"], "first": x["first"] + off - most, "count": most - least + 1})[least <= most]
 
     return pairs.mapInPandas(run, "row long, first int, count int")
 
 
 def _material(docs: DataFrame, classes: DataFrame, u: Units) -> DataFrame:
-    """The unit hashes of each class's owner."""
+    """The unit hashes of each class's owner, as binary."""
     wanted = classes.select("owner.row", "anchor", "owner.doc_id", "owner.first", "owner.count", "owner.off", "variants")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
-                values = u.split(text).view(np.int64)
-                out = pd.DataFrame(list(items))
-                out["units"] = [values[f : f + c + u.window - 1] for f, c in zip(out["first"], out["count"])]
-                yield out.assign(row=row)
+                values = u.split(text)
+                found += [(row, *i.values(), values[i["first"] : i["first"] + i["count"] + u.window - 1].tobytes()) for i in items]
+            yield pd.DataFrame(found, columns=["row", "anchor", "doc_id", "first", "count", "off", "variants", "units"])
 
-    return with_texts(docs, wanted).mapInPandas(run, "row long, anchor long, doc_id long, first int, count int, off int, variants long, units array<long>")
+    return with_texts(docs, wanted).mapInPandas(run, "row long, anchor long, doc_id long, first int, count int, off int, variants long, units binary")
 
 
 def _by_window(material: DataFrame, u: Units) -> DataFrame:
     """(row, first, count) by the fingerprints of all windows: an exact way for anchors with many classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch.itertuples(index=False):
-                w1, w2 = windows(x.units.view(np.uint64), 0, x.count, u)
-                yield pd.DataFrame({"w1": w1, "w2": w2, "row": x.row, "doc_id": x.doc_id, "first": x.first + np.arange(x.count)})
-
-    each = material.mapInPandas(run, "w1 long, w2 long, row long, doc_id long, first int")
+        for x in batches:
+            if not len(x):
+                continue
+            flat, start, _ = _joined(x["units"])
+            which, k = ragged(x["count"].to_numpy(np.int64))
+            w1, w2 = windows(flat.view(np.uint64), start[which] + k, u)
+            yield pd.DataFrame({"w1": w1, "w2": w2, "row": x["row"].to_numpy()[which], "doc_id": x["doc_id"].to_numpy()[which], "first": x["first"].to_numpy()[which] + k})
+
+    each = material.select("units", "row", "doc_id", "first", "count").mapInPandas(run, "w1 long, w2 long, row long, doc_id long, first int")
     least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     return each.join(least.drop("most"), ["w1", "w2"]).where("least < doc_id").select("row", "first", F.lit(1).alias("count"))
 

@@ -184,9 +184,11 @@ def _material(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
                 data = as_bytes(text)
-                yield pd.DataFrame([(row, i["first"], i["count"], i["n"], data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items], columns=["row", "first", "count", "n", "content"])
+                found += [(row, i["first"], i["count"], i["n"], data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items]
+            yield pd.DataFrame(found, columns=["row", "first", "count", "n", "content"])
 
     return with_texts(docs, wanted).mapInPandas(run, "row long, first int, count int, n long, content binary")
 

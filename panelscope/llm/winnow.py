@@ -53,11 +53,15 @@ def segments(values: np.ndarray, u: Units) -> dict[str, np.ndarray]:
     return {"anchor": mixed(grams[anchor]).view(np.int64), "h1": h1, "h2": h2, "first": first, "count": count, "off": anchor - first}
 
 
-def windows(values: np.ndarray, first: int, count: int, u: Units) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints of the segment's windows."""
-    part = values[first : first + count + u.window - 1]
-    at = np.arange(count)
-    return tuple(h.runs(h.prefix(part), at, at + u.window).view(np.int64) for h in HASHES)
+def ragged(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of the lengths n, one after another: each element's run, and its place in the run."""
+    run = np.repeat(np.arange(len(n)), n)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def windows(values: np.ndarray, start: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints of the windows that start there."""
+    return tuple(h.runs(h.prefix(values), start, start + u.window).view(np.int64) for h in HASHES)
 
 
 def segment_table(docs: DataFrame, u: Units) -> DataFrame:
@@ -92,5 +96,4 @@ def contested(classes: DataFrame) -> DataFrame:
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(row, text, items) for the rows of `wanted`; items lists its other columns, one text's own segments."""
     items = wanted.groupBy("row").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "row"])).alias("items"))
-    texts = docs.groupBy("row").agg(F.first("text").alias("text"))
-    return texts.join(items, "row")
+    return docs.select("row", "text").join(items, "row").dropDuplicates(["row"])
