@@ -1,4 +1,490 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the order tables, and the same in SQL for DuckDB.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Doubles are rounded to six digits on both sides, since sums and logarithms differ in the last bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum
+from panelscope.operators import panel as shapes
+from panelscope.plans import market
+from panelscope.schema import COUNTRY_REGION, EXCHANGE_COUNTRY, HORIZONS, VOL_WINDOWS
+
+#: Parameters of the comparison of detectors (fixed values).
+CUSUM, JUMP, TTEST, GP = (60, 4.0, 30), (40, 2.5, 30), (20, 0.01, 30), (21, 0.85, 0.5, 30, 10)
+TOLERANCE = 20
+METHODS = ["cusum", "jump", "ttest"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to six digits."""
+    return df.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
+def values(rows, columns: str) -> str:
+    quoted = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"(VALUES {quoted}) AS v({columns})"
+
+
+PANEL = f"""
+names AS (
+  SELECT s_suppkey, concat('S', s_suppkey, ' ', list_extract([{", ".join(f"'{s}'" for s in market.SUFFIXES)}], s_nationkey % {len(market.SUFFIXES)} + 1)) AS ticker
+  FROM supplier),
+panel AS (
+  SELECT CAST(l_shipdate AS DATE) AS date, ticker,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price
+  FROM lineitem JOIN names ON l_suppkey = s_suppkey GROUP BY ALL)"""
+WIN = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
+
+
+def lagged(kind: str, n: int) -> str:
+    if kind == "log":
+        return f"ln(price) - ln(lag(price, {n}) OVER w)"
+    return f"price / nullif(lag(price, {n}) OVER w, 0) - 1"
+
+
+LOGS = ", ".join(f'round({lagged("log", n)}, 6) AS "{name}_log_ret"' for n, name in HORIZONS)
+ARITHS = ", ".join(f'round({lagged("arith", n)}, 6) AS "{name}_arith_ret"' for n, name in HORIZONS)
+VOLS = ", ".join(
+    f'round(CASE WHEN count(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} '
+    f'THEN stddev_samp(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) * sqrt(252.0) END, 6) AS "{name}_vol"'
+    for n, name in VOL_WINDOWS
+)
+DAILY = f"daily AS (SELECT *, {lagged('log', 1)} AS lr FROM panel {WIN})"
+ENRICHED = f"""
+enriched AS (
+  SELECT p.*, regexp_extract(ticker, '(\\S+)\\s*$', 1) AS exchange, c.country, r.region
+  FROM panel p LEFT JOIN {values(EXCHANGE_COUNTRY, 'exchange, country').replace(' AS v(', ' AS c(')} ON regexp_extract(p.ticker, '(\\S+)\\s*$', 1) = c.exchange
+  LEFT JOIN {values(COUNTRY_REGION, 'country, region').replace(' AS v(', ' AS r(')} ON c.country = r.country)"""
+STACK = f"""
+r AS (SELECT *, {lagged('arith', 1)} AS r, row_number() OVER w = 1 AS starts FROM panel {WIN}),
+ew_daily AS (SELECT date, sum(r) AS total, count(*) FILTER (starts) AS starts FROM r GROUP BY date),
+ew_ret AS (SELECT date, coalesce(total, 0) / nullif(coalesce(sum(starts) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS ret FROM ew_daily),
+ew AS (SELECT date, CASE WHEN row_number() OVER (ORDER BY date) = 1 THEN 100.0
+       WHEN ret IS NOT NULL THEN 100 * product(1 + ret) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS price FROM ew_ret),
+given AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem GROUP BY 1),
+wide AS (SELECT g.date, g.price AS SXXR, e.price AS EW FROM given g JOIN ew e USING (date) WHERE g.price IS NOT NULL AND e.price IS NOT NULL),
+based AS (SELECT date, 100 * SXXR / first_value(SXXR) OVER (ORDER BY date) AS SXXR, 100 * EW / first_value(EW) OVER (ORDER BY date) AS EW FROM wide),
+levels AS (SELECT date, 'SXXR' AS benchmark, SXXR AS level FROM based UNION ALL SELECT date, 'EW', EW FROM based),
+dd AS (SELECT *, level / max(level) OVER (PARTITION BY benchmark ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown,
+       level / lag(level) OVER (PARTITION BY benchmark ORDER BY date) - 1 AS r FROM levels)"""
+
+
+def with_(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts) + "\n"
+
+
+@query(with_(PANEL) + "SELECT date, ticker, round(price, 6) AS price FROM panel")
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide matrix, one column for each of the tickers, made long again. The wide matrix holds what fits columns."""
+    panel = market.panel(spark, sf_dir)
+    tickers = sorted(r[0] for r in panel.select("ticker").distinct().toLocalIterator())
+    return r6(shapes.wide_to_long(shapes.long_to_wide(panel, "ticker", tickers)))
+
+
+@query(with_(PANEL) + f"SELECT date, ticker, {LOGS} FROM panel {WIN}")
+def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(features.add_log_returns(market.panel(spark, sf_dir)).drop("price"))
+
+
+@query(with_(PANEL) + f"SELECT date, ticker, {ARITHS} FROM panel {WIN}")
+def arith_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(features.add_arith_returns(market.panel(spark, sf_dir)).drop("price"))
+
+
+@query(with_(PANEL, DAILY) + f"SELECT date, ticker, {VOLS} FROM daily")
+def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(features.add_realized_vol(market.panel(spark, sf_dir)).drop("price"))
+
+
+@query(with_(PANEL, ENRICHED, DAILY.replace("FROM panel", "FROM enriched")) + f"SELECT date, ticker, round(price, 6) AS price, {LOGS}, {ARITHS}, {VOLS}, exchange, country, region FROM daily {WIN}")
+def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(shapes.finalize(shapes.add_country_region(features.add_features(market.panel(spark, sf_dir)))))
+
+
+@query(with_(PANEL, ENRICHED) + "SELECT ticker, exchange, country, region, count(*) AS n_rows FROM enriched GROUP BY ALL")
+def country_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.add_country_region(market.panel(spark, sf_dir)).groupBy("ticker", "exchange", "country", "region").agg(F.count("*").alias("n_rows"))
+
+
+for _column in ("country", "region"):
+
+    def _tickers_by(spark: SparkSession, sf_dir: str, column: str = _column) -> DataFrame:
+        return coverage.tickers_by(shapes.add_country_region(market.panel(spark, sf_dir)), column)
+
+    _tickers_by.__name__ = f"tickers_by_{_column}"
+    query(with_(PANEL, ENRICHED) + f"SELECT {_column}, count(DISTINCT ticker) AS n_tickers FROM enriched WHERE {_column} IS NOT NULL GROUP BY 1")(_tickers_by)
+
+
+@query(with_(PANEL) + "SELECT ticker, count(date) AS n_obs FROM panel GROUP BY 1")
+def ticker_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.coverage(market.panel(spark, sf_dir))
+
+
+@query(
+    with_(PANEL, "c AS (SELECT ticker, count(date) AS n_obs FROM panel GROUP BY 1)", "d AS (SELECT count(DISTINCT date) AS n_dates FROM panel)")
+    + "SELECT min(n_obs) AS min_obs, CAST(floor(median(n_obs)) AS BIGINT) AS median_obs, max(n_obs) AS max_obs, count(*) FILTER (n_obs = n_dates) AS full_history, count(*) AS n_tickers, max(n_dates) AS n_dates FROM c, d"
+)
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.coverage_summary(market.panel(spark, sf_dir))
+
+
+@query(with_(PANEL) + "SELECT date, round(count(DISTINCT ticker) / (SELECT count(DISTINCT ticker) FROM panel), 6) AS fraction FROM panel GROUP BY 1")
+def alive_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(coverage.alive_fraction(market.panel(spark, sf_dir)))
+
+
+@query(with_(PANEL) + "SELECT round(1 - count(price) / (count(DISTINCT date) * count(DISTINCT ticker)), 6) AS nan_fraction FROM panel")
+def nan_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(coverage.nan_fraction(market.panel(spark, sf_dir)))
+
+
+@query(with_(PANEL) + "SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, min(date) AS first_date, max(date) AS last_date FROM panel")
+def panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.panel_summary(market.panel(spark, sf_dir))
+
+
+@query(
+    with_(PANEL, f"x AS (SELECT greatest(-0.2, least(0.2, round({lagged('arith', 1)}, 6))) AS x, {lagged('arith', 1)} AS raw FROM panel {WIN})", "e AS (SELECT min(x) AS lo, max(x) AS hi FROM x WHERE raw IS NOT NULL)")
+    + "SELECT CAST(least(floor((x - lo) * 200 / (hi - lo)), 199) AS INTEGER) AS bin, count(*) AS n FROM x, e WHERE raw IS NOT NULL GROUP BY 1"
+)
+def return_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = market.panel(spark, sf_dir).select(F.round(features.arith_return(1), 6).alias("r"))
+    return coverage.histogram(daily, "r")
+
+
+@query(with_(PANEL, STACK) + "SELECT date, round(ret, 6) AS ret FROM ew_ret")
+def ew_return_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.equal_weight_returns(market.panel(spark, sf_dir)))
+
+
+@query(
+    with_(PANEL, "days AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM (SELECT DISTINCT date FROM panel))", f"x AS (SELECT date, day - lag(day) OVER w AS gap, {lagged('arith', 1)} AS r FROM panel JOIN days USING (date) {WIN})")
+    + "SELECT date, round(avg(CASE WHEN gap = 1 THEN r END), 6) AS ret FROM x GROUP BY 1"
+)
+def ew_return_nofill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.equal_weight_returns(market.panel(spark, sf_dir), "none"))
+
+
+@query(with_(PANEL, STACK) + "SELECT date, round(price, 6) AS price FROM ew")
+def ew_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.equal_weight_index(market.panel(spark, sf_dir)))
+
+
+def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.stacked(market.benchmark(spark, sf_dir), benchmarks.equal_weight_index(market.panel(spark, sf_dir)))
+
+
+@query(with_(PANEL, STACK) + "SELECT date, 'SXXR' AS benchmark, round(price, 6) AS price FROM given UNION ALL SELECT date, 'EW', round(price, 6) FROM ew")
+def benchmark_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(_stack(spark, sf_dir))
+
+
+@query(with_(PANEL, STACK) + "SELECT date, round(SXXR, 6) AS SXXR, round(EW, 6) AS EW FROM wide")
+def benchmark_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.side_by_side(_stack(spark, sf_dir)))
+
+
+@query(with_(PANEL, STACK) + "SELECT date, round(SXXR, 6) AS SXXR, round(EW, 6) AS EW FROM based")
+def benchmark_rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.rebased(_stack(spark, sf_dir)))
+
+
+@query(
+    with_(PANEL, STACK, "s AS (SELECT benchmark, avg(r) AS m, stddev_samp(r) * sqrt(252.0) AS vol, min(drawdown) AS low FROM dd GROUP BY 1)")
+    + "SELECT benchmark, round_even((pow(1 + m, 252) - 1) * 100, 2) AS cagr_pct, round_even(vol * 100, 2) AS vol_pct, round_even((pow(1 + m, 252) - 1) / vol, 2) AS sharpe, round_even(low * 100, 2) AS max_dd_pct FROM s"
+)
+def benchmark_risk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.risk_stats(_stack(spark, sf_dir))
+
+
+@query(with_(PANEL, STACK) + "SELECT date, benchmark, round(level, 6) AS level, round(drawdown, 6) AS drawdown FROM dd")
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.drawdowns(_stack(spark, sf_dir)))
+
+
+@query(with_(PANEL) + "SELECT date, ticker, round(price, 6) AS price FROM panel WHERE ticker LIKE 'S1 %'")
+def single_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(market.panel(spark, sf_dir).where(F.col("ticker").startswith("S1 ")).orderBy("date"))
+
+
+@query(with_(PANEL) + f"SELECT date, ticker, round(price, 6) AS price, round(100 * price / first_value(price) OVER w, 6) AS level FROM panel {WIN}")
+def rebase_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(benchmarks.rebased_first_valid(market.panel(spark, sf_dir)))
+
+
+RETURNS = f"ret AS (SELECT ticker, CAST(row_number() OVER w - 2 AS INTEGER) AS t, date, {lagged('arith', 1)} AS r FROM panel {WIN} QUALIFY t >= 0)"
+
+
+def z_cte(name: str, n: int) -> str:
+    frame = f"OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"""{name} AS (SELECT ticker, t, mu, sigma, CASE WHEN sigma >= 1e-12 THEN (r - mu) / sigma END AS z
+  FROM (SELECT *, avg(r) {frame} AS mu, stddev_samp(r) {frame} AS sigma FROM ret) WHERE t >= {n})"""
+
+
+def cooled_cte(name: str, candidates: str, cooldown: int) -> str:
+    return f"""{name}_lists AS (SELECT ticker, list_sort(list(t)) AS ts FROM {candidates} GROUP BY 1),
+{name}_steps AS (
+  SELECT ticker, ts, ts[1] AS t FROM {name}_lists
+  UNION ALL SELECT ticker, ts, list_filter(ts, lambda x: x - t > {cooldown})[1] FROM {name}_steps WHERE len(list_filter(ts, lambda x: x - t > {cooldown})) > 0),
+{name} AS (SELECT ticker, t FROM {name}_steps)"""
+
+
+def cusum_cte(name: str, n: int, threshold: float, cooldown: int) -> str:
+    return f"""{z_cte(name + '_z', n)},
+{name}_n AS (SELECT ticker, t, z, row_number() OVER (PARTITION BY ticker ORDER BY t) AS k FROM {name}_z WHERE z IS NOT NULL),
+{name}_lists AS (SELECT ticker, list(t ORDER BY k) AS ts, list(z ORDER BY k) AS zs FROM {name}_n GROUP BY 1),
+{name}_steps AS (
+  SELECT ticker, ts, zs, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, CAST({-cooldown - 1} AS INTEGER) AS last, false AS hit FROM {name}_lists
+  UNION ALL
+  SELECT ticker, ts, zs, k, CASE WHEN hit THEN 0 ELSE up END, CASE WHEN hit THEN 0 ELSE down END, CASE WHEN hit THEN ts[k] ELSE last END, hit FROM (
+    SELECT *, greatest(up, down) > {threshold} AND ts[k] - last > {cooldown} AS hit FROM (
+      SELECT ticker, ts, zs, k + 1 AS k, greatest(0, up + zs[k + 1] - 0.5) AS up, greatest(0, down - zs[k + 1] - 0.5) AS down, last
+      FROM {name}_steps WHERE k < len(ts)) a) b),
+{name} AS (SELECT ticker, ts[k] AS t FROM {name}_steps WHERE hit)"""
+
+
+def p_value(t: str, dof: str) -> str:
+    def integral(start: str) -> str:
+        weight = "CASE WHEN i = 0 OR i = 200 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+        value = f"CASE WHEN i = 200 THEN 0.0 ELSE pow(cos({start} + (pi() / 2 - {start}) * i / 200.0), {dof} - 1) END"
+        return f"(list_sum(list_transform(range(0, 201), lambda i: {weight} * {value})) * (pi() / 2 - {start}))"
+
+    return f"{integral(f'atan(abs({t}) / sqrt({dof}))')} / {integral('0.0')}"
+
+
+def welch_cte(name: str, n: int) -> str:
+    far = f"OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN {2 * n} PRECEDING AND {n + 1} PRECEDING)"
+    near = f"OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"""{name}_m AS (SELECT ticker, t, avg(r) {far} AS ma, var_samp(r) {far} / {n} AS va, avg(r) {near} AS mb, var_samp(r) {near} / {n} AS vb FROM ret),
+{name}_t AS (SELECT ticker, t, ma, mb, va, vb, (ma - mb) / nullif(sqrt(va + vb), 0) AS t_stat, (va + vb) * (va + vb) / nullif((va * va + vb * vb) / {n - 1}, 0) AS dof FROM {name}_m WHERE t >= {2 * n}),
+{name} AS (SELECT ticker, t, t_stat, dof, CASE WHEN va = 0 AND vb = 0 THEN CASE WHEN ma <> mb THEN 0.0 END ELSE {p_value('t_stat', 'dof')} END AS p FROM {name}_t)"""
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.simple_returns(market.panel(spark, sf_dir))
+
+
+@query(with_(PANEL, RETURNS, z_cte("z60", 60)) + "SELECT ticker, t, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(z, 6) AS z FROM z60")
+def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(detectors.zscores(_returns(spark, sf_dir), 60).select("ticker", "t", "mu", "sigma", "z"))
+
+
+JUMPS = z_cte("jz", JUMP[0]) + f", jc AS (SELECT ticker, t FROM jz WHERE abs(z) > {JUMP[1]})"
+
+
+@query(with_(PANEL, RETURNS, JUMPS) + "SELECT ticker, t FROM jc")
+def jump_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.jump_candidates(_returns(spark, sf_dir), *JUMP[:2])
+
+
+JUMP_CTE = JUMPS + "," + cooled_cte("jump", "jc", JUMP[2])
+WELCH = welch_cte("welch", TTEST[0])
+TTEST_CTE = WELCH + f", tc AS (SELECT ticker, t FROM welch WHERE p < {TTEST[1]})," + cooled_cte("ttest", "tc", TTEST[2])
+CUSUM_CTE = cusum_cte("cusum", *CUSUM)
+
+
+@query(with_(PANEL, RETURNS, JUMP_CTE) + "SELECT ticker, t FROM jump")
+def detect_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_jump(_returns(spark, sf_dir), *JUMP)
+
+
+@query(with_(PANEL, RETURNS, WELCH) + "SELECT ticker, t, round(t_stat, 6) AS t_stat, round(dof, 6) AS dof, round(p, 6) AS p FROM welch")
+def welch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(detectors.welch_stats(_returns(spark, sf_dir), TTEST[0]))
+
+
+@query(with_(PANEL, RETURNS, TTEST_CTE) + "SELECT ticker, t FROM ttest")
+def detect_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_ttest(_returns(spark, sf_dir), *TTEST)
+
+
+@query(with_(PANEL, RETURNS, CUSUM_CTE) + "SELECT ticker, t FROM cusum")
+def detect_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_cusum(_returns(spark, sf_dir), *CUSUM)
+
+
+EVENTS = f"""
+pos AS (SELECT ticker, date, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM panel {WIN}),
+near AS (SELECT ticker, event, min_by(pos, abs(date_diff('day', CAST(event_date AS DATE), date)) * 1000000 + pos) AS pos, any_value(n) AS n
+  FROM pos JOIN {values(market.EVENTS, 'event, event_date')} ON abs(date_diff('day', CAST(event_date AS DATE), date)) <= 7 GROUP BY 1, 2),
+cps AS (SELECT DISTINCT ticker, CAST(least(pos, n - 2) AS INTEGER) AS t FROM near WHERE n > 1)"""
+
+
+@query(with_(PANEL, EVENTS) + "SELECT ticker, t FROM cps")
+def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.match_events(market.panel(spark, sf_dir), market.events(spark))
+
+
+EVALUATED = f"""
+det AS (SELECT ticker, 'cusum' AS method, t FROM cusum UNION ALL SELECT ticker, 'jump', t FROM jump UNION ALL SELECT ticker, 'ttest', t FROM ttest),
+spine AS (SELECT DISTINCT ticker, method FROM cps, (VALUES ('cusum'), ('jump'), ('ttest')) AS m(method)),
+first_cp AS (SELECT d.ticker, d.method, d.t, min(c.t) AS cp FROM det d LEFT JOIN cps c ON d.ticker = c.ticker AND abs(d.t - c.t) <= {TOLERANCE} GROUP BY 1, 2, 3),
+best AS (SELECT ticker, method, cp, min_by(t, abs(t - cp) * 1000000 + t) AS t FROM first_cp WHERE cp IS NOT NULL GROUP BY 1, 2, 3),
+per AS (SELECT ticker, method, count(*) AS n_matched, avg(t - cp) AS mean_delay FROM best GROUP BY 1, 2),
+cnt AS (SELECT ticker, method, count(*) AS n_det, count(cp) AS n_tp FROM first_cp GROUP BY 1, 2),
+ncp AS (SELECT ticker, count(*) AS n_cps FROM cps GROUP BY 1),
+ev AS (SELECT s.ticker, s.method, coalesce(n_det, 0) AS n_det, coalesce(n_tp, 0) AS n_tp, coalesce(n_det, 0) - coalesce(n_tp, 0) AS n_fp,
+  CASE WHEN coalesce(n_det, 0) = 0 THEN 0.0 ELSE (n_det - n_tp) / n_det END AS fpr,
+  CASE WHEN coalesce(n_det, 0) = 0 THEN 0.0 WHEN coalesce(n_cps, 0) = 0 THEN 1.0 ELSE coalesce(n_matched, 0) / n_cps END AS recall, mean_delay
+  FROM spine s LEFT JOIN cnt USING (ticker, method) LEFT JOIN per USING (ticker, method) LEFT JOIN ncp USING (ticker))"""
+ALL = (PANEL, RETURNS, CUSUM_CTE, JUMP_CTE, TTEST_CTE, EVENTS, EVALUATED)
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = market.panel(spark, sf_dir)
+    returns = detectors.simple_returns(panel).cache()
+    found = detectors.labelled(cusum=detectors.detect_cusum(returns, *CUSUM), jump=detectors.detect_jump(returns, *JUMP), ttest=detectors.detect_ttest(returns, *TTEST))
+    cps = events.match_events(panel, market.events(spark))
+    return events.evaluate(found, cps, events.spine_of(cps, METHODS), TOLERANCE)
+
+
+@query(with_(*ALL) + "SELECT ticker, method, n_det, n_tp, n_fp, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(mean_delay, 6) AS mean_delay FROM ev")
+def evaluate_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(_evaluated(spark, sf_dir).drop("delays"))
+
+
+@query(
+    with_(*ALL)
+    + "SELECT method, round(avg(fpr), 6) AS mean_fpr, round(stddev_pop(fpr), 6) AS std_fpr, round(avg(recall), 6) AS mean_recall, round(stddev_pop(recall), 6) AS std_recall, round(avg(mean_delay), 6) AS mean_delay, count(*) AS n_tickers FROM ev GROUP BY 1"
+)
+def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(events.method_summary(_evaluated(spark, sf_dir)))
+
+
+@query(
+    with_(*ALL)
+    + "SELECT ticker, "
+    + ", ".join(f"round(max(CASE WHEN method = '{m}' THEN {c} END), 6) AS {m}_{c}" for m in METHODS for c in ("fpr", "recall"))
+    + " FROM ev GROUP BY 1"
+)
+def method_detail_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(events.detail(_evaluated(spark, sf_dir), METHODS))
+
+
+@query(with_(*ALL) + "SELECT ticker, method, n_det AS detections, format('{:.1f}%', fpr * 100) AS fpr, format('{:.1f}%', recall * 100) AS recall, coalesce(format('{:+.1f}', mean_delay), '-') AS mean_delay FROM ev WHERE ticker LIKE 'S1 %'")
+def single_ticker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.formatted(_evaluated(spark, sf_dir)).where(F.col("ticker").startswith("S1 "))
+
+
+@query(with_(PANEL, RETURNS, z_cte("z60", 60)) + "SELECT ticker, t, round(z, 6) AS z FROM z60 WHERE z IS NOT NULL ORDER BY abs(round(z, 6)) DESC, ticker, t LIMIT 5")
+def topk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = r6(detectors.zscores(_returns(spark, sf_dir), 60).select("ticker", "t", "z")).where("z is not null")
+    return z.orderBy(F.desc(F.abs("z")), "ticker", "t").limit(5)
+
+
+@query(with_(PANEL) + "SELECT date, ticker, round(price, 6) AS price FROM panel WHERE (year(date), ticker) IN (SELECT (year(date), ticker) FROM panel GROUP BY year(date), ticker HAVING count(*) >= 80)")
+def universe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = market.panel(spark, sf_dir)
+    listed = panel.groupBy(F.year("date").alias("year"), "ticker").agg(F.count("*").alias("n")).where("n >= 80")
+    return r6(shapes.in_universe(panel, listed))
+
+
+@query(
+    with_(PANEL, RETURNS, "x AS (SELECT ticker, t, max(date) OVER f AS last_date, list(r) OVER f AS w FROM ret WINDOW f AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING))")
+    + "SELECT ticker, t, last_date, CAST(len(w) AS INTEGER) AS n, round(list_sum(w), 6) AS total FROM x WHERE t >= 21 AND (t - 21) % 5 = 0"
+)
+def cpd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = gaussian.cpd_windows(_returns(spark, sf_dir), 21, 5)
+    return r6(made.select("ticker", "t", "last_date", F.size("window").alias("n"), F.aggregate("window", F.lit(0.0), lambda s, x: s + x).alias("total")))
+
+
+@query()
+def gp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth window of every ticker, as in the comparison of detectors."""
+    return gaussian.gp_scores(_returns(spark, sf_dir), GP[0], GP[4])
+
+
+@query()
+def detect_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookback, nu, gamma, cooldown, stride = GP
+    return gaussian.detect_gp(_returns(spark, sf_dir), lookback, nu, gamma, cooldown, stride)
+
+
+def ewm_sql(name: str, source: str, column: str, alpha: str) -> str:
+    """Moments with explicit weights (1 - alpha) ** age, over all rows before."""
+    return f"""{name} AS (SELECT a.ticker, a.t, sum(b.{column} * pow(1 - {alpha}, a.t - b.t)) / sum(pow(1 - {alpha}, a.t - b.t)) AS mean,
+  sum(pow(1 - {alpha}, a.t - b.t)) AS w, sum(pow(1 - {alpha}, 2 * (a.t - b.t))) AS w2, sum(b.{column} * b.{column} * pow(1 - {alpha}, a.t - b.t)) AS xx, count(*) AS n
+  FROM {source} a JOIN {source} b ON a.ticker = b.ticker AND b.t <= a.t WHERE b.{column} IS NOT NULL GROUP BY 1, 2)"""
+
+
+EWM_VOL = ewm_sql("e", "ret", "r", "(2.0 / 61)") + ", ewm AS (SELECT ticker, t, CASE WHEN n >= 2 THEN sqrt(greatest(0, xx / w - mean * mean) * w * w / (w * w - w2)) END AS vol FROM e)"
+
+
+@query(with_(PANEL, RETURNS, EWM_VOL) + "SELECT ticker, t, round(vol, 6) AS vol FROM ewm")
+def ewm_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(momentum.ewm_vol(_returns(spark, sf_dir)))
+
+
+@query(with_(PANEL, RETURNS, EWM_VOL) + "SELECT ticker, t, round(r * 0.15 / nullif(lag(vol) OVER (PARTITION BY ticker ORDER BY t) * sqrt(252.0), 0), 6) AS scaled FROM ret JOIN ewm USING (ticker, t)")
+def vol_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(momentum.vol_scaled(_returns(spark, sf_dir)))
+
+
+@query()
+def normalised_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(momentum.normalised_returns(market.panel(spark, sf_dir)))
+
+
+@query()
+def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(momentum.macd(market.panel(spark, sf_dir)))
+
+
+def _sign(n: int) -> str:
+    return f"sign({lagged('arith', n)})"
+
+
+@query(with_(PANEL) + f"SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, 0.5 * {_sign(252)} + 0.5 * {_sign(21)} AS position FROM panel {WIN}")
+def tsmom_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return momentum.tsmom_position(market.panel(spark, sf_dir))
+
+
+@query(
+    with_(
+        PANEL, RETURNS,
+        "lv AS (SELECT *, product(1 + r) OVER (PARTITION BY ticker ORDER BY t ROWS UNBOUNDED PRECEDING) AS level FROM ret WHERE r IS NOT NULL)",
+        "ld AS (SELECT *, level / greatest(1.0, max(level) OVER (PARTITION BY ticker ORDER BY t ROWS UNBOUNDED PRECEDING)) - 1 AS d FROM lv)",
+        """s AS (SELECT ticker, pow(1 + avg(r), 252) - 1 AS y, stddev_samp(r) * sqrt(252.0) AS v, sqrt(sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) / count(*)) * sqrt(252.0) AS dn, min(d) AS dd,
+           avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit, avg(CASE WHEN r > 0 THEN r END) AS g, avg(CASE WHEN r < 0 THEN r END) AS l FROM ld GROUP BY 1)""",
+    )
+    + "SELECT ticker, round(y, 5) AS ann_return, round(v, 6) AS ann_vol, round(y / v, 5) AS sharpe, round(y / dn, 5) AS sortino, round(dd, 6) AS max_drawdown, round(y / -dd, 5) AS calmar, round(hit, 6) AS hit_ratio, round(g / -l, 6) AS profit_loss FROM s"
+)
+def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = momentum.portfolio_metrics(_returns(spark, sf_dir))
+    coarse = ("ann_return", "sharpe", "sortino", "calmar")  # powers of 252 magnify the last bits
+    return made.select(*[F.round(c, 5 if c in coarse else 6).alias(c) if c != "ticker" else c for c in made.columns])
+
+
+def _last_sign(train):
+    """The model of the registered backtest: the sign of the mean training return, held throughout."""
+    side = 1.0 if train["r"].mean() >= 0 else -1.0
+    return lambda test: test["r"] * 0 + side
+
+
+@query(
+    with_(PANEL, RETURNS, "f(fold, s, e) AS (VALUES (0, DATE '1997-01-01', DATE '1999-01-01'), (1, DATE '1999-01-01', DATE '2001-01-01'), (2, DATE '2001-01-01', DATE '2002-01-01'))",
+          "tr AS (SELECT fold, ticker, CASE WHEN avg(r) >= 0 THEN 1.0 ELSE -1.0 END AS side FROM ret JOIN f ON date < s GROUP BY 1, 2)")
+    + "SELECT CAST(fold AS INTEGER) AS fold, ticker, date, CAST(side AS DOUBLE) AS position, round(r, 6) AS r FROM ret JOIN f ON date >= s AND date < e JOIN tr USING (fold, ticker)"
+)
+def expanding_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = backtest.folds(spark, 1995, 1997, 2002, 2)
+    return r6(backtest.expanding_window_backtest(_returns(spark, sf_dir), _last_sign, folds))
