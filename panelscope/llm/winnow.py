@@ -81,7 +81,8 @@ def shared_segments(docs: DataFrame, u: Units, *, across: bool) -> tuple[DataFra
     (anchor, h1, h2, owner, n), owner being the class's least segment and n the number of its segments."""
     found = kept(segment_table(docs, u))
     again = F.min("doc_id") < F.max("doc_id") if across else F.count("*") > 1
-    anchors = found.groupBy("anchor").agg(again.alias("again")).where("again").select("anchor")
+    # a table of its own, so that the join with a very common anchor can be split
+    anchors = kept(found.groupBy("anchor").agg(again.alias("again")).where("again").select("anchor"))
     shared = kept(found.join(anchors, "anchor", "left_semi"))
     owner = F.min(F.struct("doc_id", "row", "first", "count", "off")).alias("owner")
     return shared, kept(shared.groupBy("anchor", "h1", "h2").agg(owner, F.count("*").alias("n")))
