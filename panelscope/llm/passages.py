@@ -98,8 +98,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     u = units(length)
     docs = docs.where("doc_id is not null")
     shared, classes = shared_segments(docs, u, across=True)
-    owners = classes.select("anchor", "h1", "h2", F.col("owner.doc_id").alias("least"))
-    whole = shared.join(owners, ["anchor", "h1", "h2"]).where("least < doc_id").select("row", "first", "count")
+    owners = classes.select("anchor", "content", F.col("owner.doc_id").alias("least"))
+    whole = shared.join(owners, ["anchor", "content"]).where("least < doc_id").select("row", "first", "count")
     material = kept(_material(docs, contested(classes), u))
     few = material.where(F.col("variants") <= PAIRS)
     other = few.select("anchor", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "off", "units")])

@@ -1,20 +1,21 @@
 """Removal of repeated byte strings: a suffix array by a distributed merge sort that knows common prefixes.
 
-Suffixes are sorted by their first `length` bytes. Each task sorts the suffixes it has into runs, and
-front-codes them: an entry is the length of the prefix it shares with the one before, and the rest.
-Runs are exchanged by range of the sort order, and each range is merged by a loser tree that compares
-two entries from the prefix on which both agree with the last output, so that no known byte is read
-again. An entry whose shared prefix reaches `length` occurs twice.
-
-Which suffixes need sorting is known from winnowed anchors: equal strings have equal anchors, so a
-segment whose anchor occurs once has no repeat, and segments of equal content repeat in whole. What
-goes to the sort are the segments whose anchor is shared by several contents.
+The suffix array is sparse. Equal strings of `length` bytes have equal winnowed anchors at equal
+offsets, so only suffixes that start at an anchor are sorted, one for each content that an anchor's
+segment takes; a segment whose anchor occurs once has no repeat, and segments of equal content
+repeat in whole. Each task sorts the suffixes it has into a run and front-codes it: an entry is the
+length of the prefix shared with the entry before, and the rest. Runs are exchanged by range of the
+sort order, and each range is merged by a loser tree that compares two entries from the prefix on
+which both agree with the last output, so that no known byte is read again. The merge leaves the
+shared prefixes of neighbours; suffixes of one anchor stand together, and the window that begins d
+bytes before it repeats if two of them share length - d bytes from the anchor on and d bytes before.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.llm.common import kept
-from panelscope.llm.winnow import Units, contested, row_key, shared_segments, with_texts
+from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segments, windows, with_texts
 
 LENGTH = 200
-#: Suffixes in a sorted run, which bounds a task's memory to a few times RUN * LENGTH bytes.
-RUN = 1 << 16
-#: Suffixes in a range that one task merges, about, and strings sampled for each range's bound.
-RANGE, SAMPLE = 1 << 17, 16
+#: Suffixes in a sorted run, and in a range that one task merges, about; samples for each range's bound.
+RUN, RANGE, SAMPLE = 1 << 14, 1 << 14, 16
+#: Up to so many contents of one anchor are compared in pairs, beyond by classes of shared bytes; an anchor with more
+#: than CROWD is spread over tasks by the fingerprints of its windows.
+PAIRS, CROWD = 24, 20_000
 
 TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -43,32 +45,37 @@ def units(length: int = LENGTH) -> Units:
     return Units(lambda text: TABLE[np.frombuffer(as_bytes(text), np.uint8)], length, max(1, length // 6))
 
 
-def front_coded(strings: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Shared prefix lengths, and the rests one after another, of sorted rows of bytes."""
-    lcp = np.zeros(len(strings), np.int64)
-    if len(strings) > 1:
-        differ = strings[1:] != strings[:-1]
-        lcp[1:] = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
-    return lcp, strings[np.arange(strings.shape[1]) >= lcp[:, None]].tobytes()
+def shared_prefixes(strings: list[bytes]) -> np.ndarray:
+    """Of each with the one before; 0 for the first."""
+    size = np.array(list(map(len, strings)), np.int64)
+    if not len(size):
+        return size
+    table = np.zeros((len(strings), size.max() + 1), np.uint8)
+    table[np.arange(table.shape[1]) < size[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    out = np.zeros(len(strings), np.int64)
+    differ = table[1:] != table[:-1]
+    out[1:] = np.where(differ.any(1), differ.argmax(1), table.shape[1])
+    out[1:] = np.minimum(out[1:], np.minimum(size[1:], size[:-1]))
+    return out
 
 
-def decoded(lcp: np.ndarray, rests: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+def decoded(shared: np.ndarray, size: np.ndarray, rests: bytes) -> Iterator[tuple[int, bytes]]:
     at, last = 0, b""
-    for n in lcp.tolist():
-        end = at + length - n
+    for n, m in zip(shared.tolist(), size.tolist()):
+        end = at + m - n
         last = last[:n] + rests[at:end]
         at = end
         yield n, last
 
 
 def _mismatch(a: bytes, b: bytes, at: int) -> int:
-    """The first position from `at` on where a and b differ, else their length."""
-    n = len(a)
-    while at < n and a[at : at + 16] == b[at : at + 16]:
+    """The first position from `at` on where a and b differ, else the length of the shorter."""
+    n = min(len(a), len(b))
+    while at + 16 <= n and a[at : at + 16] == b[at : at + 16]:
         at += 16
     while at < n and a[at] == b[at]:
         at += 1
-    return min(at, n)
+    return at
 
 
 def merged(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]:
@@ -92,7 +99,7 @@ def merged(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]
         if shared[a] != shared[b]:
             return (a, b) if shared[a] > shared[b] else (b, a)
         at = _mismatch(x, y, shared[a])
-        if at < len(x) and x[at] > y[at]:
+        if x[at : at + 1] > y[at : at + 1]:
             a, b = b, a
         shared[b] = at
         return a, b
@@ -115,105 +122,187 @@ def merged(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]
             node //= 2
 
 
-RUNS = "range int, lcp binary, rests binary, row binary, at binary, sure_row binary, sure_at binary"
+RUNS = "range int, shared binary, size binary, rests binary, left_size binary, lefts binary, row binary, first binary, count binary, n binary"
 
 
-def sorted_runs(material: DataFrame, bounds: list[bytes], length: int) -> DataFrame:
-    """Front-coded runs by range. row and at say where an entry is, for entries that no other of the run equals
-    and that aren't known to repeat (else at is -1); sure_row and sure_at, which suffixes the run itself shows to repeat."""
-    cut = np.array(bounds, f"S{length}")
+def sorted_runs(material: DataFrame, bounds: list[bytes], gram: int) -> DataFrame:
+    """Front-coded runs by range. A range is of whole grams, so that an anchor's suffixes stay together."""
+    cut = np.array(bounds, f"S{gram}")
 
-    def one(strings: np.ndarray, row: np.ndarray, at: np.ndarray, known: np.ndarray) -> Iterator[dict]:
-        order = np.argsort(strings.view(f"S{length}").ravel(), kind="stable")
-        strings, row, at, known = strings[order], row[order], at[order], known[order]
-        new = np.r_[True, (strings[1:] != strings[:-1]).any(1)]
-        group = np.cumsum(new) - 1
-        twice = (np.bincount(group) > 1) | (np.bincount(group, known) > 0)
-        sure = twice[group] & ~known
-        heads = np.flatnonzero(new)
-        to = np.searchsorted(cut, strings[heads].view(f"S{length}").ravel(), side="right") if len(cut) else np.zeros(len(heads), np.int64)
+    def one(part: pd.DataFrame) -> Iterator[dict]:
+        keys = [c[o:] for c, o in zip(part["content"], part["off"])]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        part = part.iloc[order]
+        keys = [keys[k] for k in order]
+        lefts = [c[:o] for c, o in zip(part["content"], part["off"])]
+        to = np.searchsorted(cut, np.array([k[:gram] for k in keys], f"S{gram}"), side="right") if len(cut) else np.zeros(len(keys), np.int64)
         for k in np.unique(to):
-            mine = heads[to == k]
-            lcp, rests = front_coded(strings[mine])
-            also = sure & (to[group] == k)
-            yield {"range": k, "lcp": lcp.astype(np.int32).tobytes(), "rests": rests, "row": row[mine].tobytes(), "at": np.where(twice[group[mine]], -1, at[mine]).tobytes(), "sure_row": row[also].tobytes(), "sure_at": at[also].tobytes()}
+            at = np.flatnonzero(to == k)
+            mine, shared = [keys[i] for i in at], shared_prefixes([keys[i] for i in at])
+            numbers = {c: part[c].to_numpy(np.int64)[at].tobytes() for c in ("row", "first", "count", "n")}
+            yield {
+                "range": k, "shared": shared.astype(np.int32).tobytes(), "size": np.array(list(map(len, mine)), np.int32).tobytes(), "rests": b"".join(x[n:] for x, n in zip(mine, shared.tolist())),
+                "left_size": np.array([len(lefts[i]) for i in at], np.int32).tobytes(), "lefts": b"".join(lefts[i] for i in at), **numbers,
+            }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
-
-        def flush() -> pd.DataFrame:
-            parts = [np.concatenate(x) for x in zip(*held)]
-            return pd.DataFrame(list(one(*parts)))
-
         for batch in batches:
-            for x in batch.itertuples(index=False):
-                held.append((np.lib.stride_tricks.sliding_window_view(np.frombuffer(x.content, np.uint8), length), np.full(x.count, x.row), x.first + np.arange(x.count, dtype=np.int64), np.full(x.count, x.n > 1)))
-                n += x.count
-                if n >= RUN:
-                    yield flush()
-                    held, n = [], 0
+            held.append(batch)
+            n += len(batch)
+            if n >= RUN:
+                yield pd.DataFrame(list(one(pd.concat(held, ignore_index=True))))
+                held, n = [], 0
         if n:
-            yield flush()
-
-    return material.select("row", "first", "count", "n", "content").mapInPandas(run, RUNS)
-
+            yield pd.DataFrame(list(one(pd.concat(held, ignore_index=True))))
+
+    return material.select("row", "first", "count", "off", "n", "content").mapInPandas(run, RUNS)
+
+
+@dataclass
+class Entry:
+    """A suffix: the bytes before its anchor, where its segment is, and how often its content occurs."""
+
+    left: bytes
+    row: int
+    first: int
+    count: int
+    n: int
+
+    @property
+    def least(self) -> int:
+        """The least distance from a window of the segment to the anchor; the greatest is len(left)."""
+        return len(self.left) - self.count + 1
+
+    def span(self, least: int, most: int) -> tuple[int, int, int]:
+        """(row, first, count) of the windows at these distances."""
+        return self.row, self.first + len(self.left) - most, most - least + 1
+
+
+def _repeats_in_pairs(group: list[Entry], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    for i, a in enumerate(group):
+        ahead = length
+        for j in range(i + 1, len(group)):
+            ahead = min(ahead, shared[j])
+            b = group[j]
+            back = _mismatch(a.left[::-1], b.left[::-1], 0)
+            if back + ahead < length:
+                continue
+            for x in (a, b):
+                least, most = max(length - ahead, x.least), min(back, len(x.left))
+                if x.n == 1 and least <= most:
+                    yield x.span(least, most)
+
+
+def _repeats_in_classes(group: list[Entry], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """For each distance: entries are alike if they share enough after the anchor, by the runs of the shared prefixes,
+    and before it, by those of the reversed bytes in their own order."""
+    reverse = [e.left[::-1] for e in group]
+    order = sorted(range(len(group)), key=reverse.__getitem__)
+    behind = shared_prefixes([reverse[k] for k in order])
+    ahead = np.array(shared)
+    least, most = np.array([e.least for e in group]), np.array([len(e.left) for e in group])
+    single = np.array([e.n == 1 for e in group])
+    for d in range(max(0, int(least.min())), int(most.max()) + 1):
+        here = np.flatnonzero((least <= d) & (d <= most))
+        if len(here) < 2:
+            continue
+        by_left = np.empty(len(group), np.int64)
+        by_left[order] = np.cumsum(behind < d)
+        alike = np.cumsum(ahead < length - d)[here] * len(group) + by_left[here]
+        _, which, n = np.unique(alike, return_inverse=True, return_counts=True)
+        for k in here[(n[which] > 1) & single[here]].tolist():
+            yield group[k].span(d, d)
+
+
+def merged_runs(runs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(row, first, count): windows that repeat, of segments whose content occurs once."""
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        numbers = lambda c, kind: [np.frombuffer(x, kind) for x in part[c]]
+        size, left_size = numbers("size", np.int32), numbers("left_size", np.int32)
+        sources = [decoded(s, z, r) for s, z, r in zip(numbers("shared", np.int32), size, part["rests"])]
+        left_end = [np.cumsum(x) for x in left_size]
+        row, first, count, n = (numbers(c, np.int64) for c in ("row", "first", "count", "n"))
+        following = [0] * len(sources)
+        found: list[tuple[int, int, int]] = []
+        group: list[Entry] = []
+        shares: list[int] = []
 
-def merged_runs(runs: DataFrame, length: int) -> DataFrame:
-    """(row, first): suffixes whose first `length` bytes start elsewhere too."""
+        def close() -> None:
+            if len(group) > 1:
+                found.extend((_repeats_in_pairs if len(group) <= PAIRS else _repeats_in_classes)(group, shares, length))
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        sources = [decoded(np.frombuffer(a, np.int32), b, length) for a, b in zip(group["lcp"], group["rests"])]
-        row, at = ([np.frombuffer(x, np.int64) for x in group[c]] for c in ("row", "at"))
-        following = [0] * len(sources)
-        found, last = [], None
+        lefts = part["lefts"].to_list()
         for k, shared in merged(sources):
-            here = k, following[k]
+            i = following[k]
             following[k] += 1
-            if shared == length and last is not None:
-                found += [here] if last in found[-1:] else [last, here]
-            last = here
-        found = [(row[k][i], at[k][i]) for k, i in found if at[k][i] >= 0]
-        sure = pd.DataFrame({"row": np.concatenate([np.frombuffer(x, np.int64) for x in group["sure_row"]]), "first": np.concatenate([np.frombuffer(x, np.int64) for x in group["sure_at"]])})
-        return pd.concat([sure, pd.DataFrame(found, columns=["row", "first"])]).astype("int64")
+            if group and shared < gram:
+                close()
+                group, shares = [], []
+            end = int(left_end[k][i])
+            group.append(Entry(lefts[k][end - int(left_size[k][i]) : end], int(row[k][i]), int(first[k][i]), int(count[k][i]), int(n[k][i])))
+            shares.append(shared if len(group) > 1 else 0)
+        close()
+        return pd.DataFrame(found, columns=["row", "first", "count"]).astype("int64")
 
-    return runs.groupBy("range").applyInPandas(merge, "row long, first long")
+    return runs.groupBy("range").applyInPandas(merge, "row long, first long, count long")
 
 
 def _material(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    wanted = classes.select("owner.row", "owner.first", "owner.count", "n")
+    """The bytes of one segment of each class."""
+    wanted = classes.select("owner.row", "owner.first", "owner.count", "owner.off", "n", "variants")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
                 data = as_bytes(text)
-                found += [(row, i["first"], i["count"], i["n"], data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items]
-            yield pd.DataFrame(found, columns=["row", "first", "count", "n", "content"])
+                found += [(row, *i.values(), data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items]
+            yield pd.DataFrame(found, columns=["row", "first", "count", "off", "n", "variants", "content"])
 
-    return with_texts(docs, wanted).mapInPandas(run, "row long, first int, count int, n long, content binary")
+    return with_texts(docs, wanted).mapInPandas(run, "row long, first int, count int, off int, n long, variants long, content binary")
 
 
-def _bounds(material: DataFrame, length: int) -> list[bytes]:
-    """Range bounds: quantiles of a sample of suffixes, taken by hash, of SAMPLE for each range."""
-    total, segments = material.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+def _bounds(material: DataFrame, gram: int) -> list[bytes]:
+    """Range bounds: quantiles of a sample of grams, taken by hash, of SAMPLE for each range."""
+    total = material.count()
     ranges = total // RANGE + 1
     if ranges < 2:
         return []
-    share = min(1.0, 1.5 * SAMPLE * ranges / segments)
+    share = min(1.0, 1.5 * SAMPLE * ranges / total)
     drawn = material.where(F.pmod(F.xxhash64("row", "first"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    start = F.pmod(F.xxhash64("first", "row"), F.col("count")).cast("int")
-    sample = sorted(bytes(x[0]) for x in drawn.select(F.substring("content", 1 + start, F.lit(length))).collect())
+    sample = sorted(bytes(x[0]) for x in drawn.select(F.substring("content", F.col("off") + 1, F.lit(gram))).collect())
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
+def _by_window(material: DataFrame, u: Units) -> DataFrame:
+    """(row, first, count) of repeated windows by their fingerprints: an exact way for anchors with more than CROWD contents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                size = x["content"].str.len().to_numpy(np.int64)
+                which, k = ragged(x["count"].to_numpy(np.int64))
+                values = TABLE[np.frombuffer(b"".join(x["content"]), np.uint8)]
+                w1, w2 = windows(values, (np.cumsum(size) - size)[which] + k, u)
+                yield pd.DataFrame({"w1": w1, "w2": w2, "row": x["row"].to_numpy()[which], "n": x["n"].to_numpy()[which], "first": x["first"].to_numpy()[which] + k})
+
+    each = material.select("content", "row", "first", "count", "n").mapInPandas(run, "w1 long, w2 long, row long, n long, first long")
+    again = each.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+    return each.where("n = 1").join(again, ["w1", "w2"], "left_semi").select("row", "first", F.lit(1).cast("long").alias("count"))
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, first, count) runs of starts of strings that start elsewhere too; docs has row, doc_id and text."""
     u = units(length)
     shared, classes = shared_segments(docs, u, across=False)
-    whole = shared.join(classes.where("n > 1").select("anchor", "h1", "h2"), ["anchor", "h1", "h2"], "left_semi").select("row", F.col("first").cast("long"), F.col("count").cast("long"))
-    material = kept(_material(docs, contested(classes), length).repartition(F.xxhash64("row", "first")))
-    single = merged_runs(sorted_runs(material, _bounds(material, length), length), length)
-    return whole.union(single.select("row", "first", F.lit(1).cast("long")))
+    twice = classes.where("n > 1").select("anchor", "content")
+    whole = shared.join(twice, ["anchor", "content"], "left_semi").select("row", F.col("first").cast("long"), F.col("count").cast("long"))
+    material = kept(_material(docs, contested(classes), length))
+    sparse = material.where(F.col("variants") <= CROWD)
+    single = merged_runs(sorted_runs(sparse, _bounds(sparse, u.gram), u.gram), length, u.gram)
+    return whole.union(single).union(_by_window(material.where(F.col("variants") > CROWD), u))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every window's anchor is its least-hashed gram, so equal windows have equal anchors at equal offsets.
 Neighbouring windows that share an anchor form a segment, and a text is a chain of segments. Segments
-are compared in place of windows: those with one anchor and one content form a class.
+are compared in place of windows: those with one anchor and one content form a class: both are hashed by polynomials of their own, 128 bits together.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from panelscope.llm.common import RollingHash, kept, mixed, sliding_minimum
 
 HASHES = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xC2B2AE3D27D4EB4F)
 
-SEGMENT = "row long, doc_id long, anchor long, h1 long, h2 long, first int, count int, off int"
+SEGMENT = "row long, doc_id long, anchor long, content long, first int, count int, off int"
 
 
 def row_key() -> Column:
@@ -40,17 +40,16 @@ def segments(values: np.ndarray, u: Units) -> dict[str, np.ndarray]:
     """first: the segment's first window; count: its windows; off: its anchor's distance from first."""
     if len(values) < u.window:
         empty = np.zeros(0, np.int64)
-        return {"anchor": empty, "h1": empty, "h2": empty, "first": empty, "count": empty, "off": empty}
-    sums = [h.prefix(values) for h in HASHES]
+        return {"anchor": empty, "content": empty, "first": empty, "count": empty, "off": empty}
     at = np.arange(len(values) - u.gram + 1)
-    grams = HASHES[0].runs(sums[0], at, at + u.gram)
+    grams = HASHES[0].runs(HASHES[0].prefix(values), at, at + u.gram)
     anchors = sliding_minimum(grams, u.window - u.gram + 1)
     first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     count = np.diff(np.r_[first, len(anchors)])
     end = first + count + u.window - 1
     anchor = anchors[first]
-    h1, h2 = (h.runs(s, first, end).view(np.int64) for h, s in zip(HASHES, sums))
-    return {"anchor": mixed(grams[anchor]).view(np.int64), "h1": h1, "h2": h2, "first": first, "count": count, "off": anchor - first}
+    content = HASHES[1].runs(HASHES[1].prefix(values), first, end).view(np.int64)
+    return {"anchor": mixed(grams[anchor]).view(np.int64), "content": content, "first": first, "count": count, "off": anchor - first}
 
 
 def ragged(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +77,15 @@ def segment_table(docs: DataFrame, u: Units) -> DataFrame:
 
 def shared_segments(docs: DataFrame, u: Units, *, across: bool) -> tuple[DataFrame, DataFrame]:
     """The segments whose anchor occurs again (across: in a document of another doc_id), and their classes:
-    (anchor, h1, h2, owner, n), owner being the class's least segment and n the number of its segments."""
-    found = kept(segment_table(docs, u))
+    (anchor, content, owner, n), owner being the class's least segment and n the number of its segments. Segments are
+    made twice, for the anchors and for the join, as that costs less than keeping those of unshared text."""
+    found = segment_table(docs if across else docs.withColumn("doc_id", F.lit(None).cast("long")), u)
     again = F.min("doc_id") < F.max("doc_id") if across else F.count("*") > 1
     # a table of its own, so that the join with a very common anchor can be split
     anchors = kept(found.groupBy("anchor").agg(again.alias("again")).where("again").select("anchor"))
     shared = kept(found.join(anchors, "anchor", "left_semi"))
     owner = F.min(F.struct("doc_id", "row", "first", "count", "off")).alias("owner")
-    return shared, kept(shared.groupBy("anchor", "h1", "h2").agg(owner, F.count("*").alias("n")))
+    return shared, kept(shared.groupBy("anchor", "content").agg(owner, F.count("*").alias("n")))
 
 
 def contested(classes: DataFrame) -> DataFrame:
