@@ -131,7 +131,7 @@ LABELLED = (
     (22, 0.05, 60, 0.0, 41, 0.0, 0, 0, 1), (8, 0.0, 5, 1.0, 66, 0.0, 0, 1, 1), (6, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (160, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
     # menus, breadcrumbs, lists of links
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (1, 1.0, 1, 1.0, 2, 1.0, -1, 0, 0), (3, 1.0, 2, 1.0, 11, 0.0, -1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0), (9, 0.9, 7, 1.0, 8, 1.0, 0, 0, 0), (12, 0.8, 10, 0.9, 2, 1.0, 0, 0, 0), (25, 0.95, 4, 1.0, 30, 0.9, 0, 0, 0),
+    (4, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0), (9, 0.9, 7, 1.0, 8, 1.0, 0, 0, 0), (12, 0.8, 10, 0.9, 2, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0), (2, 1.0, 3, 1.0, 110, 0.0, 0, 0, 0), (1, 1.0, 0, 0.0, 45, 0.0, 0, 0, 0), (25, 0.95, 4, 1.0, 30, 0.9, 0, 0, 0),
     # headers, footers, adverts, notices, forms, sidebars and comments, some as long as paragraphs
     (5, 0.0, 2, 1.0, 9, 0.0, -1, 1, 0), (11, 0.0, 3, 1.0, 9, 0.0, -1, 0, 0), (16, 0.2, 50, 0.0, 0, 0.0, -1, 0, 0), (40, 0.0, 60, 0.0, 0, 0.0, -1, 0, 0),
     (90, 0.0, 35, 0.0, 45, 0.0, -1, 0, 0), (160, 0.0, 90, 0.0, 110, 0.0, -1, 0, 0), (22, 0.1, 1, 1.0, 7, 0.0, -1, 0, 0), (7, 0.0, 40, 0.0, 55, 0.0, -1, 1, 0),

@@ -22,11 +22,13 @@ from panelscope.llm.common import kept
 @dataclass(frozen=True)
 class Settings:
     """buckets of the models; raw counts of smoothing for each bucket; share of
-    the rows that have words to keep (None: the share of quality 1 among the labelled documents); seed of the noise."""
+    the rows that have words to keep (None: the share of quality 1 among the labelled documents); most labelled documents
+    that the target's model is fitted on, those of the least hash; seed of the noise."""
 
     buckets: int = 1 << 16
     smoothing: float = 3.0
     share: float | None = None
+    labelled: int = 20_000
     seed: int = 11
 
 
@@ -98,8 +100,8 @@ def threshold(keys: DataFrame, k: int) -> int:
 def resampled(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_words, log_weight, sample_key and kept, one row for each row of docs.
 
-    The target is the text of documents with a label of quality 1 and not toxic; several labels of
-    one document count as their best quality and worst toxicity. Every document is weighed
+    The target is the text of documents with a label of quality 1 and not toxic, s.labelled of them at
+    most; the raw model counts all rows. Several labels of one document count as their best quality and worst toxicity. Every document is weighed
     without its own counts, so that labelled and other documents are treated alike. k is a share of the rows that have
     words; rows with keys equal to the k-th are all kept, so repeated rows stand or fall together.
     Null and blank texts have a weight and key of null and aren't kept. Without labels of the target
@@ -108,8 +110,9 @@ def resampled(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> D
     tags = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = F.coalesce(F.col("quality") == 1, F.lit(False))
     share = s.share if s.share is not None else (tags.agg(F.avg(good.cast("int"))).first()[0] or 1.0)
-    tags = tags.select("doc_id", (good & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target"))
-    rows = docs.select("doc_id", "text").join(tags, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    chosen = tags.where(good & (F.coalesce("toxic", F.lit(0)) == 0)).orderBy(F.xxhash64(F.lit(s.seed), "doc_id"), "doc_id").limit(s.labelled)
+    # s.labelled ids at most, so texts are never shuffled
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("target"))), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     target, raw = models(rows, s.buckets)
     shared = docs.sparkSession.sparkContext.broadcast(Ratio(target, raw, s.smoothing))
 
@@ -131,5 +134,6 @@ def resampled(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> D
 
 
 def _ordered(key: Column) -> Column:
-    """A long in the order of the key: its value in units of 2**-32, from -2**31 to 2**31."""
-    return F.floor(F.greatest(F.lit(-(2.0**30)), F.least(F.lit(2.0**30), key)) * float(1 << 32)).cast("long")
+    """A long in the order of the key: its value in units of 2**-32, held within 2**30; null for null."""
+    held = F.greatest(F.lit(-(2.0**30)), F.least(F.lit(2.0**30), key))
+    return F.when(key.isNotNull(), F.floor(held * float(1 << 32)).cast("long"))
