@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import cache, reduce
+from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,18 +47,22 @@ def half_even(x: Column, digits: int = 2) -> Column:
     return F.bround(x, digits)
 
 
-#: Intervals of Simpson's rule.
-STEPS = 200
+#: Points of the Gauss-Legendre rule.
+POINTS = 40
+
+
+@cache
+def gauss_legendre() -> tuple[tuple[float, float], ...]:
+    """(point, weight) on 0..1."""
+    x, w = np.polynomial.legendre.leggauss(POINTS)
+    return tuple(zip(((x + 1) / 2).tolist(), (w / 2).tolist()))
 
 
 def _cosine_power(start: Column, power: Column) -> Column:
-    """Simpson's rule for the integral of cos(x) ** power from start to pi / 2, over its step's third."""
-    half_pi = math.pi / 2
-    weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-    at = lambda i: start + (F.lit(half_pi) - start) * i / float(STEPS)
-    value = lambda i: F.when(i == STEPS, 0.0).otherwise(F.pow(F.cos(at(i)), power))
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda s, i: s + weight(i) * value(i))
-    return total * (F.lit(half_pi) - start)
+    """The integral of cos(x) ** power from start to pi / 2, as a plain sum that stays in generated code."""
+    length = F.lit(math.pi / 2) - start
+    terms = [w * F.pow(F.cos(start + length * x), power) for x, w in gauss_legendre()]
+    return reduce(operator.add, terms) * length
 
 
 def student_t_two_sided(t: Column, dof: Column) -> Column:
@@ -63,6 +71,11 @@ def student_t_two_sided(t: Column, dof: Column) -> Column:
     return _cosine_power(angle, dof - 1) / _cosine_power(F.lit(0.0), dof - 1)
 
 
+def least_t(alpha: float) -> float:
+    """|t| below which no number of degrees of freedom gives a two-sided p under alpha: the normal quantile."""
+    return NormalDist().inv_cdf(1 - alpha / 2)
+
+
 def welch(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column, n: int) -> tuple[Column, Column]:
     """t and degrees of freedom for two samples of n values each; null if both variances are 0."""
     a, b = var_a / n, var_b / n

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.functions.stats import ratio_return, student_t_two_sided, welch
+from panelscope.functions.stats import least_t, ratio_return, student_t_two_sided, welch
 
 TINY = 1e-12
 
@@ -52,20 +52,24 @@ def detect_jump(returns: DataFrame, window: int = 60, threshold: float = 3.0, co
     return cooled(jump_candidates(returns, window, threshold), cooldown)
 
 
-def welch_stats(returns: DataFrame, window: int = 30) -> DataFrame:
-    """(ticker, t, t_stat, dof, p) for the `window` returns before t and the `window` before those. Twins that don't
-    vary have p 0 if their means differ, and null if not."""
+def welch_stats(returns: DataFrame, window: int = 30, least: float = 0.0) -> DataFrame:
+    """(ticker, t, t_stat, dof, p) for the `window` returns before t and the `window` before those, where |t_stat| is at
+    least `least`. Twins that don't vary have p 0 if their means differ, and null if not."""
     far, near = (_by_t().rowsBetween(-2 * window, -window - 1), _by_t().rowsBetween(-window, -1))
     moments = {f"{f}_{k}": fn("r").over(w) for k, w in (("far", far), ("near", near)) for f, fn in (("mean", F.avg), ("var", F.var_samp))}
     known = returns.withColumns(moments).where(F.col("t") >= 2 * window)
     t_stat, dof = welch(F.col("mean_far"), F.col("var_far"), F.col("mean_near"), F.col("var_near"), window)
     flat = (F.col("var_far") == 0) & (F.col("var_near") == 0)
+    known = known.withColumns({"t_stat": t_stat, "dof": dof})
+    if least:
+        known = known.where(flat | (F.abs("t_stat") >= least))
     p = F.when(flat, F.when(F.col("mean_far") != F.col("mean_near"), 0.0)).otherwise(student_t_two_sided(F.col("t_stat"), F.col("dof")))
-    return known.withColumns({"t_stat": t_stat, "dof": dof}).select("ticker", "t", "t_stat", "dof", p.alias("p"))
+    return known.select("ticker", "t", "t_stat", "dof", p.alias("p"))
 
 
 def detect_ttest(returns: DataFrame, window: int = 30, alpha: float = 0.001, cooldown: int = 20) -> DataFrame:
-    return cooled(welch_stats(returns, window).where(F.col("p") < alpha).select("ticker", "t"), cooldown)
+    """The p of rows whose t is too small at any number of degrees of freedom isn't computed."""
+    return cooled(welch_stats(returns, window, least_t(alpha)).where(F.col("p") < alpha).select("ticker", "t"), cooldown)
 
 
 def detect_cusum(returns: DataFrame, ref_window: int = 60, threshold: float = 4.0, cooldown: int = 20, slack: float = 0.5) -> DataFrame:

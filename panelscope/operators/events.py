@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEAR_DAYS = 7
@@ -12,14 +12,12 @@ def match_events(panel: DataFrame, events: DataFrame, days: int = NEAR_DAYS) ->
     """(ticker, t): for each event, the ticker's nearest row within `days` calendar days, the earlier on a tie; its
     position is read as one of the returns, and kept within them. events (event, event_date) is a list that people
     keep; it is joined by the dates within reach, so nothing is paired that isn't near."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("ticker").orderBy("date")
     placed = panel.select("ticker", "date", (F.row_number().over(w) - 1).alias("pos"), F.count("*").over(Window.partitionBy("ticker")).alias("n"))
     reach = events.select("event", "event_date", F.explode(F.expr(f"sequence(date_sub(event_date, {days}), date_add(event_date, {days}))")).alias("date"))
     near = placed.join(reach, "date").withColumn("away", F.abs(F.datediff("date", "event_date")))
     best = near.groupBy("ticker", "event", "event_date").agg(F.min(F.struct("away", "pos", "n")).alias("best"))
-    return best.where("best.n > 1").select("ticker", F.least("best.pos", F.col("best.n") - 2).alias("t")).distinct()
+    return best.where("best.n > 1").select("ticker", F.least("best.pos", F.col("best.n") - 2).cast("int").alias("t")).distinct()
 
 
 def evaluate(detections: DataFrame, events: DataFrame, spine: DataFrame, tolerance: int = 20) -> DataFrame:

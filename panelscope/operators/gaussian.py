@@ -192,7 +192,9 @@ def gp_scores(returns: DataFrame, lookback: int = 21, stride: int = 1, value: st
             nu, gamma = cpd_scores(np.stack(batch.to_list())) if len(batch) else (np.zeros(0), np.zeros(0))
             yield pd.DataFrame({"nu": nu, "gamma": gamma})
 
-    spread = cpd_windows(returns, lookback, stride, value).repartition("ticker", "t")
+    # a number of partitions that is asked for isn't reduced because the windows are few bytes
+    parts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cpd_windows(returns, lookback, stride, value).repartition(parts, "ticker", "t")
     scored = spread.select("ticker", "t", "last_date", score("window").alias("s"))
     return scored.select("ticker", "t", "last_date", F.when(~F.isnan("s.nu"), F.col("s.nu")).alias("nu"), F.when(~F.isnan("s.gamma"), F.col("s.gamma")).alias("gamma"))
 

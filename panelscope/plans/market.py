@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Exchange suffixes; the last six have no country (fixed values).
 SUFFIXES = ("LN", "FP", "GY", "NA", "IM", "SQ", "SE", "SS", "DC", "FH", "NO", "BB", "AV", "PL", "ID", "PW", "SW", "GA", "SM", "VX", "IR", "CK")
+LEVEL = 100_000.0
 #: Events inside the calendar of the order tables: two close together, one on a weekend, one far outside.
 EVENTS = (
     ("outside", "1990-01-02"), ("first", "1995-09-12"), ("second", "1996-03-05"), ("close", "1996-03-15"), ("weekend", "1997-06-14"),
@@ -29,6 +30,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.join(names, "l_suppkey").select("date", "ticker", "price")
 
 
+def calm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with prices raised by a constant: its returns are small, so that indices stay within the digits of a double."""
+    return panel(spark, sf_dir).withColumn("price", F.col("price") + LEVEL)
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, price): the mean price of all."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity")
