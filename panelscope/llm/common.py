@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,25 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with its text column compressed, for shuffles of whole texts; null stays null."""
+
+    @F.pandas_udf("binary")
+    def pack(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _zstd()[0].compress(t.encode("utf-8", "surrogatepass")) for t in batch], dtype=object)
+
+    return docs.withColumn(text, pack(text))
+
+
+def unpacked(data: bytes | None) -> str | None:
+    return None if data is None else _zstd()[1].decompress(data).decode("utf-8", "surrogatepass")
+
+
 def word_count(text: Column) -> Column:
     """The number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelscope.llm.common import hash_words, kept, words_of
+from panelscope.llm.common import hash_words, kept, packed, unpacked, words_of
 from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segments, windows, with_texts
 
 LENGTH = 50
@@ -69,7 +69,7 @@ def _material(docs: DataFrame, classes: DataFrame, u: Units) -> DataFrame:
         for batch in batches:
             found = []
             for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
-                values = u.split(text)
+                values = u.split(unpacked(text))
                 found += [(row, *i.values(), values[i["first"] : i["first"] + i["count"] + u.window - 1].tobytes()) for i in items]
             yield pd.DataFrame(found, columns=["row", "anchor", "doc_id", "first", "count", "off", "variants", "units"])
 
@@ -116,15 +116,17 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     smaller; rows with a null doc_id are kept whole and remove nothing.
     """
     made = ("n_words", "n_removed", "kept_text", "kept_sha256")
-    own = F.struct(*[c for c in docs.columns if c not in made]).alias("own")
+    columns = [c for c in docs.columns if c not in made]
+    own = F.struct(*[c for c in columns if c != "text"], F.lit(1).alias("_")).alias("own")
     docs = docs.select(own, "doc_id", "text", row_key().alias("row"))
     spans = repeated_windows(docs, length).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    held = docs.select("row", "own", "text").join(spans, "row", "left").select("own", "text", "spans")
+    held = packed(docs.select("row", "own", "text")).join(spans, "row", "left").select("own", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+            texts = list(map(unpacked, batch["text"].to_pylist()))
+            for text, spans in zip(texts, batch["spans"].to_pylist()):
                 words = words_of(text)
                 left = words
                 if spans:
@@ -137,7 +139,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((len(words), len(words) - len(left), joined.decode("utf-8", "surrogatepass"), hashlib.sha256(joined).hexdigest()))
             columns = zip(*rows) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["own"], *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["own", *made])
+            yield pa.RecordBatch.from_arrays([batch["own"], pa.array(texts, pa.string()), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["own", "text", *made])
 
-    schema = T.StructType([held.schema["own"], *(T.StructField(c, T.LongType() if c[1] == "_" and c[0] == "n" else T.StringType()) for c in made)])
-    return held.mapInArrow(run, schema).select("own.*", *made)
+    schema = T.StructType([held.schema["own"], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType() if c[1] == "_" and c[0] == "n" else T.StringType()) for c in made)])
+    return held.mapInArrow(run, schema).select(*[c if c == "text" else f"own.`{c}`" for c in columns], *made)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelscope.llm.common import kept
+from panelscope.llm.common import kept, packed, unpacked
 from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segments, windows, with_texts
 
 LENGTH = 200
@@ -257,7 +257,7 @@ def _material(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             found = []
             for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
-                data = as_bytes(text)
+                data = as_bytes(unpacked(text))
                 found += [(row, *i.values(), data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items]
             yield pd.DataFrame(found, columns=["row", "first", "count", "off", "n", "variants", "content"])
 
@@ -313,15 +313,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     counts as one more text. A cut can fall inside a character, so what is kept is bytes.
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256")
-    own = F.struct(*[c for c in docs.columns if c not in made]).alias("own")
+    columns = [c for c in docs.columns if c not in made]
+    own = F.struct(*[c for c in columns if c != "text"], F.lit(1).alias("_")).alias("own")
     docs = docs.select(own, "doc_id", "text", row_key().alias("row"))
     spans = repeated_strings(docs, length).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    held = docs.select("row", "own", "text").join(spans, "row", "left").select("own", "text", "spans")
+    held = packed(docs.select("row", "own", "text")).join(spans, "row", "left").select("own", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
+            texts = list(map(unpacked, batch["text"].to_pylist()))
+            for text, spans in zip(texts, batch["spans"].to_pylist()):
                 data = np.frombuffer(as_bytes(text), np.uint8)
                 edge = np.zeros(len(data) + 1, np.int64)
                 if spans:
@@ -333,7 +335,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((len(data), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0, left, hashlib.sha256(left).hexdigest()))
             columns = zip(*rows) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["own"], *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["own", *made])
+            yield pa.RecordBatch.from_arrays([batch["own"], pa.array(texts, pa.string()), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["own", "text", *made])
 
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.StringType())
-    return held.mapInArrow(run, T.StructType([held.schema["own"], *map(T.StructField, made, kinds)])).select("own.*", *made)
+    return held.mapInArrow(run, T.StructType([held.schema["own"], T.StructField("text", T.StringType()), *map(T.StructField, made, kinds)])).select(*[c if c == "text" else f"own.`{c}`" for c in columns], *made)

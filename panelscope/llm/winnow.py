@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import RollingHash, kept, mixed, sliding_minimum
+from panelscope.llm.common import RollingHash, kept, mixed, packed, sliding_minimum
 
 HASHES = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xC2B2AE3D27D4EB4F)
 
@@ -95,6 +95,6 @@ def contested(classes: DataFrame) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, text, items) for the rows of `wanted`; items lists its other columns, one text's own segments."""
+    """(row, text, items) for the rows of `wanted`, text packed; items lists its other columns, one text's own segments."""
     items = wanted.groupBy("row").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "row"])).alias("items"))
-    return docs.select("row", "text").join(items, "row").dropDuplicates(["row"])
+    return packed(docs.select("row", "text")).join(items, "row").dropDuplicates(["row"])
