@@ -65,9 +65,13 @@ def _cosine_power(start: Column, power: Column) -> Column:
     return reduce(operator.add, terms) * length
 
 
-def student_t_two_sided(t: Column, dof: Column) -> Column:
-    """P(|T| >= |t|) of Student's t with dof > 1, as a ratio of two integrals over the angle atan(t / sqrt(dof))."""
-    angle = F.atan(F.abs(t) / F.sqrt(dof))
+def t_angle(t: Column, dof: Column) -> Column:
+    return F.atan(F.abs(t) / F.sqrt(dof))
+
+
+def student_t_two_sided(angle: Column, dof: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with dof > 1, as a ratio of two integrals from angle = t_angle(t, dof). The angle is
+    best a column of its own, as it occurs in every term."""
     return _cosine_power(angle, dof - 1) / _cosine_power(F.lit(0.0), dof - 1)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.functions.stats import least_t, ratio_return, student_t_two_sided, welch
+from panelscope.functions.stats import least_t, ratio_return, student_t_two_sided, t_angle, welch
 
 TINY = 1e-12
 
@@ -60,10 +60,10 @@ def welch_stats(returns: DataFrame, window: int = 30, least: float = 0.0) -> Dat
     known = returns.withColumns(moments).where(F.col("t") >= 2 * window)
     t_stat, dof = welch(F.col("mean_far"), F.col("var_far"), F.col("mean_near"), F.col("var_near"), window)
     flat = (F.col("var_far") == 0) & (F.col("var_near") == 0)
-    known = known.withColumns({"t_stat": t_stat, "dof": dof})
+    known = known.withColumns({"t_stat": t_stat, "dof": dof}).withColumn("angle", t_angle(F.col("t_stat"), F.col("dof")))
     if least:
         known = known.where(flat | (F.abs("t_stat") >= least))
-    p = F.when(flat, F.when(F.col("mean_far") != F.col("mean_near"), 0.0)).otherwise(student_t_two_sided(F.col("t_stat"), F.col("dof")))
+    p = F.when(flat, F.when(F.col("mean_far") != F.col("mean_near"), 0.0)).otherwise(student_t_two_sided(F.col("angle"), F.col("dof")))
     return known.select("ticker", "t", "t_stat", "dof", p.alias("p"))
 
 

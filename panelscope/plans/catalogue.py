@@ -353,10 +353,10 @@ ALL = (PANEL, RETURNS, CUSUM_CTE, JUMP_CTE, TTEST_CTE, EVENTS, EVALUATED)
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = market.panel(spark, sf_dir)
+    panel = market.panel(spark, sf_dir).cache()
     returns = detectors.simple_returns(panel).cache()
     found = detectors.labelled(cusum=detectors.detect_cusum(returns, *CUSUM), jump=detectors.detect_jump(returns, *JUMP), ttest=detectors.detect_ttest(returns, *TTEST))
-    cps = events.match_events(panel, market.events(spark))
+    cps = events.match_events(panel, market.events(spark)).cache()
     return events.evaluate(found, cps, events.spine_of(cps, METHODS), TOLERANCE)
 
 

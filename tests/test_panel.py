@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.functions.stats import clipped, exchange_of, half_even, severity, sigmoid, student_t_two_sided
+from panelscope.functions.stats import clipped, exchange_of, half_even, severity, sigmoid, student_t_two_sided, t_angle
 from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum, panel
 from panelscope.sources import prices
 
@@ -109,7 +109,7 @@ def test_scalar_functions(spark):
 
 
 def test_student_t(spark):
-    rows = spark.createDataFrame([(2.0, 2.0), (2.8453, 20.0), (2.7116, 38.0)], "t double, v double").select(student_t_two_sided(F.col("t"), F.col("v")).alias("p")).collect()
+    rows = spark.createDataFrame([(2.0, 2.0), (2.8453, 20.0), (2.7116, 38.0)], "t double, v double").select(student_t_two_sided(t_angle(F.col("t"), F.col("v")), F.col("v")).alias("p")).collect()
     np.testing.assert_allclose([r["p"] for r in rows], [0.18350342, 0.010001, 0.009999], atol=1e-6)
 
 
