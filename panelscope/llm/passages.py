@@ -23,6 +23,7 @@ from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segm
 LENGTH = 50
 #: An anchor with at most so many classes has its matches extended pair by pair; beyond, by window fingerprints.
 PAIRS = 8
+SPANS = "anchor long, content long, at int, count int"
 
 
 def units(length: int = LENGTH) -> Units:
@@ -45,7 +46,8 @@ def _joined(units: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _extended(pairs: DataFrame, length: int) -> DataFrame:
-    """(row, first, count): windows of the later segment that the earlier one has too, by extension from the anchor."""
+    """(anchor, content, at, count): windows of the later class, from its first one on, that the earlier one has too, by
+    extension from the anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -56,14 +58,14 @@ def _extended(pairs: DataFrame, length: int) -> DataFrame:
             ahead = _common(a, a_start + off, b, b_start + off_b, np.minimum(a_n - off, b_n - off_b), 1)
             back = _common(a, a_start + off - 1, b, b_start + off_b - 1, np.minimum(off, off_b), -1)
             least, most = np.maximum(np.maximum(length - ahead, off - count + 1), 0), np.minimum(back, off)
-            yield pd.DataFrame({"row": x["row"], "first": x["first"] + off - most, "count": most - least + 1})[least <= most]
+            yield pd.DataFrame({"anchor": x["anchor"], "content": x["content"], "at": off - most, "count": most - least + 1})[least <= most]
 
-    return pairs.mapInPandas(run, "row long, first int, count int")
+    return pairs.mapInPandas(run, SPANS)
 
 
 def _material(docs: DataFrame, classes: DataFrame, u: Units) -> DataFrame:
     """The unit hashes of each class's owner, as binary."""
-    wanted = classes.select("owner.row", "anchor", "owner.doc_id", "owner.first", "owner.count", "owner.off", "variants")
+    wanted = classes.select("owner.row", "anchor", "content", "owner.doc_id", "owner.first", "owner.count", "owner.off", "variants")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,13 +73,13 @@ def _material(docs: DataFrame, classes: DataFrame, u: Units) -> DataFrame:
             for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
                 values = u.split(unpacked(text))
                 found += [(row, *i.values(), values[i["first"] : i["first"] + i["count"] + u.window - 1].tobytes()) for i in items]
-            yield pd.DataFrame(found, columns=["row", "anchor", "doc_id", "first", "count", "off", "variants", "units"])
+            yield pd.DataFrame(found, columns=["row", "anchor", "content", "doc_id", "first", "count", "off", "variants", "units"])
 
-    return with_texts(docs, wanted).mapInPandas(run, "row long, anchor long, doc_id long, first int, count int, off int, variants long, units binary")
+    return with_texts(docs, wanted).mapInPandas(run, "row long, anchor long, content long, doc_id long, first int, count int, off int, variants long, units binary")
 
 
 def _by_window(material: DataFrame, u: Units) -> DataFrame:
-    """(row, first, count) by the fingerprints of all windows: an exact way for anchors with many classes."""
+    """(anchor, content, at, count) by the fingerprints of all windows: an exact way for anchors with many classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -86,11 +88,11 @@ def _by_window(material: DataFrame, u: Units) -> DataFrame:
             flat, start, _ = _joined(x["units"])
             which, k = ragged(x["count"].to_numpy(np.int64))
             w1, w2 = windows(flat.view(np.uint64), start[which] + k, u)
-            yield pd.DataFrame({"w1": w1, "w2": w2, "row": x["row"].to_numpy()[which], "doc_id": x["doc_id"].to_numpy()[which], "first": x["first"].to_numpy()[which] + k})
+            yield pd.DataFrame({"w1": w1, "w2": w2, **{c: x[c].to_numpy()[which] for c in ("anchor", "content", "doc_id")}, "at": k})
 
-    each = material.select("units", "row", "doc_id", "first", "count").mapInPandas(run, "w1 long, w2 long, row long, doc_id long, first int")
+    each = material.select("units", "anchor", "content", "doc_id", "count").mapInPandas(run, "w1 long, w2 long, anchor long, content long, doc_id long, at int")
     least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return each.join(least.drop("most"), ["w1", "w2"]).where("least < doc_id").select("row", "first", F.lit(1).alias("count"))
+    return each.join(least.drop("most"), ["w1", "w2"]).where("least < doc_id").select("anchor", "content", "at", F.lit(1).alias("count"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -98,13 +100,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     u = units(length)
     docs = docs.where("doc_id is not null")
     shared, classes = shared_segments(docs, u, across=True)
-    owners = classes.select("anchor", "content", F.col("owner.doc_id").alias("least"))
-    whole = shared.join(owners, ["anchor", "content"]).where("least < doc_id").select("row", "first", "count")
     material = kept(_material(docs, contested(classes), u))
     few = material.where(F.col("variants") <= PAIRS)
     other = few.select("anchor", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "off", "units")])
     pairs = few.join(other, "anchor").where("doc_id_b < doc_id")
-    return whole.union(_extended(pairs, length)).union(_by_window(material.where(F.col("variants") > PAIRS), u))
+    found = _extended(pairs, length).union(_by_window(material.where(F.col("variants") > PAIRS), u))
+    spans = found.groupBy("anchor", "content").agg(F.collect_set(F.struct("at", "count")).alias("spans"))
+    # a table of its own, so that the join with a very common class can be split
+    told = kept(classes.join(spans, ["anchor", "content"], "left").where("n > 1 or spans is not null").select("anchor", "content", F.col("owner.doc_id").alias("least"), "spans"))
+    # later documents lose the segment in whole; all that the owner's doc_id has of it lose what is earlier still
+    lost = F.when(F.col("least") < F.col("doc_id"), F.array(F.struct(F.lit(0).alias("at"), "count"))).otherwise(F.col("spans"))
+    members = shared.join(told, ["anchor", "content"]).select("row", "first", F.explode(lost).alias("lost"))
+    return members.select("row", (F.col("first") + F.col("lost.at")).alias("first"), "lost.count")
 
 
 def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -166,6 +166,26 @@ def test_passages(spark, monkeypatch, pairs):
     assert sum(k[2] for k in want) > 1000
 
 
+@pytest.mark.parametrize("pairs", [8, 0])
+def test_passages_repeated_in_the_later_document(spark, monkeypatch, pairs):
+    monkeypatch.setattr(passages, "PAIRS", pairs)
+    rng = random.Random(11)
+    x, y, a, b, p = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (70, 70, 55, 55, 60))
+    rows = [(1, x + p + y), (2, a + p + b + a + p + b), (2, y[:9] + a + p + b), (3, b + a + p)]
+    first = {}
+    for d, w in rows:
+        for i in range(len(w) - 49):
+            first[tuple(w[i : i + 50])] = min(first.get(tuple(w[i : i + 50]), d), d)
+    want = Counter()
+    for d, w in rows:
+        gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+        want[d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone).encode())] += 1
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = passages.without_passages(df).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert sorted(k[:3] for k in want)[:3] == [(1, 200, 0), (2, 179, 60), (2, 340, 120)]
+
+
 @pytest.mark.parametrize("pairs, crowd, run, span", [(24, 20_000, 1 << 14, 1 << 14), (1, 20_000, 60, 64), (3, 4, 40, 32), (24, 1, 100, 100)])
 def test_suffixes(spark, monkeypatch, pairs, crowd, run, span):
     for name, value in (("PAIRS", pairs), ("CROWD", crowd), ("RUN", run), ("RANGE", span)):
