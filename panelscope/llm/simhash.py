@@ -45,6 +45,8 @@ NEAR = SimHash(shingle=5, width=768, segments=32, distance=116, wildcards=6)
 
 #: Largest bucket whose pairs are all compared.
 PAIRS = 32
+#: Signatures in a block of a crowded bucket, about; blocks are compared two by two.
+BLOCK = 2048
 SEED = 42
 
 
@@ -134,12 +136,40 @@ def _cliques(hot: DataFrame, p: SimHash) -> DataFrame:
     return one.join(least, ["mask", "rest"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def _across(crowded: DataFrame, known: DataFrame, nodes: DataFrame, p: SimHash) -> DataFrame:
+    """Verified links between different components of `known` in crowded buckets, enough to join all that a pair of the
+    bucket joins. Buckets of a single component have nothing to add; in others every member is compared with all of
+    other components, block by block."""
+    named = crowded.join(connected_components(known), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = kept(named.join(several, "key", "left_semi"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rest.join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        node, label, block = (x[c].to_numpy().copy() for c in ("node", "root", "block"))
+        sig = np.stack(x["sig"].to_list()).view(np.uint64)
+        inner, found = x["i"].iloc[0] == x["j"].iloc[0], []
+        for a in range(len(node) - 1):
+            at = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & (inner | (block[a + 1 :] != block[a])))
+            at = at[np.bitwise_count(sig[at] ^ sig[a]).sum(1, dtype=np.int64) <= p.distance]
+            if len(at):
+                met, one = np.unique(label[at], return_index=True)
+                found += [(node[a], v) for v in node[at[one]]]
+                label[np.isin(label, met)] = label[a]
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def links(nodes: DataFrame, p: SimHash) -> DataFrame:
     """(u, v) of verified links between different signatures; their components are those of all links.
 
     Buckets of up to PAIRS signatures are paired in full. In larger ones the exact parameters link by
-    masked classes; the others compare every member with the bucket's least and greatest node, in
-    each of its up to segments * wildcards buckets.
+    masked classes; the others compare every member with the bucket's least and greatest node, and
+    then members of different components among the links so far with one another.
     """
     together = F.count("*").over(Window.partitionBy("key"))
     members = kept(variants(nodes, p).withColumn("n", together).where("n > 1"))
@@ -153,11 +183,12 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
             pairs = pairs.union(ends.where(f"node <> {end}").select(F.least("node", end), F.greatest("node", end)))
     if p.width == 64:
         pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= p.distance).distinct()
-        return pairs.union(_cliques(crowded.select("node").distinct(), p)) if p.exact else pairs
+        return pairs.union(_cliques(crowded.select("node").distinct(), p)) if p.exact else pairs.union(_across(crowded, pairs, nodes, p))
     left, right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
     both = pairs.distinct().join(left, "u").join(right, "v")
     differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return both.where(differ <= p.distance).select("u", "v")
+    found = kept(both.where(differ <= p.distance).select("u", "v"))
+    return found if p.exact else found.union(_across(crowded, found, nodes, p))
 
 
 def near_duplicates(docs: DataFrame, p: SimHash = CONTRACT) -> DataFrame:

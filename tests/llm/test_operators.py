@@ -123,6 +123,28 @@ def test_near_parameters(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_crowded_buckets_keep_stars(spark, monkeypatch, block):
+    """Edits of two originals, each near its original only; all share one bucket, of which no original is an end."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng, p = random.Random(8), simhash.SimHash(width=128, segments=8, distance=14, wildcards=1)
+    bits, rows = {}, []
+    for hub in (500, 600):
+        base = 0 if hub == 500 else int("5555" * 7, 16)
+        bits[hub] = base
+        for k in range(40):
+            # two bits in each segment but the first; the wildcard is bit 0 and never one of them
+            bits[2 * k + (hub == 600) + (1000 if k % 2 else 0)] = base ^ sum(1 << 16 * g + b for g in range(7) for b in rng.sample(range(15), 2))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for n, b in bits.items():
+        rows.append((n, n, [signed(b >> 64), signed(b & (1 << 64) - 1)], bytes(8)))
+    nodes = spark.createDataFrame(rows, "node long, least long, sig array<long>, at binary")
+    near = [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= p.distance]
+    assert {x for e in near for x in e} == set(bits) and len(near) < 90
+    got = [(r["u"], r["v"]) for r in simhash.links(nodes, p).collect()]
+    assert set(got) <= set(near) and closed(bits, got) == closed(bits, near)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], TEXT)
     assert simhash.near_duplicates(empty).count() == 0
