@@ -362,6 +362,25 @@ def test_decontamination(spark):
         assert got == Counter(planted.items()) + Counter({(202, 0): 2})
 
 
+def test_rare_words_are_rare_themselves(spark):
+    """The answer check goes by words, also where buckets hold several: paraphrases that keep an item's rare words and
+    change half of its common ones have the whole answer."""
+    rng = random.Random(12)
+    docs = [[f"c{rng.randrange(1000)}" for _ in range(150)] for _ in range(150)]
+    items = []
+    for k in range(6):
+        item = [f"r{k}x{j}" for j in range(10)] + [f"c{x}" for x in rng.sample(range(1000), 20)]
+        rng.shuffle(item)
+        changed = set(rng.sample([j for j in range(30) if item[j][0] == "c"], 10))
+        docs[k][70:70] = [f"o{k}x{j}" if j in changed else w for j, w in enumerate(item)]
+        items.append(item)
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    s = decontamination.Settings(features=256, rank=64, cosine=0.0)
+    got = {(r["doc_id"], r["item_id"]): r["answer"] for r in decontamination.leaks(df, bench, s).collect()}
+    assert got == {(k, k): 1.0 for k in range(6)}
+
+
 def test_common_subsequence():
     rng = random.Random(12)
     for _ in range(50):
