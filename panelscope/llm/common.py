@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -21,29 +24,57 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """A setting of the session, for the operators read whole texts in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, and driver and executors are
+    one process, a folder of our own; on a cluster that is an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="panelscope-"))
         found = context.getCheckpointDir()
     return found
 
 
+#: Folders of the tables written inside each cleared(), innermost last.
+_written: list[list[str]] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back, which cuts the lineage and survives lost executors.
+    What is read later needs the table, so it stays until whoever asked is done: see cleared()."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that operators keep inside, at the end; results must have been written by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        java = spark.sparkContext._jvm
+        for path in map(java.org.apache.hadoop.fs.Path, _written.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @cache
 def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()

@@ -2,7 +2,8 @@
 
 For each language, a suffix automaton of labelled text gives the longest match of a text at any
 position. A text is parsed greedily into longest matches; the language whose automaton needs the
-fewest phrases for each character wins. Parsing is done in blocks, all of a batch at once.
+fewest phrases for each character wins. Automata are made where the labelled text is, one task for
+each language, and keep their edges alone, so that neither letters nor languages need a limit.
 """
 
 from __future__ import annotations
@@ -15,23 +16,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelscope.llm.common import kept
+
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Bounds:
     """The labelled sample: texts taken for each language (those of the least hash), and characters of each, from a
-    hashed place; and the most languages, by number of labelled texts. All bound the model, not what it is applied to."""
+    hashed place. Both bound a language's model (to about 2 MB), not what it is applied to."""
 
     texts: int = 160
     chars: int = 300
-    languages: int = 64
 
 
-#: Distinct symbols of the automata; rarer characters count as one.
-SYMBOLS = 63
-#: Characters parsed at a stretch; a phrase ends where its block does.
-BLOCK = 128
+#: Characters between the places from which a text is parsed side by side; it changes nothing in the result.
+STRIDE = 256
+#: Characters parsed together, about, and languages whose models a worker holds at a time.
+CHARS, TOGETHER = 1 << 20, 32
+
+MODEL = "lang string, letters binary, base binary, cells binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,8 +47,8 @@ def folded(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (states, width) of the suffix automaton; 0 is the start, and 0 means none as well."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, a dict for each state; 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -71,107 +75,211 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros((len(nxt), width), np.int32)
-    for state, edges in enumerate(nxt):
-        for c, to in edges.items():
-            out[state, c] = to
-    return out
-
-
-@dataclass
-class Model:
-    languages: list[str]
-    letters: np.ndarray  # the code points that have a symbol of their own, in order
-    tables: list[np.ndarray]
-
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        """1 and up for the known code points, else 0."""
-        at = np.searchsorted(self.letters, points)
-        at[at == len(self.letters)] = 0
-        return np.where(self.letters[at] == points, at + 1, 0)
-
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(languages, texts) phrases needed, and the characters of each text."""
-        points = [folded(t) for t in texts]
-        sizes = np.array([len(p) for p in points])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        grid = np.full((len(owner), BLOCK), -1, np.int16)
-        at = 0
-        for p, n in zip(points, blocks):
-            grid[at : at + n].ravel()[: len(p)] = self.symbols(p)
-            at += n
-        # longest blocks first, so that those still running are a prefix
-        used = (grid >= 0).sum(1)
-        order = np.argsort(-used, kind="stable")
-        columns = np.ascontiguousarray(grid[order].T)
-        running = np.searchsorted(-used[order], -np.arange(BLOCK), side="left")
-        out = np.zeros((len(self.tables), len(texts)))
-        for k, table in enumerate(self.tables):
-            width = table.shape[1]
-            flat = table.ravel()
-            state = np.zeros(len(owner), np.int64)
-            count = np.zeros(len(owner), np.int64)
-            for column, n in zip(columns, running.tolist()):
-                c = column[:n]
-                to = flat[state[:n] * width + c]
-                lost = to == 0
-                count[:n] += lost
-                state[:n] = np.where(lost, flat[c], to)
-            np.add.at(out[k], owner[order], count + 1)
-        return out, sizes
-
-
-def train(docs: DataFrame, bounds: Bounds = Bounds()) -> Model:
-    """Learns from text and non-null lang of the rows that aren't held out. Counts of labels cover all of them; the
-    sample's texts are those of the least hash, found by a partial top-k before the texts are read."""
+    return nxt
+
+
+def laid_out(edges: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, cells): the edge of state s by symbol c, 1 to `symbols`, is in cells[base[s] + c], as s and its target in
+    32 bits each; a cell of another state or of none (-1) means that there is no such edge. Rows of states are laid
+    over one another, those with many edges first."""
+    total = sum(map(len, edges))
+    taken = bytearray(2 * total + 3 * symbols + 64)
+    base, cells = np.zeros(len(edges), np.int32), np.full(len(taken), -1, np.int64)
+    low = end = symbols
+    for s in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
+        row = edges[s]
+        if not row:
+            continue
+        while taken[low]:
+            low += 1
+        first, *rest = sorted(row)
+        at = low
+        # a row that doesn't fit after so many tries goes to the end
+        for _ in range(256):
+            if not any(taken[at - first + c] for c in rest):
+                break
+            at = taken.find(0, at + 1)
+        else:
+            at = end
+        for c, to in row.items():
+            cell = at - first + c
+            if cell + symbols + 2 >= len(taken):
+                grown = len(taken)
+                taken.extend(bytes(grown))
+                cells = np.concatenate([cells, np.full(grown, -1, np.int64)])
+            taken[cell] = 1
+            cells[cell] = s << 32 | to
+            end = max(end, cell + 1)
+        base[s] = at - first
+    return base, cells[: end + symbols + 1].copy()
+
+
+class Automaton:
+    """A language's model, as it is applied."""
+
+    def __init__(self, letters: np.ndarray, base: np.ndarray, cells: np.ndarray):
+        # a state without edges stands for a character that the language doesn't have
+        self.base, self.cells, self.foreign = np.append(base, 0).astype(np.int32), cells, len(base)
+        self.symbol = np.zeros(int(letters[-1]) + 2 if len(letters) else 1, np.int32)
+        self.symbol[letters] = np.arange(1, len(letters) + 1)
+        self.start = self._step(np.zeros(len(letters) + 1, np.int64), np.arange(len(letters) + 1))
+        self.start[self.start == 0] = self.foreign
+
+    @staticmethod
+    def made(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(letters, base, cells) of the text."""
+        letters, symbols = np.unique(folded(text), return_inverse=True)
+        return letters, *laid_out(automaton((symbols + 1).tolist()), len(letters))
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after c, or 0."""
+        cell = self.cells[self.base[state] + c]
+        return np.where(cell >> 32 == state, cell & 0xFFFFFFFF, 0)
+
+    def phrases(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of greedy longest matches that make up each of the texts, which follow one another in points.
+
+        Parses begin at the start of each stride of each text. One that leaves its stride goes on as the parse that
+        begins where it left; one that meets a place from which a phrase is known to begin is known from there on.
+        """
+        c = self.symbol[np.minimum(points, len(self.symbol) - 1)]
+        last = np.cumsum(sizes)
+        first = last - sizes
+        n = len(c)
+        # of known places: phrases until the stride is left, and where that is
+        count, leaves = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int64)
+        strides = -(-sizes // STRIDE)
+        text = np.repeat(np.arange(len(sizes)), strides)
+        begin = first[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(strides) - strides, strides))
+        while len(begin):
+            stop = last[text]
+            limit = np.minimum(begin - (begin - first[text]) % STRIDE + STRIDE, stop)
+            walks = np.arange(len(begin))
+            total, left = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
+            seen = [(walks, begin, np.zeros(len(begin), np.int32))]
+            w, at, k = walks, begin.copy(), np.zeros(len(begin), np.int32)
+            state, w_limit, w_stop = self.start[c[at]], limit, stop
+            at += 1
+            while len(w):
+                over = at >= w_stop
+                ends = over.copy()
+                here = c[np.minimum(at, n - 1)]
+                to = self._step(state, here)
+                ends |= to == 0
+                if ends.any():
+                    k[ends] += 1
+                    known = count[at]
+                    done = ends & (over | (at >= w_limit) | (known > 0))
+                    more = ends & ~done
+                    if more.any():
+                        seen.append((w[more], at[more], k[more]))
+                        to[more] = self.start[here[more]]
+                    if done.any():
+                        merges = ~over & (at < w_limit)
+                        total[w[done]] = k[done] + np.where(merges, known, 0)[done]
+                        left[w[done]] = np.where(merges, leaves[at], at)[done]
+                        go = ~done
+                        w, at, k, to, w_limit, w_stop = (x[go] for x in (w, at, k, to, w_limit, w_stop))
+                state = to
+                at += 1
+            for which, place, before in seen:
+                count[place] = total[which] - before
+                leaves[place] = left[which]
+            begin, which = np.unique(left, return_index=True)
+            open_ = (begin < stop[which]) & (count[begin] == 0)
+            begin, text = begin[open_], text[which[open_]]
+        out, at, live = np.zeros(len(sizes), np.int64), first.copy(), np.flatnonzero(sizes)
+        while len(live):
+            out[live] += count[at[live]]
+            at[live] = leaves[at[live]]
+            live = live[at[live] < last[live]]
+        return out
+
+
+def train(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """The models (MODEL), one row for each language with labelled text, in the shared folder. Learns from text and
+    non-null lang of the rows that aren't held out; the sample's texts are those of the least hash, found by a partial
+    top-k before the texts are read."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     by_hash = F.xxhash64("doc_id", F.length("text"))
-    names = [r[0] for r in seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages).collect()]
     start = F.pmod(F.xxhash64(F.length("text")), F.greatest(F.lit(1), F.length("text") - bounds.chars + 1)).cast("int") + 1
     part = F.substring("text", start, F.lit(bounds.chars)).alias("part")
-    drawn = seen.where(F.col("lang").isin(names)).select("lang", by_hash.alias("h"), part).where(F.col("part").rlike(r"\p{L}"))
+    drawn = seen.select("lang", by_hash.alias("h"), part).where(F.col("part").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
-    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= bounds.texts).select("lang", "rank", "part").collect()
-    parts = [" ".join(r["part"] for r in sorted(sample, key=lambda r: r["rank"]) if r["lang"] == name) for name in sorted(names)]
-    points = np.concatenate([folded(p) for p in parts] or [np.zeros(0, np.uint32)])
-    found, n = np.unique(points, return_counts=True)
-    letters = np.sort(found[np.argsort(-n, kind="stable")][:SYMBOLS])
-    model = Model(sorted(names), letters, [])
-    model.tables = [automaton(model.symbols(folded(p)).tolist(), SYMBOLS + 1) for p in parts]
-    return model
-
-
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score after its own columns; see identify()."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for texts in batches:
-            told, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            has = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
-            for at in range(0, len(has), 64) if known.languages else ():
-                some = has[at : at + 64]
-                phrases, _ = known.phrases([texts.iloc[i] for i in some])
-                best = phrases.argmin(0)
-                told[some] = np.array(known.languages, object)[best]
-                share = 1 / phrases
-                score[some] = share.max(0) / share.sum(0)
-            yield pd.DataFrame({"lang_pred": told, "score": score})
-
-    udf = F.pandas_udf(run, "lang_pred string, score double")
+    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= bounds.texts).select("lang", "rank", "part")
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        letters, base, cells = Automaton.made(" ".join(rows.sort_values("rank")["part"]))
+        return pd.DataFrame({"lang": rows["lang"][:1], "letters": [letters.tobytes()], "base": [base.tobytes()], "cells": [cells.tobytes()]})
+
+    return kept(sample.groupBy("lang").applyInPandas(learn, MODEL))
+
+
+def _told(models: DataFrame, names: list[str]):
+    """A function of a text and of what other languages have told that tells the best language, its phrases and those
+    of the next best."""
+    found = {r["lang"]: (np.frombuffer(r["letters"], np.uint32), np.frombuffer(r["base"], np.int32), np.frombuffer(r["cells"], np.int64)) for r in models.where(F.col("lang").isin(names)).collect()}
+    shared = models.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("lang string, best double, next double")
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        known = [(name, Automaton(*parts)) for name, parts in sorted(shared.value.items())]
+        for texts, told in batches:
+            lang = told["lang"].to_numpy(object, copy=True)
+            best, after = (told[x].to_numpy(float, na_value=np.inf).copy() for x in ("best", "next"))
+            best[np.isnan(best)] = after[np.isnan(after)] = np.inf
+            group: list[int] = []
+            points: list[np.ndarray] = []
+
+            def judge() -> None:
+                where, joined, sizes = np.array(group), np.concatenate(points), np.array(list(map(len, points)))
+                for name, model in known:
+                    n = model.phrases(joined, sizes).astype(float)
+                    wins = n < best[where]
+                    after[where] = np.where(wins, best[where], np.minimum(after[where], n))
+                    best[where] = np.where(wins, n, best[where])
+                    lang[where[wins]] = name
+                group.clear(), points.clear()
+
+            size = 0
+            for i, t in enumerate(texts):
+                if t is not None and any(map(str.isalpha, t)):
+                    group.append(i)
+                    points.append(folded(t))
+                    size += len(points[-1])
+                    if size > CHARS:
+                        judge()
+                        size = 0
+            if group:
+                judge()
+            yield pd.DataFrame({"lang": lang, "best": best, "next": after})
+
+    return run
+
+
+def predicted(docs: DataFrame, models: DataFrame) -> DataFrame:
+    """docs with lang_pred and score after its own columns; see identify(). TOGETHER languages at a time, each time one
+    pass over docs, so that a worker's memory doesn't grow with the languages."""
+    names = sorted(r["lang"] for r in models.select("lang").collect())
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*own, udf("text").alias("_told")).select(*own, "_told.lang_pred", "_told.score")
+    out = docs.select(*own, F.lit(None).cast("struct<lang:string,best:double,next:double>").alias("_told"))
+    for k in range(0, len(names), TOGETHER):
+        if k:
+            out = kept(out)
+        out = out.select(*own, _told(models, names[k : k + TOGETHER])("text", "_told").alias("_told"))
+    score = F.when(F.col("_told.lang").isNull(), 0.0).otherwise(1 - F.col("_told.best") / F.col("_told.next"))
+    return out.select(*own, F.coalesce("_told.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def identify(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """docs with held_out, lang_pred and score after its own columns.
 
     lang_pred is a learned value of lang, the first in order on ties; `und` with a score of 0 if the
-    text is null or has no letter, or if there was nothing to learn from. The score is the winner's
-    share of the inverse phrase counts, 0 to 1. Whole texts are parsed; a null doc_id isn't held out.
-    Columns named like the new ones are replaced.
+    text is null or has no letter, or if there was nothing to learn from. The score is by how much of
+    the next best language's phrases the winner needs fewer, 0 to 1, and 1 if there is one language
+    alone; it doesn't depend on how many languages there are. Whole texts are parsed, however long; a
+    null doc_id isn't held out; repeated rows are told the same. Columns named like the new ones are
+    replaced.
     """
     own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     flagged = docs.select(*own, F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))

@@ -109,14 +109,9 @@ def rounded(units: DataFrame) -> DataFrame:
     return decided
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies and taken = copies * size.
-
-    size is the number of words; null and blank texts have none and are never in the mix's words.
-    Rows alike in source, doc_id and size are one unit, whose copies are dealt to them in turn, so
-    repeated rows are safe at any number. Without any words all targets are 0. Draws are hashes of
-    ids, so reruns agree. Other columns are ignored.
-    """
+def dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, m, source_size, target, base, extra): the m rows alike in the first three are one unit, of
+    which each row is taken `base` times, and `extra` of them once more."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     units = kept(rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n_units"))
@@ -130,8 +125,44 @@ def mixed(docs: DataFrame) -> DataFrame:
     known = units.join(t, units["source"].eqNullSafe(t["source"])).drop(t["source"])
     known = known.select("source_id", F.col("n_units").alias("n"), F.xxhash64("doc_id", "size", "source").alias("h"), "size", p.alias("p"), item.alias("item"))
     is_open = F.col("p") > 1e-12
-    dealt = rounded(known.where(is_open)).select("item", "chosen").union(known.where(~is_open).select("item", F.lit(0)))
-    each = dealt.select("item.*", (F.col("item.sure") + F.col("chosen")).alias("extra"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("item.m"))).alias("nth"))
-    copies = (F.col("base") + (F.col("nth") <= F.col("extra")).cast("int")).alias("copies")
-    out = each.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", copies)
+    both = rounded(known.where(is_open)).select("item", "chosen").union(known.where(~is_open).select("item", F.lit(0)))
+    return both.select("item.*", (F.col("item.sure") + F.col("chosen")).alias("extra")).drop("sure")
+
+
+def _copies(nth: str, unit: str = "") -> Column:
+    return F.col(f"{unit}base") + (F.col(nth) <= F.col(f"{unit}extra")).cast("int")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies and taken = copies * size.
+
+    size is the number of words; null and blank texts have none and are never in the mix's words.
+    Rows alike in source, doc_id and size are one unit, whose copies are dealt to them in turn, so
+    repeated rows are safe at any number. Without any words all targets are 0. Draws are hashes of
+    ids, so reruns agree. Targets are found by windows over one row a source: sources are kinds of text
+    by which a mix is planned; where each host is one, group hosts first. Other columns are ignored.
+    """
+    each = dealt(docs).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    out = each.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", _copies("nth").alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with size, source_size, target and copy (1 and up) after their own
+    columns; see mixed(). Columns named like the new ones are replaced.
+
+    Rows alike in doc_id, source and size, repeats included, are numbered by their texts' hashes, and each
+    has the copies of its number: the rows that come out for each unit are those that mixed() deals. Null
+    and blank texts, and all rows if there are no words, are left out; an empty table gives an empty one.
+    """
+    made = ("size", "source_size", "target", "copy")
+    own = [c for c in docs.columns if c not in made]
+    # nulls inside a struct are equal; one exchange of the texts serves both numbering and join
+    key = lambda size: F.struct("doc_id", "source", size.cast("long").alias("size")).alias("_unit")
+    rows = docs.select(*own, key(word_count(F.col("text"))))
+    order = Window.partitionBy("_unit").orderBy(F.xxhash64("text"), F.xxhash64(*own))
+    rows = rows.withColumn("_nth", F.row_number().over(order))
+    told = dealt(docs).select(key(F.col("size")), F.struct(F.col("source_size").cast("long").alias("source_size"), "target", "base", "extra").alias("_told"))
+    both = rows.join(told, "_unit").withColumn("_copies", _copies("_nth", "_told.")).where("_copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy")
+    return both.select(*own, F.col("_unit.size").alias("size"), "_told.source_size", "_told.target", copies)

@@ -4,6 +4,8 @@ A signature of `width` bits is cut into segments so few that of two signatures a
 looked for one segment differs by one bit at most. Each segment is indexed once for each bit taken
 as a wildcard; two segments that differ by one bit at most agree in the variant whose wildcard is
 that bit, so candidates are found by an equality join, and are then verified on whole signatures.
+Where links are said to have a similarity, candidates are also verified by the Jaccard similarity of
+their shingle sets.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.llm.common import kept, mixed
@@ -25,13 +28,16 @@ from panelscope.llm.components import connected_components
 class SimHash:
     """shingle: words in a shingle. width: bits, a multiple of 64. segments: how many the signature is cut into.
     distance: bits in which linked signatures may differ. wildcards: wildcards for each segment; 0 for every bit,
-    else those bits whose majority was narrowest, which are the ones that a small edit can turn."""
+    else those bits whose majority was narrowest, which are the ones that a small edit can turn. similarity: least
+    Jaccard similarity of linked texts' shingle sets, whose signature it then is; 0 to go by signatures alone, which
+    then count repeated shingles."""
 
     shingle: int = 3
     width: int = 64
     segments: int = 2
     distance: int = 2
     wildcards: int = 0
+    similarity: float = 0.0
 
     @property
     def exact(self) -> bool:
@@ -40,13 +46,14 @@ class SimHash:
 
 #: Three-word shingles, 64 bits and 2 differing bits: finds every link.
 CONTRACT = SimHash()
-#: Five-word shingles at a Jaccard similarity of 0.8, which is a cosine of 0.89 and so 15 % of the bits.
-NEAR = SimHash(shingle=5, width=768, segments=32, distance=116, wildcards=6)
+#: Five-word shingles at a Jaccard similarity of 0.8, which is a cosine of 0.89 and so 15 % of the bits, or 117 on
+#: average with a deviation of 10; candidates may differ in three deviations more.
+NEAR = SimHash(shingle=5, width=768, segments=32, distance=148, wildcards=6, similarity=0.8)
 
 #: Largest bucket whose pairs are all compared.
 PAIRS = 32
 #: Signatures in a block of a crowded bucket, about; blocks are compared two by two.
-BLOCK = 2048
+BLOCK = 1024
 SEED = 42
 
 
@@ -75,15 +82,31 @@ def bit_counts(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def signature(text: str | None, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """The signature as 64-bit words, and for each segment the bits to use as wildcards."""
-    hashes = shingle_hashes(text, p.shingle)
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The different shingles' hashes, in order."""
+    return np.unique(shingle_hashes(text, k))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets in order; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def signature(text: str | None, p: SimHash) -> tuple[np.ndarray, np.ndarray, int]:
+    """The signature as 64-bit words, for each segment the bits to use as wildcards, and a hash of the shingle set if
+    that decides links."""
+    hashes = shingle_set(text, p.shingle) if p.similarity else shingle_hashes(text, p.shingle)
+    known = int(mixed(hashes).sum(dtype=np.uint64).view(np.int64)) if p.similarity else 0
     counts = bit_counts(hashes, p.width)
     words = np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64).view(np.int64)
     if not p.wildcards:
-        return words, np.zeros(0, np.uint8)
+        return words, np.zeros(0, np.uint8), known
     margin = np.abs(2 * counts - len(hashes)).reshape(p.segments, -1)
-    return words, np.argsort(margin, axis=1, kind="stable")[:, : p.wildcards].astype(np.uint8).ravel()
+    return words, np.argsort(margin, axis=1, kind="stable")[:, : p.wildcards].astype(np.uint8).ravel(), known
 
 
 def variant_keys(words: np.ndarray, at: np.ndarray | None, p: SimHash) -> np.ndarray:
@@ -99,17 +122,50 @@ def variant_keys(words: np.ndarray, at: np.ndarray | None, p: SimHash) -> np.nda
     return (head | masked).reshape(len(words), -1)
 
 
+def text_key(text: str = "text") -> list[Column]:
+    """Two hashes that stand for a text; null has one of its own."""
+    return [F.xxhash64(F.lit(seed), F.col(text).isNull(), text).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def fingerprints(docs: DataFrame, p: SimHash) -> DataFrame:
-    """(doc_id, node, sig array<long>, at binary); node is the 64-bit fingerprint, or a hash of a wider signature."""
+    """(doc_id, k1, k2, node, sig array<long>, at binary); node is the 64-bit fingerprint, or a hash of a wider signature
+    and of the shingle set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [signature(t, p) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "sig": [w for w, _ in made], "at": [a.tobytes() for _, a in made]})
+            made = [signature(t, p) for t in batch["text"].to_pylist()]
+            sig, at = pa.array([w for w, _, _ in made], pa.list_(pa.int64())), pa.array([a.tobytes() for _, a, _ in made], pa.binary())
+            # ids don't pass through Python, where a null would make them floats
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "k1", "k2")), sig, at, pa.array([h for _, _, h in made], pa.int64())], names=["doc_id", "k1", "k2", "sig", "at", "known"])
+
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", *text_key())
+    out = keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, sig array<long>, at binary, known long")
+    node = F.col("sig")[0] if p.width == 64 else F.xxhash64("sig", "known")
+    return out.select("doc_id", "k1", "k2", node.alias("node"), "sig", "at")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: SimHash) -> DataFrame:
+    """(node, shingles binary) of the wanted nodes, from one text of each."""
+    of = nodes.join(wanted, "node", "left_semi").select("node", "least.k1", "least.k2")
+    texts = docs.select("text", *text_key()).join(of, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, p.shingle).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sig array<long>, at binary")
-    node = F.col("sig")[0] if p.width == 64 else F.xxhash64("sig")
-    return out.select("doc_id", node.alias("node"), "sig", "at")
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have at least that similarity."""
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=float)
+
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
+    return pairs.select("u", "v").join(left, "u").join(right, "v").where(alike("set_u", "set_v") >= least).select("u", "v")
 
 
 def variants(nodes: DataFrame, p: SimHash) -> DataFrame:
@@ -136,7 +192,7 @@ def _cliques(hot: DataFrame, p: SimHash) -> DataFrame:
     return one.join(least, ["mask", "rest"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _across(crowded: DataFrame, known: DataFrame, nodes: DataFrame, p: SimHash) -> DataFrame:
+def _across(crowded: DataFrame, known: DataFrame, nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
     """Verified links between different components of `known` in crowded buckets, enough to join all that a pair of the
     bucket joins. Buckets of a single component have nothing to add; in others every member is compared with all of
     other components, block by block."""
@@ -144,28 +200,49 @@ def _across(crowded: DataFrame, known: DataFrame, nodes: DataFrame, p: SimHash)
     several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rest = kept(named.join(several, "key", "left_semi"))
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = rest.join(nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    held = nodes.select("node", "sig")
+    if p.similarity:
+        held = held.join(shingle_sets(docs, nodes, rest.select("node").distinct(), p), "node")
+    else:
+        held = held.withColumn("shingles", F.lit(b""))
+    dealt = rest.join(held, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig", "shingles")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         node, label, block = (x[c].to_numpy().copy() for c in ("node", "root", "block"))
         sig = np.stack(x["sig"].to_list()).view(np.uint64)
+        sets = [np.frombuffer(s, np.uint64) for s in x["shingles"]]
         inner, found = x["i"].iloc[0] == x["j"].iloc[0], []
         for a in range(len(node) - 1):
             at = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & (inner | (block[a + 1 :] != block[a])))
             at = at[np.bitwise_count(sig[at] ^ sig[a]).sum(1, dtype=np.int64) <= p.distance]
-            if len(at):
-                met, one = np.unique(label[at], return_index=True)
-                found += [(node[a], v) for v in node[at[one]]]
-                label[np.isin(label, met)] = label[a]
+            for b in at.tolist():
+                # a link makes two labels one, so that one link for each pair of labels is enough
+                if label[b] != label[a] and (not p.similarity or jaccard(sets[a], sets[b]) >= p.similarity):
+                    found.append((node[a], node[b]))
+                    label[label == label[b]] = label[a]
         return pd.DataFrame(found, columns=["u", "v"])
 
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def links(nodes: DataFrame, p: SimHash) -> DataFrame:
-    """(u, v) of verified links between different signatures; their components are those of all links.
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
+    """Links among the pairs (u, v, differ) whose components are those of all pairs that are similar enough. A node is
+    first compared with the nearest one that it is paired with, and then what that hasn't brought together is."""
+    pairs = kept(pairs)
+    sets = kept(shingle_sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), p))
+    nearest = pairs.groupBy("v").agg(F.min(F.struct("differ", "u")).alias("near")).select("near.u", "v")
+    first = kept(similar(nearest, sets, p.similarity))
+    roots = connected_components(first)
+    of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    rest = pairs.join(of_u, "u", "left").join(of_v, "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    return first.union(similar(rest, sets, p.similarity))
+
+
+def links(nodes: DataFrame, p: SimHash, docs: DataFrame | None = None) -> DataFrame:
+    """(u, v) of verified links between different signatures; their components are those of all links. docs: the texts,
+    where links have a similarity.
 
     Buckets of up to PAIRS signatures are paired in full. In larger ones the exact parameters link by
     masked classes; the others compare every member with the bucket's least and greatest node, and
@@ -183,12 +260,22 @@ def links(nodes: DataFrame, p: SimHash) -> DataFrame:
             pairs = pairs.union(ends.where(f"node <> {end}").select(F.least("node", end), F.greatest("node", end)))
     if p.width == 64:
         pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= p.distance).distinct()
-        return pairs.union(_cliques(crowded.select("node").distinct(), p)) if p.exact else pairs.union(_across(crowded, pairs, nodes, p))
+        return pairs.union(_cliques(crowded.select("node").distinct(), p)) if p.exact else pairs.union(_across(crowded, pairs, nodes, p, docs))
     left, right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
     both = pairs.distinct().join(left, "u").join(right, "v")
     differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    found = kept(both.where(differ <= p.distance).select("u", "v"))
-    return found if p.exact else found.union(_across(crowded, found, nodes, p))
+    near = both.select("u", "v", differ.alias("differ")).where(F.col("differ") <= p.distance)
+    found = kept(_verified(near, nodes, docs, p) if p.similarity else near.select("u", "v"))
+    return found if p.exact else found.union(_across(crowded, found, nodes, p, docs))
+
+
+def _components(docs: DataFrame, p: SimHash) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and (node, root, least) of every node, least being (no_id, doc_id, k1, k2) of its first text."""
+    fps = kept(fingerprints(docs, p))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("least")
+    nodes = kept(fps.groupBy("node").agg(first, F.first("sig").alias("sig"), F.first("at").alias("at")))
+    roots = connected_components(links(nodes, p, docs))
+    return fps, nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, p: SimHash = CONTRACT) -> DataFrame:
@@ -199,10 +286,22 @@ def near_duplicates(docs: DataFrame, p: SimHash = CONTRACT) -> DataFrame:
     fingerprint zero and is linked like any other; repeated rows give repeated rows; a null doc_id
     never becomes a component's id unless all of them are null; other columns are ignored.
     """
-    fps = kept(fingerprints(docs, p))
-    nodes = kept(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("at").alias("at")))
-    roots = connected_components(links(nodes, p))
-    of = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    fps, of = _components(docs, p)
+    named = of.join(of.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", F.col("first.doc_id").alias("component_id"))
     digits = F.array_join(F.transform("sig", lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
     return fps.join(named, "node").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, p: SimHash = NEAR) -> DataFrame:
+    """One row of docs, whole, for each group of near duplicates: that of the smallest doc_id, a null doc_id coming last.
+
+    Groups go by texts, so different texts under one doc_id, or under a null one, are judged by
+    themselves. Null and blank texts have no shingles and are one group. Of rows alike in doc_id and text
+    the one whose columns have the least hash stays, so that reruns agree.
+    """
+    _, of = _components(docs, p)
+    first = of.groupBy("root").agg(F.min("least").alias("first")).select(F.struct("first.doc_id", "first.k1", "first.k2").alias("key"))
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *text_key()).alias("key"), F.struct(*docs.columns).alias("own"))
+    # nulls inside a struct are equal, so rows of the join lie as the grouping wants them
+    one = keyed.join(first, "key", "left_semi").groupBy("key").agg(F.min_by("own", F.xxhash64("own")).alias("own"))
+    return one.select("own.*")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,6 +110,13 @@ def test_simhash_finds_every_link(spark, monkeypatch, pairs):
     assert Counter(tuple(r) for r in simhash.near_duplicates(df).collect()) == want
 
 
+def test_simhash_keeps_large_ids_beside_nulls(spark):
+    big = 1152921504606846977
+    df = spark.createDataFrame([(big, "a b c d"), (None, "a b c d"), (big + 2, "a b c d")], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    assert Counter(got) == Counter([(big, big), (None, big), (big + 2, big)])
+
+
 def test_spark_hash_is_the_contracts(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a bé c"))).first()[0] % 2**64 == xxhash.xxh64_intdigest("a bé c".encode(), 42)
 
@@ -123,10 +131,70 @@ def test_near_parameters(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+def shingles(text, k=5):
+    w = split(text.lower() if text else text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_fixture(rng, n_groups=6, size=25):
+    """Groups of edits at various similarities, texts that share one repeated line and nothing else, and short ones."""
+    texts = []
+    for g in range(n_groups):
+        base = [rng.choice(VOCABULARY) + str(g) for _ in range(300)]
+        for k in range(size):
+            one = base[:]
+            for _ in range(k % 9):
+                one[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(one))
+    line = " ".join(words(12))
+    texts += [" ".join([line] * 30 + words(200)) for _ in range(10)]
+    return texts + ["x", "x", "x y", "", None, " "]
+
+
+def test_near_duplicates_are_verified(spark):
+    """No link below the similarity, and the components of brute force but for links that just reach it."""
+    texts = near_fixture(random.Random(18))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b]) >= 0.8]
+    sure = [(a, b) for a, b in near if alike(sets[a], sets[b]) >= 0.85]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, simhash.NEAR).collect()}
+    all_, least = closed(range(len(texts)), near), closed(range(len(texts)), sure)
+    for a in got:
+        assert all_[got[a]] == all_[a]
+        assert got[least[a]] == got[a]
+    lines = range(150, 160)
+    assert len({got[k] for k in lines}) == 10
+
+
+@pytest.mark.parametrize("block", [1024, 60])
+def test_crowded_buckets_of_near_copies(spark, monkeypatch, block):
+    """500 near copies of two originals: edits of one are similar to it alone, so stars must be found in the crowd."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(19)
+    bases = [[rng.choice(VOCABULARY) + g for _ in range(260)] for g in "ab"]
+    texts = {}
+    for k in range(500):
+        one = bases[k % 2][:]
+        for at in rng.sample(range(0, 250, 6), 5):
+            one[at] = f"new{rng.randrange(10**6)}"
+        texts[k] = " ".join(one)
+    texts |= {1000: " ".join(bases[0]), 1001: " ".join(bases[1])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {d: shingles(t) for d, t in texts.items()}
+    assert min(alike(sets[d], sets[1000 + d % 2]) for d in texts if d < 500) > 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, simhash.NEAR).collect()}
+    assert np.mean([got[d] == d % 2 for d in range(500)]) >= 0.95  # each has one link, at 0.82
+
+
+@pytest.mark.parametrize("block", [1024, 16])
 def test_crowded_buckets_keep_stars(spark, monkeypatch, block):
     """Edits of two originals, each near its original only; all share one bucket, of which no original is an end."""
-    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng, p = random.Random(8), simhash.SimHash(width=128, segments=8, distance=14, wildcards=1)
     bits, rows = {}, []
     for hub in (500, 600):
@@ -145,9 +213,22 @@ def test_crowded_buckets_keep_stars(spark, monkeypatch, block):
     assert set(got) <= set(near) and closed(bits, got) == closed(bits, near)
 
 
+def test_representatives_go_by_texts(spark):
+    """Different texts of a shared and of a null doc_id all stay; of near and exact copies, and of equal rows, one does."""
+    rng = random.Random(20)
+    t = [" ".join(rng.choice(VOCABULARY) + str(k) for _ in range(80)) for k in range(6)]
+    near = t[5].split()
+    near[40] = "other"
+    rows = [(7, t[0], "a"), (7, t[1], "a"), (None, t[2], "a"), (None, t[3], "b"), (None, t[3], "c"), (9, t[4], "x"), (9, t[4], "x"), (None, t[4], "x"), (3, t[5], "s"), (2, " ".join(near), "s"), (None, None, "n"), (4, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    once, again = (Counter(map(tuple, simhash.representatives(df).collect())) for _ in range(2))
+    assert once == again and sum(once.values()) == 7
+    assert Counter((r[0], r[1]) for r in once) == Counter([(7, t[0]), (7, t[1]), (None, t[2]), (None, t[3]), (9, t[4]), (2, " ".join(near)), (4, "")])
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], TEXT)
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert passages.without_passages(empty).count() == 0
     assert suffixes.without_repeats(empty).count() == 0
     assert mixing.mixed(empty).count() == 0
@@ -266,12 +347,7 @@ def test_language_id(spark):
     assert [r["lang_pred"] for r in languages.identify(df.withColumn("lang", F.lit(None).cast("string"))).limit(1).collect()] == ["und"]
 
 
-def test_phrases_are_greedy_longest_matches():
-    text, data = "abcabxabcd", "abxabcab" * 3 + "zzq"
-    letters = np.unique(languages.folded(text))
-    model = languages.Model(["l"], letters, [])
-    model.tables = [languages.automaton(model.symbols(languages.folded(text)).tolist(), languages.SYMBOLS + 1)]
-    got = model.phrases([data, "a"])[0][0].tolist()
+def greedy(data, text):
     n = at = 0
     while at < len(data):
         size = 1
@@ -279,7 +355,48 @@ def test_phrases_are_greedy_longest_matches():
             size += 1
         at += size
         n += 1
-    assert got == [n, 1]
+    return n
+
+
+@pytest.mark.parametrize("stride", [1, 7, 64, 256])
+def test_phrases_are_greedy_longest_matches(monkeypatch, stride):
+    """Also where parses begin side by side, meet, or run far over a stride's end."""
+    monkeypatch.setattr(languages, "STRIDE", stride)
+    rng = random.Random(stride)
+    for n in (0, 1, 30, 500):
+        text = "".join(rng.choices("abc\U00020000d", k=n))
+        model = languages.Automaton(*languages.Automaton.made(text))
+        data = ["".join(rng.choices("abc\U00020000dxy", weights=[9, 9, 9, 9, 9, 1, 1], k=k)) for k in (1, 3, 400, 2000)] + ["", text * 2, "abxabcab" * 40]
+        points = [languages.folded(d) for d in data]
+        assert model.phrases(np.concatenate(points), np.array(list(map(len, points)))).tolist() == [greedy(d, text) for d in data]
+
+
+def test_language_id_has_no_caps(spark, monkeypatch):
+    """70 languages of one script each, three of them beyond Latin ones with many letters, told in several passes, and a very long
+    text; predictions are those of the brute-force parse."""
+    monkeypatch.setattr(languages, "TOGETHER", 16)
+    rng = random.Random(17)
+    blocks = {"zh": 0x4E00, "ko": 0xAC00, "old": 0x20000} | {f"l{k:02}": 0x3400 + 40 * k for k in range(67)}
+    letters = {lang: [chr(at + k) for k in range(600 if lang in ("zh", "ko", "old") else 20)] for lang, at in blocks.items()}
+    letters |= {f"l{k:02}": list("abcdefghijklmno"[k : k + 9]) for k in range(0, 6, 3)}
+    draw = lambda lang, n: "".join(rng.choice(letters[lang]) + (" " if rng.random() < 0.2 else "") for _ in range(n))
+    rows = [(k, draw(lang, 150), lang) for k, lang in enumerate(lang for lang in letters for _ in range(6))]
+    rows.append((10_000, draw("zh", 30_000), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bounds = languages.Bounds(texts=4, chars=100)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in languages.identify(df, bounds).collect()}
+    assert len({p for p, _ in got.values()}) == 70
+    says = {d: lang for d, _, lang in rows} | {10_000: "zh"}
+    assert sum(got[d][0] == says[d] for d in got if says[d] in ("zh", "ko", "old")) == 19
+    parts = {}
+    for r in languages.train(df, bounds).collect():
+        model = languages.Automaton(*(np.frombuffer(r[c], t) for c, t in (("letters", np.uint32), ("base", np.int32), ("cells", np.int64))))
+        parts[r["lang"]] = model
+    for d, text, _ in rows[::29]:
+        points = languages.folded(text)
+        n = {lang: int(m.phrases(points, np.array([len(points)]))[0]) for lang, m in parts.items()}
+        first, second = sorted(n.values())[:2]
+        assert got[d] == (min(n, key=lambda lang: (n[lang], lang)), pytest.approx(1 - first / second))
 
 
 def test_resampling(spark):
@@ -329,6 +446,54 @@ def test_quality(spark):
             assert not r["kept"] and not r["base_failed"]
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Distances and verdicts from references computed apart, for 300 languages, with letters beyond the basic plane."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(320):
+        lang = f"l{k}" if k < 299 else "astral"
+        w = rng.choices(VOCABULARY[k % 7 : 60 + k % 7], k=rng.randint(40, 200))
+        if lang == "astral":
+            w = ["".join(chr(0x20000 + rng.randrange(90)) for _ in range(4)) for _ in range(120)]
+        rows.append((k, " ".join(w) + ("!" * (300 if k == 5 else 0)), lang))
+    rows += [(400, rows[3][1].upper(), "unseen"), (401, rows[3][1], None), (402, rows[310][1], "l3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.lit(1)).withColumn("reference", F.lit(2))
+    got = {r["doc_id"]: (r["char_distance"], r["word_distance"], r["kept"]) for r in quality.judged(df).collect()}
+    p = quality.Limits()
+
+    def histograms(t):
+        kinds = [7] * len(t)
+        for i, c in enumerate(t):
+            cat = unicodedata.category(c)
+            kinds[i] = 4 if c in " \t\n" else 6 if c in "#*$%&|<>" else {"Ll": 0, "Lu": 1}.get(cat, {"L": 2, "N": 3, "Z": 4, "P": 5, "S": 6}.get(cat[0], 7))
+        w = Counter(zlib.crc32(x) % p.buckets for x in split(t))
+        return [kinds.count(k) / len(t) for k in range(8)], {b: n / len(split(t)) for b, n in w.items()}
+
+    long_enough = [(t, lang) for _, t, lang in rows if len(t) >= p.least_chars and len(split(t)) >= p.least_words]
+    sums = {}
+    for t, lang in long_enough:
+        c, w = histograms(t)
+        for key in {None, lang}:
+            at, of = sums.setdefault(key, ([0.0] * 8, Counter()))
+            at[:] = [x + y for x, y in zip(at, c)]
+            of.update(w)
+    js = lambda a, b: quality.distance(np.array(a, float), np.array(b, float))
+    for d, t, lang in rows:
+        if (t, lang) not in long_enough:
+            assert got[d][:2] == (None, None)
+            continue
+        c, w = histograms(t)
+        chars, of = sums[lang]
+        top = sorted(of, key=lambda b: (-round(of[b], 9), b))[: p.common]
+        common = lambda h: [h.get(b, 0) for b in top] + [sum(h.values()) - sum(h.get(b, 0) for b in top)]
+        far = js(c, chars), js(common(w), common(of))
+        assert got[d][:2] == (pytest.approx(far[0], abs=1e-6), pytest.approx(far[1], abs=1e-6))
+        n = quality.counts(t)
+        failed = n[0] < 50 or 2 * n[4] > n[0]
+        assert got[d][2] == (not failed and far[0] <= p.char_distance and far[1] <= p.word_distance + n[0] ** -0.5)
+    assert got[310][2] and not got[402][2]
+
+
 def test_distance():
     p, q = np.array([1.0, 1, 2]), np.array([0.0, 2, 2])
     a, b = p / 4, q / 4
@@ -362,6 +527,39 @@ def test_decontamination(spark):
         assert got == Counter(planted.items()) + Counter({(202, 0): 2})
 
 
+def test_decontamination_finds_paraphrases_of_many_items(spark):
+    """900 items in one space of 96 dimensions, looked up in cells: of paraphrases that pass the checks nine in ten are found,
+    and so are a frequent text's many copies, which count once in the fit."""
+    rng = random.Random(22)
+    vocabulary = [f"v{k}" for k in range(6000)]
+    items = [rng.choices(vocabulary, k=36) for _ in range(900)]
+    rows, want = [], set()
+    for k in range(0, 900, 6):
+        w = items[k][:]
+        kind = k // 6 % 3
+        if kind == 0:
+            for j in rng.sample(range(36), 8):
+                w[j] = rng.choice(vocabulary)
+        elif kind == 1:
+            w = [x for x in w if rng.random() > 0.2]
+        else:
+            for _ in range(5):
+                j = rng.randrange(36)
+                w.insert(max(0, j + rng.randint(-4, 4)), w.pop(j))
+        at = rng.randint(0, 40)
+        rows.append((k, " ".join(rng.choices(vocabulary, k=at) + w + rng.choices(vocabulary, k=120))))
+        want.add((k, k))
+    rows += [(5000 + k, " ".join(rng.choices(vocabulary, k=200))) for k in range(150)]
+    rows += [(9000 + k, rows[2][1]) for k in range(300)]  # with all words of item 12
+    rows.append((None, " ".join(rng.choices(vocabulary, k=30_000) + items[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    s = decontamination.Settings(rank=96, sample=200, block=500, cell=32, probes=6)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench, s).collect()}
+    assert len(want & got) >= 0.9 * len(want) and (None, 1) in got and {(9000 + k, 12) for k in range(300)} <= got
+    assert not {d for d, _ in got if d is not None and 5000 <= d < 9000}
+
+
 def test_rare_words_are_rare_themselves(spark):
     """The answer check goes by words, also where buckets hold several: paraphrases that keep an item's rare words and
     change half of its common ones have the whole answer."""
@@ -429,6 +627,19 @@ def test_mixing(spark):
         assert abs(taken - want[s]) <= max(40, 0.03 * want[s])
 
 
+def test_mix_takes_what_mixed_deals(spark):
+    """Repeated rows, rows that share an id, and nulls are taken as often as the mix says, and not once for each pair."""
+    rows = [(5, "same row", "b")] * 50 + [(6, "two words", "b"), (6, "other words", "b"), (None, "x y z", None), (None, "x y z", None), (7, None, "b"), (8, " ", "c"), (9, "a " * 30, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("copy", F.lit("y")).withColumn("base", F.lit(0))
+    dealt = Counter()
+    for r in mixing.mixed(df).collect():
+        dealt[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    once, again = (mixing.mix(df).collect() for _ in range(2))
+    assert Counter(map(tuple, once)) == Counter(map(tuple, again))
+    taken = Counter((r["doc_id"], r["source"], len(split(r["text"]))) for r in once)
+    assert taken == +dealt and sum(taken.values()) < 2 * len(rows) and all(r["base"] == 0 for r in once)
+
+
 def test_mixing_has_several_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 6)
     units = spark.range(2000).select(F.lit(1).alias("source_id"), F.lit(2000).alias("n"), F.xxhash64("id").alias("h"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("p"), "id")
@@ -492,16 +703,45 @@ def test_bloom_filter_has_no_false_negatives(spark, monkeypatch):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    docs = table(spark).select(*corpus_pipeline.COLUMNS, F.lit(1).alias("size"), F.lit("x").alias("leaks"))
-    spark.createDataFrame([(0, "a b c d e f g h")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    item = " ".join(words(30))
+    leaked = " ".join(words(100)) + " " + item + " " + " ".join(words(60))
+    texts = TEXTS + [leaked]
+    docs = table(spark, texts).select(*corpus_pipeline.COLUMNS, F.lit(1).alias("size"), F.lit("x").alias("leaks"), F.lit("k").alias("key"), F.lit(2).alias("own"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sizes = []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        before = Counter(tuple(r) for r in docs.select("doc_id", "text").collect())
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(str(tmp_path / f"{k}"))
         docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        after = Counter(tuple(r) for r in docs.select("doc_id", "text").collect())
+        sizes.append(sum(after.values()))
         if k < 4:
             assert docs.columns == list(corpus_pipeline.COLUMNS), name
-            assert docs.count() > 0
-    assert docs.where("size is null or copy is null").count() == 0
+        if name in ("language_id", "near_dedup", "benchmark_decontamination"):
+            assert not after - before
+        if name == "benchmark_decontamination":
+            assert [t for t in before - after] == [(len(texts) - 1, leaked)]
+        if name == "near_dedup":
+            kept = [shingles(t) for _, t in after]
+            assert all(alike(a, b) < 0.85 for i, a in enumerate(kept) for b in kept[:i])
+    assert sizes[0] > sizes[1] > 20 and docs.where("size is null or copy is null").count() == 0
+
+
+def test_pipeline_clears_its_tables(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from panelscope.llm import common
+
+    folder = tmp_path / "sf"
+    table(spark, TEXTS[:12]).select(*corpus_pipeline.COLUMNS).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(0, "a b c d")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    shared = common.shared_folder(spark).removeprefix("file:")
+    before = {x for x in os.listdir(shared) if x.startswith("table-")}
+    assert corpus_pipeline.run(spark, str(folder)).count() > 0
+    assert {x for x in os.listdir(shared) if x.startswith("table-")} == before
 
 
 def test_op1_matches_sql(spark):
