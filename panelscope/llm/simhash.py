@@ -10,6 +10,7 @@ their shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,8 +51,12 @@ CONTRACT = SimHash()
 #: average with a deviation of 10; candidates may differ in three deviations more.
 NEAR = SimHash(shingle=5, width=768, segments=32, distance=148, wildcards=6, similarity=0.8)
 
-#: Largest bucket whose pairs are all compared.
+#: Largest bucket whose pairs are all compared, with exact parameters.
 PAIRS = 32
+#: How often nodes are compared with one of another component before all are.
+ROUNDS = 1
+#: Columns of a signature's first words, which travel with its variants.
+SKETCH = ("s0", "s1", "s2", "s3")
 #: Signatures in a block of a crowded bucket, about; blocks are compared two by two.
 BLOCK = 1024
 SEED = 42
@@ -168,17 +173,35 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").where(alike("set_u", "set_v") >= least).select("u", "v")
 
 
-def variants(nodes: DataFrame, p: SimHash) -> DataFrame:
-    """(key, node) for each indexed segment variant."""
+def sided_keys(words: np.ndarray, at: np.ndarray, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sides), (n, keys) each: variant_keys() with each wildcard's bit as side, and for each segment one more key,
+    of the whole segment, with side -1. Segments that differ in the wildcard alone meet on its different sides, and
+    equal ones in the whole segment's bucket, so that no wildcard's bucket need compare them again."""
+    size = p.width // p.segments
+    bits = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(len(words), -1), axis=1).reshape(len(words), p.segments, size)
+    value = bits.astype(np.int64) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int64))
+    whole = (p.width + np.arange(p.segments))[None, :] << size | value
+    sides = np.take_along_axis(bits, at.reshape(len(words), p.segments, -1).astype(np.int64), axis=2).reshape(len(words), -1)
+    return np.c_[variant_keys(words, at, p), whole], np.c_[sides.astype(np.int8), np.full(whole.shape, -1, np.int8)]
+
+
+def variants(nodes: DataFrame, p: SimHash, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, side, node, root, more ...) for each indexed segment variant; root and more are long columns of nodes that come
+    along. Exact parameters, which index every wildcard, have no need of sides: they are all -1."""
+    carried = ("node", "root", *more)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                at = np.stack([np.frombuffer(a, np.uint8) for a in batch["at"]]) if p.wildcards else None
-                keys = variant_keys(np.stack(batch["sig"].to_list()), at, p)
-                yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), keys.shape[1])})
+                words = np.stack(batch["sig"].to_list())
+                if p.wildcards:
+                    keys, sides = sided_keys(words, np.stack([np.frombuffer(a, np.uint8) for a in batch["at"]]), p)
+                else:
+                    keys = variant_keys(words, None, p)
+                    sides = np.full(keys.shape, -1, np.int8)
+                yield pd.DataFrame({"key": keys.ravel(), "side": sides.ravel(), **{c: np.repeat(batch[c].to_numpy(), keys.shape[1]) for c in carried}})
 
-    return nodes.select("node", "sig", "at").mapInPandas(run, "key long, node long")
+    return nodes.select(*carried, "sig", "at").mapInPandas(run, ", ".join(["key long", "side byte", *(f"{c} long" for c in carried)]))
 
 
 def _cliques(hot: DataFrame, p: SimHash) -> DataFrame:
@@ -192,30 +215,73 @@ def _cliques(hot: DataFrame, p: SimHash) -> DataFrame:
     return one.join(least, ["mask", "rest"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _across(crowded: DataFrame, known: DataFrame, nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
-    """Verified links between different components of `known` in crowded buckets, enough to join all that a pair of the
-    bucket joins. Buckets of a single component have nothing to add; in others every member is compared with all of
-    other components, block by block."""
-    named = crowded.join(connected_components(known), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = kept(named.join(several, "key", "left_semi"))
+def _near_sketches(rows: pd.DataFrame, most: int) -> np.ndarray:
+    """Which of the rows, in order of (key, i, j), have one of another root, of another side in a wildcard's bucket, and of
+    another block between blocks, in their group whose sketch differs in at most `most` bits."""
+    keys = rows[["key", "i", "j"]].to_numpy()
+    root, block, side = (rows[c].to_numpy() for c in ("root", "block", "side"))
+    inner, sketch = keys[:, 1] == keys[:, 2], rows[list(SKETCH)].to_numpy().view(np.uint64)
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+    end = np.repeat(np.r_[first[1:], len(rows)], np.diff(np.r_[first, len(rows)]))
+    after = end - np.arange(len(rows)) - 1
+    out = np.zeros(len(rows), bool)
+    pairs = np.cumsum(after)
+    for k in range(0, int(pairs[-1]) if len(pairs) else 0, 1 << 21):
+        low, high = np.searchsorted(pairs, [k, k + (1 << 21)], side="right")
+        run = np.arange(low, min(high + 1, len(rows)))
+        a = np.repeat(run, after[run])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[run]) - after[run], after[run])
+        use = (root[a] != root[b]) & ((side[a] < 0) | (side[a] != side[b])) & (inner[a] | (block[a] != block[b]))
+        a, b = a[use], b[use]
+        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= most
+        out[a[near]] = out[b[near]] = True
+    return out
+
+
+def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
+    """Verified links between different components (root) in the buckets of the nodes, enough to join all that a pair of
+    any bucket joins. Buckets of a single component have nothing to add; in others every member is compared with all
+    of other components, block by block: first by some bits of the signatures, which travel with the variants, and what
+    may be near by that in whole."""
+    of = Window.partitionBy("key")
+    words = min(len(SKETCH), p.width // 64)
+    sketched = named.select("*", *[F.col("sig")[k % words].alias(c) for k, c in enumerate(SKETCH)])
+    seen = variants(sketched, p, SKETCH).select("*", F.min("root").over(of).alias("lo"), F.max("root").over(of).alias("hi"), F.count("*").over(of).alias("n"), F.min("side").over(of).alias("one"), F.max("side").over(of).alias("two"))
+    rest = kept(seen.where("lo < hi and (side < 0 or one < two)").drop("lo", "hi", "one", "two"))
     blocks = F.ceil(F.col("n") / BLOCK)
-    held = nodes.select("node", "sig")
-    if p.similarity:
-        held = held.join(shingle_sets(docs, nodes, rest.select("node").distinct(), p), "node")
-    else:
-        held = held.withColumn("shingles", F.lit(b""))
-    dealt = rest.join(held, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sig", "shingles")
+    zero = F.lit(0).cast("long")
+    alone = rest.where(F.col("n") <= BLOCK).withColumn("block", zero).withColumn("other", zero)
+    several = rest.where(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    dealt = alone.unionByName(several.withColumn("other", F.explode(F.sequence(zero, blocks - 1))))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "side", "node", "root", *SKETCH)
+    share = p.distance / p.width
+    # four deviations over what signatures at the greatest distance differ by in the sketch
+    most = math.ceil((len(SKETCH) / words) * (64 * words * share + 4 * math.sqrt(64 * words * share * (1 - share))))
+
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # the last group may go on in the next batch
+            open_ = (rows[["key", "i", "j"]].to_numpy() == rows[["key", "i", "j"]].to_numpy()[-1]).all(1)
+            held, rows = rows[open_], rows[~open_]
+            yield rows[_near_sketches(rows, most)].drop(columns=list(SKETCH))
+        if held is not None:
+            yield held[_near_sketches(held, most)].drop(columns=list(SKETCH))
+
+    groups = ["key", "i", "j"]
+    near = dealt.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(sieve, "key long, i long, j long, block long, side byte, node long, root long")
+    held = named.select("node", "sig").join(sets.select("node", "shingles"), "node") if p.similarity else named.select("node", "sig", F.lit(b"").alias("shingles"))
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        node, label, block = (x[c].to_numpy().copy() for c in ("node", "root", "block"))
+        node, label, block, side = (x[c].to_numpy().copy() for c in ("node", "root", "block", "side"))
         sig = np.stack(x["sig"].to_list()).view(np.uint64)
         sets = [np.frombuffer(s, np.uint64) for s in x["shingles"]]
         inner, found = x["i"].iloc[0] == x["j"].iloc[0], []
         for a in range(len(node) - 1):
-            at = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & (inner | (block[a + 1 :] != block[a])))
+            at = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & ((side[a] < 0) | (side[a + 1 :] != side[a])) & (inner | (block[a + 1 :] != block[a])))
             at = at[np.bitwise_count(sig[at] ^ sig[a]).sum(1, dtype=np.int64) <= p.distance]
             for b in at.tolist():
                 # a link makes two labels one, so that one link for each pair of labels is enough
@@ -224,49 +290,65 @@ def _across(crowded: DataFrame, known: DataFrame, nodes: DataFrame, p: SimHash,
                     label[label == label[b]] = label[a]
         return pd.DataFrame(found, columns=["u", "v"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: SimHash) -> DataFrame:
-    """Links among the pairs (u, v, differ) whose components are those of all pairs that are similar enough. A node is
-    first compared with the nearest one that it is paired with, and then what that hasn't brought together is."""
-    pairs = kept(pairs)
-    sets = kept(shingle_sets(docs, nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), p))
-    nearest = pairs.groupBy("v").agg(F.min(F.struct("differ", "u")).alias("near")).select("near.u", "v")
-    first = kept(similar(nearest, sets, p.similarity))
-    roots = connected_components(first)
-    of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-    rest = pairs.join(of_u, "u", "left").join(of_v, "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    return first.union(similar(rest, sets, p.similarity))
+    linked = kept(near).join(held, "node").groupBy(*groups).applyInPandas(run, "u long, v long")
+    return linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _stars(named: DataFrame, p: SimHash) -> DataFrame:
+    """(node, u, times): in how many buckets a node meets u, the node of the least root on the other side, or of the whole
+    segment's bucket (of its greatest root, if the least is the node's own); u is null where there is none."""
+    of = Window.partitionBy("key")
+    one = F.struct("root", "node")
+    low, high = F.min(one).over(of), F.max(one).over(of)
+    across = F.when(F.col("side") == 0, F.min(F.when(F.col("side") == 1, one)).over(of)).otherwise(F.min(F.when(F.col("side") == 0, one)).over(of))
+    seen = variants(named, p).select("node", "root", "side", low.alias("low"), high.alias("high"), across.alias("across"))
+    met = F.when(F.col("side") >= 0, F.col("across")).otherwise(F.when(F.col("low.root") != F.col("root"), F.col("low")).otherwise(F.col("high")))
+    seen = seen.select("node", "root", met.alias("met"))
+    return seen.where("met.root <> root").select("node", F.col("met.node").alias("u")).groupBy("node", "u").agg(F.count("*").alias("times"))
+
+
+def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
+    """(u, v) of verified links whose components are those of all candidates. First each node is compared with the one of
+    another component that it shares most buckets with, ROUNDS times; then members of different components are, in all
+    buckets."""
+    named, found, sets = nodes.select("node", "sig", "at", F.col("node").alias("root")), None, None
+    for _ in range(ROUNDS):
+        stars = kept(_stars(named, p))
+        if sets is None:
+            # nodes that share no bucket have nothing to be compared with
+            members = stars.select("node").union(stars.select("u")).distinct()
+            named = kept(named.join(members, "node", "left_semi"))
+            sets = kept(shingle_sets(docs, nodes, members, p)) if p.similarity else nodes
+        best = stars.groupBy("node").agg(F.max(F.struct("times", "u")).alias("best")).select("best.u", F.col("node").alias("v"))
+        if p.similarity:
+            new = similar(best, sets, p.similarity)
+        else:
+            left, right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
+            differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+            new = best.join(left, "u").join(right, "v").where(differ <= p.distance).select("u", "v")
+        roots = kept(connected_components(new if found is None else found.union(new)))
+        # the roots say all that the links so far do
+        found = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v")
+        named = named.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found.union(_across(kept(named), sets, p))
 
 
 def links(nodes: DataFrame, p: SimHash, docs: DataFrame | None = None) -> DataFrame:
     """(u, v) of verified links between different signatures; their components are those of all links. docs: the texts,
     where links have a similarity.
 
-    Buckets of up to PAIRS signatures are paired in full. In larger ones the exact parameters link by
-    masked classes; the others compare every member with the bucket's least and greatest node, and
-    then members of different components among the links so far with one another.
+    Exact parameters pair buckets of up to PAIRS signatures in full, and link larger ones by masked
+    classes; the others link stars first, and then what stars haven't brought together.
     """
+    if not p.exact:
+        return _linked(nodes, p, docs)
     together = F.count("*").over(Window.partitionBy("key"))
-    members = kept(variants(nodes, p).withColumn("n", together).where("n > 1"))
+    members = kept(variants(nodes.withColumn("root", F.col("node")), p).select("key", "node", together.alias("n")).where("n > 1"))
     some = members.where(F.col("n") <= PAIRS)
     mate = some.select("key", F.col("node").alias("v"))
     pairs = some.select("key", F.col("node").alias("u")).join(mate, "key").where("u < v").select("u", "v")
-    crowded = members.where(F.col("n") > PAIRS)
-    if not p.exact:
-        ends = crowded.join(crowded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "key")
-        for end in ("lo", "hi"):
-            pairs = pairs.union(ends.where(f"node <> {end}").select(F.least("node", end), F.greatest("node", end)))
-    if p.width == 64:
-        pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= p.distance).distinct()
-        return pairs.union(_cliques(crowded.select("node").distinct(), p)) if p.exact else pairs.union(_across(crowded, pairs, nodes, p, docs))
-    left, right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
-    both = pairs.distinct().join(left, "u").join(right, "v")
-    differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    near = both.select("u", "v", differ.alias("differ")).where(F.col("differ") <= p.distance)
-    found = kept(_verified(near, nodes, docs, p) if p.similarity else near.select("u", "v"))
-    return found if p.exact else found.union(_across(crowded, found, nodes, p, docs))
+    pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= p.distance).distinct()
+    return pairs.union(_cliques(members.where(F.col("n") > PAIRS).select("node").distinct(), p))
 
 
 def _components(docs: DataFrame, p: SimHash) -> tuple[DataFrame, DataFrame]:
