@@ -119,11 +119,12 @@ class Automaton:
 
     def __init__(self, letters: np.ndarray, base: np.ndarray, cells: np.ndarray):
         # a state without edges stands for a character that the language doesn't have
-        self.base, self.cells, self.foreign = np.append(base, 0).astype(np.int32), cells, len(base)
+        self.base, self.foreign = np.append(base, 0).astype(np.int32), len(base)
+        self.owner, self.target = (cells >> 32).astype(np.int32), (cells & 0xFFFFFFFF).astype(np.uint32).astype(np.int32)
         self.symbol = np.zeros(int(letters[-1]) + 2 if len(letters) else 1, np.int32)
         self.symbol[letters] = np.arange(1, len(letters) + 1)
-        self.start = self._step(np.zeros(len(letters) + 1, np.int64), np.arange(len(letters) + 1))
-        self.start[self.start == 0] = self.foreign
+        first = self.base[0] + np.arange(len(letters) + 1)
+        self.start = np.where(self.owner[first] == 0, self.target[first], self.foreign).astype(np.int32)
 
     @staticmethod
     def made(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,63 +132,36 @@ class Automaton:
         letters, symbols = np.unique(folded(text), return_inverse=True)
         return letters, *laid_out(automaton((symbols + 1).tolist()), len(letters))
 
-    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The state after c, or 0."""
-        cell = self.cells[self.base[state] + c]
-        return np.where(cell >> 32 == state, cell & 0xFFFFFFFF, 0)
-
     def phrases(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of greedy longest matches that make up each of the texts, which follow one another in points.
 
         Parses begin at the start of each stride of each text. One that leaves its stride goes on as the parse that
         begins where it left; one that meets a place from which a phrase is known to begin is known from there on.
         """
-        c = self.symbol[np.minimum(points, len(self.symbol) - 1)]
-        last = np.cumsum(sizes)
+        # each text ends with a symbol that nothing goes on with
+        sizes = np.asarray(sizes, np.int64)
+        last = np.cumsum(sizes + 1) - 1
         first = last - sizes
-        n = len(c)
+        c = np.zeros(len(points) + len(sizes), np.int32)
+        inside = np.ones(len(c), bool)
+        inside[last] = False
+        c[inside] = self.symbol[np.minimum(points, len(self.symbol) - 1)]
+        base, owner, target = self.base, self.owner, self.target
         # of known places: phrases until the stride is left, and where that is
-        count, leaves = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int64)
+        count, leaves = np.zeros(len(c), np.int32), np.zeros(len(c), np.int32)
         strides = -(-sizes // STRIDE)
         text = np.repeat(np.arange(len(sizes)), strides)
-        begin = first[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(strides) - strides, strides))
-        while len(begin):
-            stop = last[text]
-            limit = np.minimum(begin - (begin - first[text]) % STRIDE + STRIDE, stop)
-            walks = np.arange(len(begin))
-            total, left = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
-            seen = [(walks, begin, np.zeros(len(begin), np.int32))]
-            w, at, k = walks, begin.copy(), np.zeros(len(begin), np.int32)
-            state, w_limit, w_stop = self.start[c[at]], limit, stop
-            at += 1
-            while len(w):
-                over = at >= w_stop
-                ends = over.copy()
-                here = c[np.minimum(at, n - 1)]
-                to = self._step(state, here)
-                ends |= to == 0
-                if ends.any():
-                    k[ends] += 1
-                    known = count[at]
-                    done = ends & (over | (at >= w_limit) | (known > 0))
-                    more = ends & ~done
-                    if more.any():
-                        seen.append((w[more], at[more], k[more]))
-                        to[more] = self.start[here[more]]
-                    if done.any():
-                        merges = ~over & (at < w_limit)
-                        total[w[done]] = k[done] + np.where(merges, known, 0)[done]
-                        left[w[done]] = np.where(merges, leaves[at], at)[done]
-                        go = ~done
-                        w, at, k, to, w_limit, w_stop = (x[go] for x in (w, at, k, to, w_limit, w_stop))
-                state = to
-                at += 1
-            for which, place, before in seen:
-                count[place] = total[which] - before
-                leaves[place] = left[which]
+        begin = (first[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(strides) - strides, strides))).astype(np.int32)
+        left = self._from_strides(c, begin, np.minimum(begin + STRIDE, last[text]).astype(np.int32), count, leaves)
+        while True:
             begin, which = np.unique(left, return_index=True)
-            open_ = (begin < stop[which]) & (count[begin] == 0)
-            begin, text = begin[open_], text[which[open_]]
+            text = text[which]
+            open_ = (begin < last[text]) & (count[begin] == 0)
+            begin, text = begin[open_], text[open_]
+            if not len(begin):
+                break
+            limit = np.minimum(begin - (begin - first[text]) % STRIDE + STRIDE, last[text]).astype(np.int32)
+            left = self._from_places(c, begin, limit, count, leaves)
         out, at, live = np.zeros(len(sizes), np.int64), first.copy(), np.flatnonzero(sizes)
         while len(live):
             out[live] += count[at[live]]
@@ -196,6 +170,85 @@ class Automaton:
         return out
 
 
+    def _from_strides(self, c: np.ndarray, begin: np.ndarray, limit: np.ndarray, count: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Parses all strides in step, and says where each is left; count and leaves become known along the way."""
+        base, owner, target, start = self.base, self.owner, self.target, self.start
+        order = np.argsort(begin - limit, kind="stable")
+        begin, size = begin[order], (limit - begin)[order]
+        if not len(begin):
+            return begin
+        # a row for each step, longest strides first, so that those still in theirs are a prefix
+        grid = c[np.minimum(begin[None, :] + np.arange(STRIDE, dtype=np.int32)[:, None], len(c) - 1)]
+        running = np.searchsorted(-size, -np.arange(STRIDE), side="left").tolist()
+        state = start[grid[0]]
+        seen = []
+        for t in range(1, STRIDE):
+            n = running[t]
+            if not n:
+                break
+            now, here = state[:n], grid[t, :n]
+            edge = base[now] + here
+            to = target[edge]
+            miss = np.flatnonzero(owner[edge] != now)
+            to[miss] = start[here[miss]]
+            seen.append((t, miss))
+            state[:n] = to
+        # the phrases that go on over the end
+        left, w, at = np.zeros(len(begin), np.int32), np.arange(len(begin)), begin + size
+        while len(w):
+            edge = base[state] + c[at]
+            goes = owner[edge] == state
+            over = ~goes
+            left[w[over]] = at[over]
+            w, at, state = w[goes], at[goes] + 1, target[edge[goes]]
+        ahead = np.ones(len(begin), np.int32)
+        for t, miss in reversed(seen):
+            place = begin[miss] + t
+            count[place] = n = ahead[miss]
+            leaves[place] = left[miss]
+            ahead[miss] = n + 1
+        count[begin], leaves[begin] = ahead, left
+        out = np.empty_like(left)
+        out[order] = left
+        return out
+
+    def _from_places(self, c: np.ndarray, begin: np.ndarray, limit: np.ndarray, count: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Parses from these places until their stride is left or a known place is met, and says where each leaves."""
+        base, owner, target = self.base, self.owner, self.target
+        w = np.arange(len(begin), dtype=np.int32)
+        total, left, k = np.zeros(len(w), np.int32), np.zeros(len(w), np.int32), np.zeros(len(w), np.int32)
+        seen = [(w, begin, k)]
+        k, at, state = k.copy(), begin + 1, self.start[c[begin]]
+        while len(w):
+            here = c[at]
+            edge = base[state] + here
+            to = target[edge]
+            miss = np.flatnonzero(owner[edge] != state)
+            if len(miss):
+                place, n = at[miss], k[miss] + 1
+                k[miss] = n
+                known = count[place]
+                out = place >= limit[miss]
+                done = out | (known > 0)
+                go = ~done
+                more = miss[go]
+                to[more] = self.start[here[more]]
+                seen.append((w[more], place[go], n[go]))
+                if len(more) < len(miss):
+                    over, out, place = w[miss[done]], out[done], place[done]
+                    total[over] = n[done] + np.where(out, 0, known[done])
+                    left[over] = np.where(out, place, leaves[place])
+                    live = np.ones(len(w), bool)
+                    live[miss[done]] = False
+                    w, at, k, to, limit = w[live], at[live], k[live], to[live], limit[live]
+            state = to
+            at += 1
+        for which, place, before in seen:
+            count[place] = total[which] - before
+            leaves[place] = left[which]
+        return left
+
+
 def train(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The models (MODEL), one row for each language with labelled text, in the shared folder. Learns from text and
     non-null lang of the rows that aren't held out; the sample's texts are those of the least hash, found by a partial
