@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.llm.common import hash_words, kept, packed, unpacked, words_of
-from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segments, windows, with_texts
+from panelscope.llm.winnow import ROW, Units, joined, ragged, shared_segments, text_hash, windows, with_texts
 
 LENGTH = 50
 #: An anchor with at most so many classes has its matches extended pair by pair; beyond, by window fingerprints.
@@ -65,17 +65,17 @@ def _extended(pairs: DataFrame, length: int) -> DataFrame:
 
 def _material(docs: DataFrame, classes: DataFrame, u: Units) -> DataFrame:
     """The unit hashes of each class's owner, as binary."""
-    wanted = classes.select("owner.row", "anchor", "content", "owner.doc_id", "owner.first", "owner.count", "owner.off", "variants")
+    wanted = classes.select("owner.row", "owner.doc_id", "anchor", "content", "owner.first", "owner.count", "owner.off", "variants")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
+            for doc_id, text, items in zip(batch["doc_id"], batch["text"], batch["items"]):
                 values = u.split(unpacked(text))
-                found += [(row, *i.values(), values[i["first"] : i["first"] + i["count"] + u.window - 1].tobytes()) for i in items]
-            yield pd.DataFrame(found, columns=["row", "anchor", "content", "doc_id", "first", "count", "off", "variants", "units"])
+                found += [(doc_id, *i.values(), values[i["first"] : i["first"] + i["count"] + u.window - 1].tobytes()) for i in items]
+            yield pd.DataFrame(found, columns=["doc_id", "anchor", "content", "first", "count", "off", "variants", "units"])
 
-    return with_texts(docs, wanted).mapInPandas(run, "row long, anchor long, content long, doc_id long, first int, count int, off int, variants long, units binary")
+    return with_texts(docs, wanted).mapInPandas(run, "doc_id long, anchor long, content long, first int, count int, off int, variants long, units binary")
 
 
 def _by_window(material: DataFrame, u: Units) -> DataFrame:
@@ -96,22 +96,23 @@ def _by_window(material: DataFrame, u: Units) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, first, count) runs of windows that also start in a document with a smaller doc_id; docs has row, doc_id, text."""
+    """(row, doc_id, first, count) runs of windows that also start in a document with a smaller doc_id; docs has row,
+    doc_id, text."""
     u = units(length)
     docs = docs.where("doc_id is not null")
     shared, classes = shared_segments(docs, u, across=True)
-    material = kept(_material(docs, contested(classes), u))
+    material = kept(_material(docs, classes.where("variants > 1"), u))
     few = material.where(F.col("variants") <= PAIRS)
     other = few.select("anchor", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "off", "units")])
     pairs = few.join(other, "anchor").where("doc_id_b < doc_id")
     found = _extended(pairs, length).union(_by_window(material.where(F.col("variants") > PAIRS), u))
     spans = found.groupBy("anchor", "content").agg(F.collect_set(F.struct("at", "count")).alias("spans"))
-    # a table of its own, so that the join with a very common class can be split
-    told = kept(classes.join(spans, ["anchor", "content"], "left").where("n > 1 or spans is not null").select("anchor", "content", F.col("owner.doc_id").alias("least"), "spans"))
+    told = classes.join(spans, ["anchor", "content"], "left").where("n > 1 or spans is not null")
+    told = kept(told.select("anchor", "content", "n", F.col("owner.doc_id").alias("least"), "spans"))
     # later documents lose the segment in whole; all that the owner's doc_id has of it lose what is earlier still
     lost = F.when(F.col("least") < F.col("doc_id"), F.array(F.struct(F.lit(0).alias("at"), "count"))).otherwise(F.col("spans"))
-    members = shared.join(told, ["anchor", "content"]).select("row", "first", F.explode(lost).alias("lost"))
-    return members.select("row", (F.col("first") + F.col("lost.at")).alias("first"), "lost.count")
+    members = joined(shared, told, ["anchor", "content"]).select(*ROW, "first", F.explode(lost).alias("lost"))
+    return members.select(*ROW, (F.col("first") + F.col("lost.at")).alias("first"), "lost.count")
 
 
 def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -125,9 +126,9 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     made = ("n_words", "n_removed", "kept_text", "kept_sha256")
     columns = [c for c in docs.columns if c not in made]
     own = F.struct(*[c for c in columns if c != "text"], F.lit(1).alias("_")).alias("own")
-    docs = docs.select(own, "doc_id", "text", row_key().alias("row"))
-    spans = repeated_windows(docs, length).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    held = packed(docs.select("row", "own", "text")).join(spans, "row", "left").select("own", "text", "spans")
+    docs = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(1).alias("row"))
+    spans = repeated_windows(docs, length).distinct().groupBy(*ROW).agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    held = packed(docs.select(*ROW, "own", "text")).join(spans, ROW, "left").select("own", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

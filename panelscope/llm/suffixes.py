@@ -2,13 +2,15 @@
 
 The suffix array is sparse. Equal strings of `length` bytes have equal winnowed anchors at equal
 offsets, so only suffixes that start at an anchor are sorted, one for each content that an anchor's
-segment takes; a segment whose anchor occurs once has no repeat, and segments of equal content
-repeat in whole. Each task sorts the suffixes it has into a run and front-codes it: an entry is the
-length of the prefix shared with the entry before, and the rest. Runs are exchanged by range of the
-sort order, and each range is merged by a loser tree that compares two entries from the prefix on
-which both agree with the last output, so that no known byte is read again. The merge leaves the
-shared prefixes of neighbours; suffixes of one anchor stand together, and the window that begins d
-bytes before it repeats if two of them share length - d bytes from the anchor on and d bytes before.
+segment takes, with the number of times that it does; a segment whose anchor occurs once has no
+repeat. The array is in order of the anchors' hashes and then of bytes, so that ranges of equal width
+are even, and need no sample. Each task sorts the suffixes it has into a run and front-codes it: an
+entry is the length of the prefix shared with the entry before, and the rest. Runs are exchanged by
+range, and each range is merged by a loser tree that compares two entries from the prefix on which
+both agree with the last output, so that no known byte is read again. The merge leaves the shared
+prefixes of neighbours; suffixes of one anchor stand together. A content that occurs more than once
+repeats in whole; the window that begins d bytes before the anchor repeats if two contents share
+length - d bytes from the anchor on and d bytes before.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.llm.common import kept, packed, unpacked
-from panelscope.llm.winnow import Units, contested, ragged, row_key, shared_segments, windows, with_texts
+from panelscope.llm.winnow import ROW, Units, joined, ragged, shared_segments, text_hash, windows, with_texts
 
 LENGTH = 200
-#: Suffixes in a sorted run, and in a range that one task merges, about; samples for each range's bound.
-RUN, RANGE, SAMPLE = 1 << 14, 1 << 14, 16
+#: Suffixes in a sorted run, and in a range that one task merges, about.
+RUN, RANGE = 1 << 14, 1 << 14
+#: Bytes of an anchor's hash, which come before those of the suffix.
+HEAD = 8
 #: Up to so many contents of one anchor are compared in pairs, beyond by classes of shared bytes; an anchor with more
 #: than CROWD is spread over tasks by the fingerprints of its windows.
 PAIRS, CROWD = 24, 20_000
@@ -122,24 +126,26 @@ def merged(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]
             node //= 2
 
 
-RUNS = "range int, shared binary, size binary, rests binary, left_size binary, lefts binary, row binary, first binary, count binary, n binary"
+SPANS = "anchor long, content long, at int, count int"
+RUNS = "range int, shared binary, size binary, rests binary, left_size binary, lefts binary, anchor binary, content binary, count binary, n binary"
 
 
-def sorted_runs(material: DataFrame, bounds: list[bytes], gram: int) -> DataFrame:
-    """Front-coded runs by range. A range is of whole grams, so that an anchor's suffixes stay together."""
-    cut = np.array(bounds, f"S{gram}")
+def sorted_runs(material: DataFrame, ranges: int) -> DataFrame:
+    """Front-coded runs by range of the anchor's hash, so that an anchor's suffixes stay together."""
 
     def one(part: pd.DataFrame) -> Iterator[dict]:
-        keys = [c[o:] for c, o in zip(part["content"], part["off"])]
+        anchors = part["anchor"].to_numpy(np.int64).view(np.uint64)
+        heads = anchors.astype(">u8").tobytes()
+        keys = [heads[HEAD * i : HEAD * i + HEAD] + c[o:] for i, (c, o) in enumerate(zip(part["bytes"], part["off"]))]
         order = sorted(range(len(keys)), key=keys.__getitem__)
         part = part.iloc[order]
         keys = [keys[k] for k in order]
-        lefts = [c[:o] for c, o in zip(part["content"], part["off"])]
-        to = np.searchsorted(cut, np.array([k[:gram] for k in keys], f"S{gram}"), side="right") if len(cut) else np.zeros(len(keys), np.int64)
+        lefts = [c[:o] for c, o in zip(part["bytes"], part["off"])]
+        to = (anchors[order] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         for k in np.unique(to):
             at = np.flatnonzero(to == k)
             mine, shared = [keys[i] for i in at], shared_prefixes([keys[i] for i in at])
-            numbers = {c: part[c].to_numpy(np.int64)[at].tobytes() for c in ("row", "first", "count", "n")}
+            numbers = {c: part[c].to_numpy(np.int64)[at].tobytes() for c in ("anchor", "content", "count", "n")}
             yield {
                 "range": k, "shared": shared.astype(np.int32).tobytes(), "size": np.array(list(map(len, mine)), np.int32).tobytes(), "rests": b"".join(x[n:] for x, n in zip(mine, shared.tolist())),
                 "left_size": np.array([len(lefts[i]) for i in at], np.int32).tobytes(), "lefts": b"".join(lefts[i] for i in at), **numbers,
@@ -156,16 +162,16 @@ def sorted_runs(material: DataFrame, bounds: list[bytes], gram: int) -> DataFram
         if n:
             yield pd.DataFrame(list(one(pd.concat(held, ignore_index=True))))
 
-    return material.select("row", "first", "count", "off", "n", "content").mapInPandas(run, RUNS)
+    return material.select("anchor", "content", "count", "off", "n", "bytes").mapInPandas(run, RUNS)
 
 
 @dataclass
 class Entry:
-    """A suffix: the bytes before its anchor, where its segment is, and how often its content occurs."""
+    """A suffix: the bytes before its anchor, the class that it stands for, its windows, and how often it occurs."""
 
     left: bytes
-    row: int
-    first: int
+    anchor: int
+    content: int
     count: int
     n: int
 
@@ -174,12 +180,12 @@ class Entry:
         """The least distance from a window of the segment to the anchor; the greatest is len(left)."""
         return len(self.left) - self.count + 1
 
-    def span(self, least: int, most: int) -> tuple[int, int, int]:
-        """(row, first, count) of the windows at these distances."""
-        return self.row, self.first + len(self.left) - most, most - least + 1
+    def span(self, least: int, most: int) -> tuple[int, int, int, int]:
+        """(anchor, content, at, count) of the windows at these distances, at being the first one's place in the segment."""
+        return self.anchor, self.content, len(self.left) - most, most - least + 1
 
 
-def _repeats_in_pairs(group: list[Entry], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+def _repeats_in_pairs(group: list[Entry], shared: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
     for i, a in enumerate(group):
         ahead = length
         for j in range(i + 1, len(group)):
@@ -194,7 +200,7 @@ def _repeats_in_pairs(group: list[Entry], shared: list[int], length: int) -> Ite
                     yield x.span(least, most)
 
 
-def _repeats_in_classes(group: list[Entry], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+def _repeats_in_classes(group: list[Entry], shared: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
     """For each distance: entries are alike if they share enough after the anchor, by the runs of the shared prefixes,
     and before it, by those of the reversed bytes in their own order."""
     reverse = [e.left[::-1] for e in group]
@@ -216,20 +222,21 @@ def _repeats_in_classes(group: list[Entry], shared: list[int], length: int) -> I
 
 
 def merged_runs(runs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, first, count): windows that repeat, of segments whose content occurs once."""
+    """(anchor, content, at, count): the windows of each class that repeat."""
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         numbers = lambda c, kind: [np.frombuffer(x, kind) for x in part[c]]
         size, left_size = numbers("size", np.int32), numbers("left_size", np.int32)
         sources = [decoded(s, z, r) for s, z, r in zip(numbers("shared", np.int32), size, part["rests"])]
         left_end = [np.cumsum(x) for x in left_size]
-        row, first, count, n = (numbers(c, np.int64) for c in ("row", "first", "count", "n"))
+        anchor, content, count, n = (numbers(c, np.int64) for c in ("anchor", "content", "count", "n"))
         following = [0] * len(sources)
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int]] = []
         group: list[Entry] = []
         shares: list[int] = []
 
         def close() -> None:
+            found.extend(e.span(e.least, len(e.left)) for e in group if e.n > 1)
             if len(group) > 1:
                 found.extend((_repeats_in_pairs if len(group) <= PAIRS else _repeats_in_classes)(group, shares, length))
 
@@ -237,72 +244,62 @@ def merged_runs(runs: DataFrame, length: int, gram: int) -> DataFrame:
         for k, shared in merged(sources):
             i = following[k]
             following[k] += 1
-            if group and shared < gram:
+            if group and shared < HEAD + gram:
                 close()
                 group, shares = [], []
             end = int(left_end[k][i])
-            group.append(Entry(lefts[k][end - int(left_size[k][i]) : end], int(row[k][i]), int(first[k][i]), int(count[k][i]), int(n[k][i])))
-            shares.append(shared if len(group) > 1 else 0)
+            group.append(Entry(lefts[k][end - int(left_size[k][i]) : end], int(anchor[k][i]), int(content[k][i]), int(count[k][i]), int(n[k][i])))
+            shares.append(shared - HEAD if len(group) > 1 else 0)
         close()
-        return pd.DataFrame(found, columns=["row", "first", "count"]).astype("int64")
+        return pd.DataFrame(found, columns=["anchor", "content", "at", "count"]).astype("int64")
 
-    return runs.groupBy("range").applyInPandas(merge, "row long, first long, count long")
+    return runs.groupBy("range").applyInPandas(merge, SPANS)
 
 
 def _material(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """The bytes of one segment of each class."""
-    wanted = classes.select("owner.row", "owner.first", "owner.count", "owner.off", "n", "variants")
+    wanted = classes.select("owner.row", "owner.doc_id", "anchor", "content", "owner.first", "owner.count", "owner.off", "n", "variants")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for row, text, items in zip(batch["row"], batch["text"], batch["items"]):
+            for text, items in zip(batch["text"], batch["items"]):
                 data = as_bytes(unpacked(text))
-                found += [(row, *i.values(), data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items]
-            yield pd.DataFrame(found, columns=["row", "first", "count", "off", "n", "variants", "content"])
+                found += [(*i.values(), data[i["first"] : i["first"] + i["count"] + length - 1]) for i in items]
+            yield pd.DataFrame(found, columns=["anchor", "content", "first", "count", "off", "n", "variants", "bytes"])
 
-    return with_texts(docs, wanted).mapInPandas(run, "row long, first int, count int, off int, n long, variants long, content binary")
-
-
-def _bounds(material: DataFrame, gram: int) -> list[bytes]:
-    """Range bounds: quantiles of a sample of grams, taken by hash, of SAMPLE for each range."""
-    total = material.count()
-    ranges = total // RANGE + 1
-    if ranges < 2:
-        return []
-    share = min(1.0, 1.5 * SAMPLE * ranges / total)
-    drawn = material.where(F.pmod(F.xxhash64("row", "first"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = sorted(bytes(x[0]) for x in drawn.select(F.substring("content", F.col("off") + 1, F.lit(gram))).collect())
-    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    return with_texts(docs, wanted).mapInPandas(run, "anchor long, content long, first int, count int, off int, n long, variants long, bytes binary")
 
 
 def _by_window(material: DataFrame, u: Units) -> DataFrame:
-    """(row, first, count) of repeated windows by their fingerprints: an exact way for anchors with more than CROWD contents."""
+    """(anchor, content, at, count) of repeated windows by their fingerprints: an exact way for anchors with more than CROWD contents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                size = x["content"].str.len().to_numpy(np.int64)
+                size = x["bytes"].str.len().to_numpy(np.int64)
                 which, k = ragged(x["count"].to_numpy(np.int64))
-                values = TABLE[np.frombuffer(b"".join(x["content"]), np.uint8)]
+                values = TABLE[np.frombuffer(b"".join(x["bytes"]), np.uint8)]
                 w1, w2 = windows(values, (np.cumsum(size) - size)[which] + k, u)
-                yield pd.DataFrame({"w1": w1, "w2": w2, "row": x["row"].to_numpy()[which], "n": x["n"].to_numpy()[which], "first": x["first"].to_numpy()[which] + k})
+                yield pd.DataFrame({"w1": w1, "w2": w2, **{c: x[c].to_numpy()[which] for c in ("anchor", "content", "n")}, "at": k})
 
-    each = material.select("content", "row", "first", "count", "n").mapInPandas(run, "w1 long, w2 long, row long, n long, first long")
+    each = material.select("bytes", "anchor", "content", "count", "n").mapInPandas(run, "w1 long, w2 long, anchor long, content long, n long, at int")
     again = each.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    return each.where("n = 1").join(again, ["w1", "w2"], "left_semi").select("row", "first", F.lit(1).cast("long").alias("count"))
+    return each.join(again, ["w1", "w2"], "left_semi").select("anchor", "content", "at", F.lit(1).alias("count"))
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, first, count) runs of starts of strings that start elsewhere too; docs has row, doc_id and text."""
+    """(row, doc_id, first, count) runs of starts of strings that start elsewhere too; docs has row, doc_id and text."""
     u = units(length)
     shared, classes = shared_segments(docs, u, across=False)
-    twice = classes.where("n > 1").select("anchor", "content")
-    whole = shared.join(twice, ["anchor", "content"], "left_semi").select("row", F.col("first").cast("long"), F.col("count").cast("long"))
-    material = kept(_material(docs, contested(classes), length))
+    material = kept(_material(docs, classes.where("n > 1 or variants > 1"), length))
     sparse = material.where(F.col("variants") <= CROWD)
-    single = merged_runs(sorted_runs(sparse, _bounds(sparse, u.gram), u.gram), length, u.gram)
-    return whole.union(single).union(_by_window(material.where(F.col("variants") > CROWD), u))
+    runs = sorted_runs(sparse, material.count() // RANGE + 1)
+    found = merged_runs(runs, length, u.gram).union(_by_window(material.where(F.col("variants") > CROWD), u))
+    spans = found.groupBy("anchor", "content").agg(F.collect_set(F.struct("at", "count")).alias("spans"))
+    told = kept(classes.join(spans, ["anchor", "content"]).select("anchor", "content", "n", "spans"))
+    members = joined(shared, told, ["anchor", "content"]).select(*ROW, "first", F.explode("spans").alias("lost"))
+    return members.select(*ROW, (F.col("first") + F.col("lost.at")).alias("first"), "lost.count")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -315,9 +312,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     made = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256")
     columns = [c for c in docs.columns if c not in made]
     own = F.struct(*[c for c in columns if c != "text"], F.lit(1).alias("_")).alias("own")
-    docs = docs.select(own, "doc_id", "text", row_key().alias("row"))
-    spans = repeated_strings(docs, length).distinct().groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    held = packed(docs.select("row", "own", "text")).join(spans, "row", "left").select("own", "text", "spans")
+    docs = docs.select(own, "text", text_hash(1).alias("row"), text_hash(2).alias("doc_id"))
+    spans = repeated_strings(docs, length).distinct().groupBy(*ROW).agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+    held = packed(docs.select(*ROW, "own", "text")).join(spans, ROW, "left").select("own", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

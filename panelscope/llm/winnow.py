@@ -2,7 +2,8 @@
 
 Every window's anchor is its least-hashed gram, so equal windows have equal anchors at equal offsets.
 Neighbouring windows that share an anchor form a segment, and a text is a chain of segments. Segments
-are compared in place of windows: those with one anchor and one content form a class: both are hashed by polynomials of their own, 128 bits together.
+are compared in place of windows: those with one anchor and one content form a class: both are hashed
+by polynomials of their own, 128 bits together.
 """
 
 from __future__ import annotations
@@ -20,11 +21,26 @@ from panelscope.llm.common import RollingHash, kept, mixed, packed, sliding_mini
 HASHES = RollingHash(0x9E3779B97F4A7C15), RollingHash(0xC2B2AE3D27D4EB4F)
 
 SEGMENT = "row long, doc_id long, anchor long, content long, first int, count int, off int"
+#: What a row is known by: a hash of its text, and its doc_id or a second hash. Repeated rows share both, and share what
+#: is found for them.
+ROW = ["row", "doc_id"]
+#: A key is heavy if more than one in so many rows have it; there can't be more heavy keys than that.
+HEAVY = 2000
 
 
-def row_key() -> Column:
-    """Identifies a row of (doc_id, text): repeated rows share it, and share what is found for them."""
-    return F.xxhash64("doc_id", F.sha1(F.col("text").cast("binary")))
+def text_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.sha1(F.col("text").cast("binary")), "doc_id")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """left with the other columns of right, which has each of its keys once and says in n how many rows of left have it.
+    Heavy keys, HEAVY of them at most, are broadcast, so that their rows stay where they are and no task gets them all."""
+    made = [c for c in right.columns if c not in (*keys, n)]
+    total = right.agg(F.sum(n)).first()[0] or 0
+    told = right.select(*keys, (F.col(n) > total / HEAVY).alias("heavy"), F.struct(F.lit(1).alias("_"), *made).alias("told"))
+    first = left.join(F.broadcast(told.where("heavy").drop("heavy")), keys, "left")
+    rest = first.where("told is null").drop("told").join(told.where("not heavy").drop("heavy"), keys)
+    return first.where("told is not null").unionByName(rest).select(*left.columns, *[f"told.{c}" for c in made])
 
 
 @dataclass(frozen=True)
@@ -76,25 +92,20 @@ def segment_table(docs: DataFrame, u: Units) -> DataFrame:
 
 
 def shared_segments(docs: DataFrame, u: Units, *, across: bool) -> tuple[DataFrame, DataFrame]:
-    """The segments whose anchor occurs again (across: in a document of another doc_id), and their classes:
-    (anchor, content, owner, n), owner being the class's least segment and n the number of its segments. Segments are
-    made twice, for the anchors and for the join, as that costs less than keeping those of unshared text."""
-    found = segment_table(docs if across else docs.withColumn("doc_id", F.lit(None).cast("long")), u)
+    """The segments whose anchor occurs again (across: in a document of another doc_id), and their classes: (anchor,
+    content, owner, n, variants), owner being the class's least segment, n the number of its segments, and variants the
+    number of classes that the anchor has."""
+    found = kept(segment_table(docs, u))
     again = F.min("doc_id") < F.max("doc_id") if across else F.count("*") > 1
-    # a table of its own, so that the join with a very common anchor can be split
-    anchors = kept(found.groupBy("anchor").agg(again.alias("again")).where("again").select("anchor"))
-    shared = kept(found.join(anchors, "anchor", "left_semi"))
+    anchors = kept(found.groupBy("anchor").agg(F.count("*").alias("n"), again.alias("again")).where("again").drop("again"))
+    shared = kept(joined(found, anchors, ["anchor"]))
     owner = F.min(F.struct("doc_id", "row", "first", "count", "off")).alias("owner")
-    return shared, kept(shared.groupBy("anchor", "content").agg(owner, F.count("*").alias("n")))
-
-
-def contested(classes: DataFrame) -> DataFrame:
-    """The classes of anchors that have several, with their number as `variants`."""
-    several = classes.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
-    return classes.join(several, "anchor")
+    classes = kept(shared.groupBy("anchor", "content").agg(owner, F.count("*").alias("n")))
+    variants = classes.groupBy("anchor").agg(F.count("*").alias("variants"))
+    return shared, classes.join(variants, "anchor")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, text, items) for the rows of `wanted`, text packed; items lists its other columns, one text's own segments."""
-    items = wanted.groupBy("row").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "row"])).alias("items"))
-    return packed(docs.select("row", "text")).join(items, "row").dropDuplicates(["row"])
+    """(row, doc_id, text, items) for the rows of `wanted`, text packed; items lists its other columns, one text's own segments."""
+    items = wanted.groupBy(*ROW).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in ROW])).alias("items"))
+    return packed(docs.select(*ROW, "text")).join(items, ROW).dropDuplicates(ROW)
