@@ -101,5 +101,32 @@ best AS (
 SELECT n.page_id, n.host, n.path, b.rule,
        coalesce(b.verdict, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canon IS NOT NULL AS listed
 FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path LEFT JOIN listed l ON n.canon = l.canon
+""",
+    "op4_suffix_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, i, array_slice(b, i, i + 199) AS s FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM docs WHERE octet_length(b) >= 200)),
+twice AS (SELECT s FROM starts GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS begins FROM starts SEMI JOIN twice USING (s)),
+runs AS (SELECT r, i, sum(begins::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM hits),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 199 AS z FROM runs GROUP BY r, k),
+pieces AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) + 1 AS a, a - 1 AS z FROM spans
+  UNION ALL SELECT r, coalesce(max(s.z), 0) + 1, any_value(octet_length(b)) FROM docs LEFT JOIN spans s USING (r) GROUP BY r),
+kept AS (SELECT r, unhex(string_agg(hex(array_slice(b, a, z)), '' ORDER BY a)) AS left_over FROM pieces JOIN docs USING (r) WHERE a <= z GROUP BY r),
+counts AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(left_over, ''::BLOB)) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+""",
+    "op7_substring_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(words[i : i + 49], ' ') AS w
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE doc_id IS NOT NULL AND len(words) >= 50)),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM windows JOIN firsts USING (w) WHERE least < doc_id),
+each AS (SELECT r, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS word FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM each ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
 """,
 }

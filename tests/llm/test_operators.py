@@ -663,6 +663,10 @@ def test_extraction(spark):
     assert extraction.main_text(PAGE) == "Head & shoulders\nFirst bold text here.\nSecond <paragraph> is é longer with a link in it.\nOne item\nEnd."
     plain = f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p>{' '.join(['word'] * 60)}</p><p>{' '.join(['more'] * 50)}</p><div><a href=x>next page</a></div></body>"
     assert extraction.main_text(plain).split("\n") == [" ".join(["word"] * 60), " ".join(["more"] * 50)]
+    assert extraction.main_text("<article><p>one</p><p><a>Share</a> <a>Tweet</a></p></article>") == "one"
+    cards = "".join(f'<a href="{k}"><div>Card title {k}</div><div>A teaser of some words for it</div></a>' for k in range(4))
+    assert extraction.main_text(f"<div><p>{'word ' * 60}</p>{cards}</div>") == ("word " * 60).strip()
+    assert extraction.main_text("<article><p>Energy is <math><mi>E</mi></math> here</p></article>") == "Energy is E here"
     assert extraction.main_text("<article><p>one</p><p a='1") == "one" and extraction.main_text("<article><p>x<script>never ends <p>y</p>") == "x"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<article>" + "<p>long text</p>" * 20000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -670,6 +674,70 @@ def test_extraction(spark):
     assert Counter((r["page_id"], r["n_chars"]) for r in got) == Counter({(1, len(extraction.main_text(PAGE))): 2, (2, 0): 1, (3, 0): 1, (None, 20000 * 10 - 1): 1})
 
 
+def built_pages(rng):
+    """(shape, page, main blocks) of pages built from known parts: shapes that no labelled page was made from."""
+    prose = lambda low, high: " ".join(rng.choices(VOCABULARY, k=rng.randint(low, high)))
+    link = lambda low=1, high=4: f'<a href="/{rng.randrange(99)}">{prose(low, high)}</a>'
+    linked = lambda n, tag="li": "".join(f"<{tag}>{link()}</{tag}>" for _ in range(n))
+    for k in range(10):
+        for shape in ("article", "main", "divs", "old", "cards", "comments"):
+            main, body = [prose(3, 12)], []
+            for _ in range(rng.randint(4, 9)):
+                main.append(prose(20, 120) if shape in ("divs", "old") else prose(1, 90))
+            head, *texts = main
+            inside = []
+            for i, t in enumerate(texts):
+                if i % 3 == 1 and len(t.split()) > 12:
+                    w = t.split()
+                    t_html = " ".join(w[:5]) + f' <a href="x">{w[5]}</a> ' + " ".join(w[6:])
+                else:
+                    t_html = t
+                inside.append(f"<p>{t_html}</p>" if i % 4 != 3 else f"<ul><li>{t_html}</li></ul>")
+            between = rng.randrange(1, len(inside))
+            top = f"<ul>{linked(rng.randint(3, 8))}</ul>"
+            if shape == "article":
+                inside.insert(between, f'<div class="advert">{prose(4, 30)}</div><aside>{prose(3, 30)}</aside>')
+                body = f"<nav>{top}</nav><header><p>{prose(2, 9)}</p></header><article><h1>{head}</h1>{''.join(inside)}</article><footer><p>{prose(4, 40)}</p></footer>"
+            elif shape == "main":
+                inside.insert(between, f"<p>{link(1, 1)} {link(1, 1)} {link(1, 1)}</p>")
+                body = f'<div id="cookie-notice">{prose(20, 50)}</div><div role="navigation">{top}</div><div role="main"><h2>{head}</h2>{"".join(inside)}<form><label>{prose(2, 4)}</label></form></div><div class="site-footer">x</div><div id="footer">{prose(5, 30)}</div>'
+            elif shape == "divs":
+                body = f"<div>{top}</div><div><h1>{head}</h1>{''.join(inside)}</div><div>{linked(6, 'div')}</div><div>\u00a9 {prose(2, 9)}</div>"
+            elif shape == "old":
+                body = f"<table><tr>{linked(5, 'td')}</tr><tr><td><h1>{head}</h1>{''.join(inside)}</td></tr><tr>{linked(4, 'td')}</tr></table>"
+            elif shape == "cards":
+                cards = "".join(f'<a href="/c{i}"><h3>{prose(3, 8)}</h3><div>{prose(8, 25)}</div></a>' for i in range(3))
+                body = f"<nav>{top}</nav><article><h1>{head}</h1>{''.join(inside)}<h3>{prose(1, 3)}</h3>{cards}</article>"
+            else:
+                said = "".join(f"<p>{prose(2, 60)}</p>" for _ in range(4))
+                body = f"<nav>{top}</nav><article><h1>{head}</h1>{''.join(inside)}</article><div><h3>{rng.choice(['Comments', '12 Comments', 'Leave a reply'])}</h3>{said}</div>"
+            yield shape, f"<html><head><title>{head}</title></head><body>{body}</body></html>", main
+
+
+def test_extraction_on_held_out_pages():
+    """60 pages of six shapes: nine in ten come out whole, and of all blocks 98 in 100 are judged rightly."""
+    whole, right, of = Counter(), 0, 0
+    for shape, page, main in built_pages(random.Random(23)):
+        got = extraction.main_text(page).split("\n")
+        whole[shape] += got == main
+        everything = Counter(extraction.blocks(page)[0])
+        wrong = (Counter(got) - Counter(main)) + (Counter(main) - Counter(got))
+        of += sum(everything.values())
+        right += sum(everything.values()) - sum(wrong.values())
+    assert sum(whole.values()) >= 54 and right / of >= 0.98, (whole, right / of)
+
+
+@pytest.mark.parametrize("article", [0, 1])
+def test_extraction_goes_by_neighbours(article):
+    """The same block is text or not by the link density around it, in and out of an article."""
+    block = extraction.Block(4, 0, 0, 1, article, 0, 0, 0)
+    prose, links = extraction.Block(50, 0, 0, 0, article, 0, 0, 0), extraction.Block(5, 5, 1, 0, article, 0, 0, 0)
+    judged = lambda *page: extraction.is_main(extraction.features(list(page))[1])
+    assert judged(prose, block, prose) and not judged(prose, block, links) and not judged(links, block, links)
+    one = extraction.Block(5, 5, 1, 0, 1, 0, 0, 0)
+    assert judged(prose, one, prose) and not judged(prose, one, links) and not judged(links, one, prose)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.example.ORG/es/x"), (2, "https://example.org/en/12?q=1"), (3, "https://example.org/en/2"), (4, "http://www.x.net/p/?utm_source=a&b=1#f"), (5, "http://x.net/p?b=1"),
@@ -744,7 +812,8 @@ def test_pipeline_clears_its_tables(spark, tmp_path):
     assert {x for x in os.listdir(shared) if x.startswith("table-")} == before
 
 
-def test_op1_matches_sql(spark):
+@pytest.mark.parametrize("name", ["op1_url_filters", "op4_suffix_dedup", "op7_substring_dedup"])
+def test_query_matches_sql(spark, name):
     import os
 
     from panelscope.llm import queries
@@ -753,8 +822,10 @@ def test_op1_matches_sql(spark):
     if not os.path.isdir(sf):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("pages", "labels"):
+    for t in ("pages", "labels", "documents"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    known = con.execute(queries.SQL["op1_url_filters"])
+    known = con.execute(queries.SQL[name])
     names = [d[0] for d in known.description]
-    assert sorted(map(repr, known.fetchall())) == sorted(repr(tuple(r)) for r in queries.QUERIES["op1_url_filters"](spark, sf).select(*names).collect())
+    df = queries.QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, known.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*names).collect())
