@@ -142,7 +142,7 @@ def features(found: list[Block]) -> list[tuple]:
     return [(*sizes[k + 1], b.links, *sizes[k], *sizes[k + 2], *b[3:]) for k, b in enumerate(found)]
 
 
-#: Labelled pages (fixed values): each block is words, linked words, links, heading, article, aside, notice, closed, and 1 for main text.
+#: Labelled pages: each block is words, linked words, links, heading, article, aside, notice, closed, and 1 for main text.
 LABELLED = (
     # a news page: menu, site header, article with a linked word, a share bar and a related list inside it, footer
     ((1, 1, 1, 0, 0, 1, 0, 0, 0), (1, 1, 1, 0, 0, 1, 0, 0, 0), (2, 2, 1, 0, 0, 1, 0, 0, 0), (8, 0, 0, 0, 0, 1, 0, 0, 0), (9, 0, 0, 1, 1, 0, 0, 0, 1), (62, 0, 0, 0, 1, 0, 0, 0, 1), (110, 4, 1, 0, 1, 0, 0, 0, 1),

@@ -415,6 +415,32 @@ def test_resampling(spark):
     assert all(not r[4] and r[3] is None for r in once if r[1] == 0)
 
 
+def test_resampling_weights_by_brute_force(spark):
+    """Each weight from its definition: the likelihood ratio of the two smoothed models, the text's own counts left out;
+    also of a very long text."""
+    rng = random.Random(24)
+    rows = [(k, " ".join(rng.choices(VOCABULARY, k=rng.randint(1, 80)))) for k in range(60)] + [(60, " ".join(rng.choices(VOCABULARY, k=30_000))), (61, "")]
+    good = {k for k in range(0, 60, 3)} | {60}
+    labels = spark.createDataFrame([(k, int(k in good), 0) for k in range(61)], "doc_id long, quality int, toxic int")
+    s = resampling.Settings(buckets=997, smoothing=2.0, share=0.5)
+    got = {r["doc_id"]: r for r in resampling.resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels, s).collect()}
+    counts = {d: Counter(resampling.grams(t, s.buckets)[0].tolist()) for d, t in rows}
+    target, raw = Counter(), Counter()
+    for d, c in counts.items():
+        raw.update(c)
+        target.update(c if d in good else {})
+    for d, c in counts.items():
+        if not c:
+            assert got[d]["log_weight"] is None
+            continue
+        own, size = (c, sum(c.values())) if d in good else (Counter(), 0)
+        of_target, of_raw = sum(target.values()) - size, sum(raw.values()) - sum(c.values())
+        want = sum(n * math.log(((target[b] - own[b]) / of_target * of_raw + s.smoothing) / (raw[b] - c[b] + s.smoothing)) for b, n in c.items())
+        assert got[d]["log_weight"] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    keys = sorted((r["sample_key"] for r in got.values() if r["sample_key"] is not None), reverse=True)
+    assert {d for d, r in got.items() if r["kept"]} == {d for d, r in got.items() if r["sample_key"] is not None and r["sample_key"] >= keys[round(0.5 * len(keys)) - 1] - 1e-9}
+
+
 def test_threshold_is_the_kth_largest(spark):
     rng = random.Random(9)
     keys = [rng.randrange(-(2**62), 2**62) for _ in range(300)] + [5] * 40 + [-1] * 3
@@ -669,7 +695,7 @@ def test_extraction(spark):
     assert extraction.main_text("<article><p>Energy is <math><mi>E</mi></math> here</p></article>") == "Energy is E here"
     assert extraction.main_text("<article><p>one</p><p a='1") == "one" and extraction.main_text("<article><p>x<script>never ends <p>y</p>") == "x"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<article>" + "<p>long text</p>" * 20000)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("x")).withColumn("words", F.lit(1))
     got = extraction.extracted(df).collect()
     assert Counter((r["page_id"], r["n_chars"]) for r in got) == Counter({(1, len(extraction.main_text(PAGE))): 2, (2, 0): 1, (3, 0): 1, (None, 20000 * 10 - 1): 1})
 
