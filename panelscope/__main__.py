@@ -7,16 +7,22 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.operators import backtest, benchmarks, detectors, features, gaussian, momentum, panel
+from panelscope.operators import backtest, detectors, features, gaussian, momentum, panel
+from panelscope.schema import Config
 from panelscope.sources import prices
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
-    wide = prices.read_wide(spark, a.prices, a.date_column)
-    long = panel.normalised(panel.wide_to_long(wide))
-    prices.write_table(features.add_features(panel.add_country_region(long)), f"{a.out_dir}/panel.parquet", by_year=True)
-    if a.benchmark:
-        prices.write_table(benchmarks.stacked(prices.read_benchmark(spark, a.benchmark), benchmarks.equal_weight_index(long)), f"{a.out_dir}/benchmarks.parquet")
+    c = a.config
+    workbook = a.prices.endswith((".xlsx", ".xls"))
+    if a.benchmark or workbook:
+        _, long, both = prices.load_market(spark, a.prices, a.benchmark, a.date_column)
+        prices.write_table(both, f"{a.out_dir}/benchmarks.parquet")
+    else:
+        long = panel.add_country_region(panel.normalised(panel.wide_to_long(prices.read_wide(spark, a.prices, a.date_column))))
+    if c.assets:
+        long = long.where(F.col("ticker").isin(*c.assets))
+    prices.write_table(features.add_features(long, c.return_horizons, c.vol_windows), f"{a.out_dir}/panel.parquet", by_year=True)
 
 
 def _panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +33,7 @@ def cpd(spark: SparkSession, a: argparse.Namespace) -> None:
     """Scores of daily log returns for each lookback, labelled with the last date of the window."""
     daily = _panel(spark, a.in_dir).withColumn("r", features.log_return(1))
     returns = detectors.simple_returns(daily).drop("r").join(daily.select("ticker", "date", "r"), ["ticker", "date"])
-    for k in a.lbw:
+    for k in a.lbw or [a.config.lbw]:
         prices.write_table(gaussian.gp_scores(returns, k, a.stride).withColumn("lbw", F.lit(k)), f"{a.out_dir}/cpd_{k}.parquet")
 
 
@@ -36,7 +42,7 @@ def run_backtest(spark: SparkSession, a: argparse.Namespace) -> None:
     data = _panel(spark, a.data_dir)
     position = momentum.tsmom_position(data, a.weight).withColumn("position", F.lag("position").over(momentum._by_t()))
     returns = detectors.simple_returns(data)
-    scaled = returns.join(momentum.vol_scaled(returns), ["ticker", "t"])
+    scaled = returns.join(momentum.vol_scaled(returns, a.config.vol_target, a.config.ewm_span), ["ticker", "t"])
     held = scaled.join(position.select("ticker", (F.col("t") - 1).alias("t"), "position"), ["ticker", "t"]).withColumn("r", F.col("position") * F.col("scaled"))
     tests = backtest.fold_rows(held.select("ticker", "date", "t", "r"), backtest.folds(spark, a.start, a.first_test, a.end)).where("part = 'test' and r is not null")
     daily = tests.groupBy("fold", "date").agg(F.avg("r").alias("r")).withColumn("t", F.unix_date("date"))
@@ -45,20 +51,22 @@ def run_backtest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="panelscope", description=__doc__)
+    common = argparse.ArgumentParser(add_help=False)
+    common.add_argument("--config", type=Config.read, default=Config(), help="YAML or JSON file of parameters")
     sub = parser.add_subparsers(required=True)
-    p = sub.add_parser("build")
+    p = sub.add_parser("build", parents=[common])
     p.add_argument("--prices", required=True)
     p.add_argument("--benchmark")
     p.add_argument("--date-column", default="Ticker")
     p.add_argument("--out-dir", required=True)
     p.set_defaults(run=build)
-    p = sub.add_parser("cpd")
-    p.add_argument("--lbw", type=int, nargs="+", default=[21])
+    p = sub.add_parser("cpd", parents=[common])
+    p.add_argument("--lbw", type=int, nargs="+")
     p.add_argument("--stride", type=int, default=1)
     p.add_argument("--in-dir", required=True)
     p.add_argument("--out-dir", required=True)
     p.set_defaults(run=cpd)
-    p = sub.add_parser("backtest")
+    p = sub.add_parser("backtest", parents=[common])
     p.add_argument("--data-dir", required=True)
     p.add_argument("--weight", type=float, default=0.0)
     for name, year in (("start", 1990), ("first-test", 1995), ("end", 2020)):

@@ -67,8 +67,8 @@ def detail(evaluated: DataFrame, methods: list[str]) -> DataFrame:
 
 
 def formatted(evaluated: DataFrame) -> DataFrame:
-    """The evaluation as text: counts, percentages with one decimal, and the mean delay in days."""
-    share = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
-    delay = F.coalesce(F.format_string("%+.1f", F.col("mean_delay").cast("double")), F.lit("-"))
+    """The evaluation as text: counts, percentages with one decimal, and the mean delay in days; halves go to the even digit."""
+    share = lambda c: F.format_string("%.1f%%", F.bround(F.col(c) * 100, 1))
+    delay = F.coalesce(F.format_string("%+.1f", F.bround(F.col("mean_delay").cast("double"), 1)), F.lit("-"))
     delay = F.when(F.col("mean_delay").isNull(), "-").otherwise(delay)
     return evaluated.select("ticker", "method", F.col("n_det").alias("detections"), share("fpr").alias("fpr"), share("recall").alias("recall"), delay.alias("mean_delay"))

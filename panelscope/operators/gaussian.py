@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from panelscope.operators.detectors import cooled
 
-#: Jitter of the covariance, value of a failed likelihood, bound of log parameters (fixed values).
-JITTER, FAILED, LOG_BOUND = 1e-6, 1e10, 10.0
+#: Jitter of the covariance, value of a failed likelihood, bound of log parameters, and what stands for infinite
+#: covariances of either sign (fixed values).
+JITTER, FAILED, LOG_BOUND, INFINITE = 1e-6, 1e10, 10.0, (1e10, 0.0)
 
 
 def matern32(n: int, scale: np.ndarray, length: np.ndarray) -> np.ndarray:
     """(windows, n, n) covariances of positions 0..n-1."""
     gap = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
     r = np.sqrt(3.0) * gap / np.maximum(length, 1e-10)[:, None, None]
-    return np.nan_to_num(scale[:, None, None] ** 2 * (1 + r) * np.exp(-r), nan=0.0, posinf=1e10, neginf=0.0)
+    return np.nan_to_num(scale[:, None, None] ** 2 * (1 + r) * np.exp(-r), nan=0.0, posinf=INFINITE[0], neginf=INFINITE[1])
 
 
 def blend(n: int, centre: np.ndarray, steepness: np.ndarray) -> np.ndarray:
@@ -199,6 +200,25 @@ def gp_scores(returns: DataFrame, lookback: int = 21, stride: int = 1, value: st
     return scored.select("ticker", "t", "last_date", F.when(~F.isnan("s.nu"), F.col("s.nu")).alias("nu"), F.when(~F.isnan("s.gamma"), F.col("s.gamma")).alias("gamma"))
 
 
+def placed(daily: DataFrame) -> DataFrame:
+    """(ticker, t, date, r) of a column r that is null on each ticker's first date, t counting from the second."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    return daily.select("ticker", (F.row_number().over(w) - 2).alias("t"), "date", "r").where("t >= 0")
+
+
+def rolled(scores: DataFrame, hot: float = 0.9, top: int = 5) -> DataFrame:
+    """Per ticker: n_windows, mean_nu over those that have a score, n_hot of nu over `hot`, the hot_dates in order, and the
+    `top` highest as (nu, last_date), the earlier first on ties."""
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc_nulls_last("nu"), "last_date"))
+    is_hot = F.coalesce(F.col("nu") > hot, F.lit(False))
+    high = F.when((F.col("rank") <= top) & F.col("nu").isNotNull(), F.struct("rank", "nu", "last_date"))
+    made = scores.withColumn("rank", rank).groupBy("ticker").agg(
+        F.count("*").alias("n_windows"), F.avg("nu").alias("mean_nu"), F.count_if(is_hot).alias("n_hot"),
+        F.array_sort(F.collect_list(F.when(is_hot, F.col("last_date")))).alias("hot_dates"), F.array_sort(F.collect_list(high)).alias("high"),
+    )
+    return made.withColumn("highest", F.transform("high", lambda x: F.struct(x["nu"].alias("nu"), x["last_date"].alias("last_date")))).drop("high")
+
+
 def fits(windows: DataFrame, model: str = "matern") -> DataFrame:
     """windows with nlml and parameters of the matern or changepoint fit of column `window`, taken as standardised."""
 

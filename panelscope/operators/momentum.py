@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.functions.stats import ratio_return
+from panelscope.functions.stats import clean, ratio_return
 from panelscope.schema import TRADING_DAYS
 
 
@@ -15,75 +18,70 @@ def _by_t() -> Window:
     return Window.partitionBy("ticker").orderBy("t")
 
 
-def _ewm_fold(xs: Column, alpha: float) -> Column:
-    """array<struct(mean, sd)>: adjusted exponentially weighted mean and unbiased deviation after each value. Weights
-    are rescaled at each step, so that no length overflows; nulls age the weights and give what went before."""
-    keep = 1 - alpha
-
-    def step(s: Column, x: Column) -> Column:
-        has = x["v"].isNotNull()
-        v = F.coalesce(x["v"], F.lit(0.0))
-        add = F.when(has, 1.0).otherwise(0.0)
-        # moments around the first value seen, against cancellation
-        ref = F.coalesce(s["ref"], x["v"])
-        c = v - F.coalesce(ref, F.lit(0.0))
-        w, w2 = s["w"] * keep + add, s["w2"] * keep * keep + add
-        a, b = s["a"] * keep + add * c, s["b"] * keep + add * c * c
-        mean = F.try_divide(a, w)
-        bias = F.try_divide(w * w, w * w - w2)
-        var = F.greatest(F.lit(0.0), F.try_divide(b, w) - mean * mean) * bias
-        n = s["n"] + F.when(has, 1).otherwise(0)
-        # one column of each step goes to the result
-        row = F.struct(x["t"].alias("t"), (mean + ref).alias("mean"), F.when(n >= 2, F.sqrt(var)).alias("sd"))
-        return F.struct(ref.alias("ref"), w.alias("w"), w2.alias("w2"), a.alias("a"), b.alias("b"), n.alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    zero = F.lit(0.0)
-    none = F.struct(
-        F.lit(None).cast("double").alias("ref"), zero.alias("w"), zero.alias("w2"), zero.alias("a"), zero.alias("b"), F.lit(0).alias("n"),
-        F.array().cast("array<struct<t:int,mean:double,sd:double>>").alias("out"),
-    )
-    return F.aggregate(xs, none, step, lambda s: s["out"])
+#: Rows of price history that the model features look back (fixed values).
+NORM_HORIZONS = (1, 21, 63, 126, 252)
+MACD_PAIRS = ((8, 24), (16, 28), (32, 96))
+
+
+def ewm(values: DataFrame, specs: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """values (ticker, t, ...) with a column for each of specs: {name: (column, "mean" or "sd", decay)}, adjusted
+    exponentially weighted moments of the column up to t, of which each row before counts `decay` times the next. Nulls
+    age the weights and give what went before; sd is unbiased, and null before the second value.
+
+    All moments come from one pass: a group is one ticker's rows, sent to Python as Arrow columns, so that a step of the
+    recursion costs the same however long the history is.
+    """
+    kinds = dict(values.dtypes)
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t", ignore_index=True)
+        for name, (column, moment, decay) in specs.items():
+            weighted = group[column].astype(float).ewm(alpha=1 - decay, adjust=True, ignore_na=False)
+            group[name] = weighted.mean() if moment == "mean" else weighted.std()
+        return group
 
-def ewm(values: DataFrame, column: str, span: float | None = None, halflife: float | None = None) -> DataFrame:
-    """(ticker, t, mean, sd) by a fold over a ticker's values in order of t."""
-    alpha = 2 / (span + 1) if span else 1 - math.exp(math.log(0.5) / halflife)
-    rows = values.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).alias("v")))).alias("xs"))
-    return rows.select("ticker", F.inline(_ewm_fold(F.col("xs"), alpha)))
+    made = values.groupBy("ticker").applyInPandas(run, ", ".join([f"`{c}` {kinds[c]}" for c in values.columns] + [f"`{name}` double" for name in specs]))
+    return made.select(*values.columns, *[clean(F.col(name)).alias(name) for name in specs])
+
+
+def _span(span: float) -> float:
+    return 1 - 2 / (span + 1)
 
 
 def ewm_vol(returns: DataFrame, span: int = 60) -> DataFrame:
     """(ticker, t, vol): exponentially weighted deviation of daily returns."""
-    return ewm(returns, "r", span=span).select("ticker", "t", F.col("sd").alias("vol"))
+    return ewm(returns.select("ticker", "t", "r"), {"vol": ("r", "sd", _span(span))}).select("ticker", "t", "vol")
 
 
 def vol_scaled(returns: DataFrame, target: float = 0.15, span: int = 60) -> DataFrame:
     """(ticker, t, scaled): r * target over the day before's yearly volatility."""
-    joined = returns.join(ewm_vol(returns, span), ["ticker", "t"])
+    known = ewm(returns.select("ticker", "t", "r"), {"vol": ("r", "sd", _span(span))})
     before = F.lag("vol").over(_by_t()) * math.sqrt(TRADING_DAYS)
-    return joined.select("ticker", "t", (F.col("r") * F.try_divide(F.lit(target), before)).alias("scaled"))
+    return known.select("ticker", "t", (F.col("r") * F.try_divide(F.lit(target), before)).alias("scaled"))
 
 
-def normalised_returns(panel: DataFrame, horizons: tuple[int, ...] = (1, 21, 63, 126, 252), span: int = 60) -> DataFrame:
-    """(ticker, t, norm_<k>): return over k rows by the daily volatility times the root of k. t counts price rows from 0."""
+def _placed(panel: DataFrame) -> DataFrame:
+    """(ticker, t, price), t counting price rows from 0."""
     w = Window.partitionBy("ticker").orderBy("date")
-    rows = panel.select("ticker", "date", "price", (F.row_number().over(w) - 1).alias("t"))
-    rows = rows.withColumn("r", ratio_return(F.col("price"), F.lag("price").over(_by_t())))
-    rows = rows.join(ewm_vol(rows, span), ["ticker", "t"])
-    made = {f"norm_{k}": F.try_divide(ratio_return(F.col("price"), F.lag("price", k).over(_by_t())), F.col("vol") * math.sqrt(k)) for k in horizons}
-    return rows.withColumns(made).select("ticker", "t", *made)
+    return panel.select("ticker", (F.row_number().over(w) - 1).alias("t"), "price")
 
 
-def macd(panel: DataFrame, short: int = 8, long: int = 24, price_window: int = 63, signal_window: int = 252) -> DataFrame:
-    """(ticker, t, macd): difference of two exponential means of the price, by the price's deviation and then by its own."""
-    w = Window.partitionBy("ticker").orderBy("date")
-    rows = panel.select("ticker", "price", (F.row_number().over(w) - 1).alias("t"))
-    half = lambda s: math.log(0.5) / math.log(1 - 1 / s)
-    means = [ewm(rows, "price", halflife=half(s)).select("ticker", "t", F.col("mean").alias(name)) for s, name in ((short, "fast"), (long, "slow"))]
-    both = rows.join(means[0], ["ticker", "t"]).join(means[1], ["ticker", "t"])
+def normalised_returns(panel: DataFrame, horizons: tuple[int, ...] = NORM_HORIZONS, span: int = 60) -> DataFrame:
+    """(ticker, t, norm_<k>): return over k rows by the daily volatility times the root of k. t counts price rows from 0."""
+    back = {f"r_{k}": ratio_return(F.col("price"), F.lag("price", k).over(_by_t())) for k in {1, *horizons}}
+    known = ewm(_placed(panel).withColumns(back).drop("price"), {"vol": ("r_1", "sd", _span(span))})
+    return known.select("ticker", "t", *[F.try_divide(F.col(f"r_{k}"), F.col("vol") * math.sqrt(k)).alias(f"norm_{k}") for k in horizons])
+
+
+def macd(panel: DataFrame, pairs: tuple[tuple[int, int], ...] = MACD_PAIRS, price_window: int = 63, signal_window: int = 252) -> DataFrame:
+    """(ticker, t, macd_<short>_<long>): difference of two exponential means of the price, of time scales short and long,
+    by the price's deviation and then by its own."""
+    scales = sorted({s for pair in pairs for s in pair})
+    known = ewm(_placed(panel), {f"mean_{s}": ("price", "mean", 1 - 1 / s) for s in scales})
     rolling = lambda c, n: F.when(F.count(c).over(_by_t().rowsBetween(1 - n, 0)) == n, F.stddev_samp(c).over(_by_t().rowsBetween(1 - n, 0)))
-    q = both.withColumn("q", F.try_divide(F.col("fast") - F.col("slow"), rolling("price", price_window)))
-    return q.select("ticker", "t", F.try_divide(F.col("q"), rolling("q", signal_window)).alias("macd"))
+    known = known.withColumn("deviation", rolling("price", price_window))
+    known = known.withColumns({f"q_{a}_{b}": F.try_divide(F.col(f"mean_{a}") - F.col(f"mean_{b}"), F.col("deviation")) for a, b in pairs})
+    return known.select("ticker", "t", *[F.try_divide(F.col(f"q_{a}_{b}"), rolling(f"q_{a}_{b}", signal_window)).alias(f"macd_{a}_{b}") for a, b in pairs])
 
 
 def tsmom_position(panel: DataFrame, weight: float = 0.5, slow: int = 252, fast: int = 21) -> DataFrame:
@@ -93,10 +91,16 @@ def tsmom_position(panel: DataFrame, weight: float = 0.5, slow: int = 252, fast:
     return panel.select("ticker", (F.row_number().over(w) - 1).alias("t"), ((1 - weight) * sign(slow) + weight * sign(fast)).alias("position"))
 
 
-def macd_position(macd_frame: DataFrame) -> DataFrame:
-    """(ticker, t, position): the response y * exp(-y**2 / 4) / 0.89 to a MACD signal."""
-    y = F.col("macd")
-    return macd_frame.select("ticker", "t", (y * F.exp(-y * y / 4) / 0.89).alias("position"))
+def macd_position(signals: DataFrame, pairs: tuple[tuple[int, int], ...] = MACD_PAIRS) -> DataFrame:
+    """(ticker, t, position): the mean over the pairs of the response y * exp(-y**2 / 4) / 0.89 to a MACD signal; null
+    where one is."""
+    y = [F.col(f"macd_{a}_{b}") for a, b in pairs]
+    return signals.select("ticker", "t", (reduce(operator.add, [x * F.exp(-x * x / 4) / 0.89 for x in y]) / len(y)).alias("position"))
+
+
+def long_only(panel: DataFrame) -> DataFrame:
+    """(ticker, t, position): always 1."""
+    return _placed(panel).select("ticker", "t", F.lit(1.0).alias("position"))
 
 
 def portfolio_metrics(returns: DataFrame, by: str = "ticker") -> DataFrame:

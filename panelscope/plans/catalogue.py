@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.functions.stats import gauss_legendre
+from panelscope.functions.stats import DEVIATIONS, RAISED, RATIO, gauss_legendre
 from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum
 from panelscope.operators import panel as shapes
 from panelscope.plans import market
@@ -82,7 +82,7 @@ ew_daily AS (SELECT date, sum(r) AS total, count(*) FILTER (starts) AS starts FR
 ew_ret AS (SELECT date, coalesce(total, 0) / nullif(coalesce(sum(starts) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS ret FROM ew_daily),
 ew AS (SELECT date, CASE WHEN row_number() OVER (ORDER BY date) = 1 THEN 100.0
        WHEN ret IS NOT NULL THEN 100 * product(1 + ret) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS price FROM ew_ret),
-given AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem GROUP BY 1),
+given AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) + {market.LEVEL} AS price FROM lineitem GROUP BY 1),
 wide AS (SELECT g.date, g.price AS SXXR, e.price AS EW FROM given g JOIN ew e USING (date) WHERE g.price IS NOT NULL AND e.price IS NOT NULL),
 based AS (SELECT date, 100 * SXXR / first_value(SXXR) OVER (ORDER BY date) AS SXXR, 100 * EW / first_value(EW) OVER (ORDER BY date) AS EW FROM wide),
 levels AS (SELECT date, 'SXXR' AS benchmark, SXXR AS level FROM based UNION ALL SELECT date, 'EW', EW FROM based),
@@ -94,12 +94,26 @@ def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
 
-@query(with_(PANEL) + "SELECT date, ticker, price FROM panel")
+@query(
+    f"""SELECT CAST(l_shipdate AS DATE) AS date, concat('ALL ', list_extract([{", ".join(f"'{s}'" for s in market.SUFFIXES)}], s_nationkey % {len(market.SUFFIXES)} + 1)) AS ticker,
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
+)
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wide matrix, one column for each of the tickers, made long again. The wide matrix holds what fits columns."""
-    panel = market.panel(spark, sf_dir)
-    tickers = sorted(r[0] for r in panel.select("ticker").distinct().toLocalIterator())
-    return r6(shapes.wide_to_long(shapes.long_to_wide(panel, "ticker", tickers)))
+    """A wide matrix of one column for each exchange, made long."""
+    return r6(shapes.wide_to_long(market.wide(spark, sf_dir)))
+
+
+@query(with_(PANEL) + "SELECT date, ticker, price FROM panel ORDER BY date, ticker LIMIT 5")
+def panel_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows, as a look at the panel."""
+    return r6(market.panel(spark, sf_dir).orderBy("date", "ticker").limit(5))
+
+
+@query(with_(PANEL) + f"SELECT date, ticker, price FROM panel WHERE split_part(ticker, ' ', 1) IN ({', '.join(repr(n) for n in market.ANALYSED)})")
+def analysed_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a list of tickers."""
+    return r6(market.panel(spark, sf_dir).where(F.split("ticker", " ")[0].isin(*market.ANALYSED)))
 
 
 @query(with_(PANEL) + f"SELECT date, ticker, {LOGS} FROM panel {WIN}")
@@ -265,11 +279,14 @@ def cusum_cte(name: str, n: int, threshold: float, cooldown: int) -> str:
 
 
 def p_value(dof: str) -> str:
-    def integral(start: str) -> str:
-        terms = " + ".join(f"{w!r} * pow(cos({start} + (pi() / 2 - {start}) * {x!r}), {dof} - 1)" for x, w in gauss_legendre())
-        return f"(({terms}) * (pi() / 2 - {start}))"
-
-    return f"{integral('angle')} / {integral('0.0')}"
+    """From the columns angle and length; see student_t_two_sided()."""
+    tail = " + ".join(f"{w!r} * pow(cos(angle + length * {x!r}), {dof} - 1)" for x, w in gauss_legendre())
+    raised = f"({dof} / 2 + {RAISED})"
+    series = "0.0"
+    for c in reversed(RATIO):
+        series = f"({series} / {raised} + {c!r})"
+    rising = " * ".join(f"(({dof} / 2 + {k + 0.5}) / ({dof} / 2 + {k}))" for k in range(RAISED))
+    return f"({tail}) * length / (sqrt(pi()) / 2 * {series} / sqrt({raised}) * {rising})"
 
 
 def welch_cte(name: str, n: int) -> str:
@@ -278,7 +295,8 @@ def welch_cte(name: str, n: int) -> str:
     return f"""{name}_m AS (SELECT ticker, t, avg(r) {far} AS ma, var_samp(r) {far} / {n} AS va, avg(r) {near} AS mb, var_samp(r) {near} / {n} AS vb FROM ret),
 {name}_t AS (SELECT ticker, t, ma, mb, va, vb, (ma - mb) / nullif(sqrt(va + vb), 0) AS t_stat, (va + vb) * (va + vb) / nullif((va * va + vb * vb) / {n - 1}, 0) AS dof FROM {name}_m WHERE t >= {2 * n}),
 {name}_a AS (SELECT *, atan(abs(t_stat) / sqrt(dof)) AS angle FROM {name}_t),
-{name} AS (SELECT ticker, t, t_stat, dof, CASE WHEN va = 0 AND vb = 0 THEN CASE WHEN ma <> mb THEN 0.0 END ELSE {p_value('dof')} END AS p FROM {name}_a)"""
+{name}_l AS (SELECT *, least(pi() / 2 - angle, {DEVIATIONS} / sqrt(dof)) AS length FROM {name}_a),
+{name} AS (SELECT ticker, t, t_stat, dof, CASE WHEN va = 0 AND vb = 0 THEN CASE WHEN ma <> mb THEN 0.0 END ELSE {p_value('dof')} END AS p FROM {name}_l)"""
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,12 +370,22 @@ ev AS (SELECT s.ticker, s.method, coalesce(n_det, 0) AS n_det, coalesce(n_tp, 0)
 ALL = (PANEL, RETURNS, CUSUM_CTE, JUMP_CTE, TTEST_CTE, EVENTS, EVALUATED)
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = market.panel(spark, sf_dir).cache()
-    returns = detectors.simple_returns(panel).cache()
-    found = detectors.labelled(cusum=detectors.detect_cusum(returns, *CUSUM), jump=detectors.detect_jump(returns, *JUMP), ttest=detectors.detect_ttest(returns, *TTEST))
-    cps = events.match_events(panel, market.events(spark)).cache()
-    return events.evaluate(found, cps, events.spine_of(cps, METHODS), TOLERANCE)
+def _evaluated(spark: SparkSession, sf_dir: str, gp: bool = False) -> DataFrame:
+    """Detections of all methods against the events. Spark reuses the exchange that the panel and its returns share."""
+    panel = market.panel(spark, sf_dir)
+    returns = detectors.simple_returns(panel)
+    found = {"cusum": detectors.detect_cusum(returns, *CUSUM), "jump": detectors.detect_jump(returns, *JUMP), "ttest": detectors.detect_ttest(returns, *TTEST)}
+    if gp:
+        lookback, nu, gamma, cooldown, stride = GP
+        found["gp"] = gaussian.detect_gp(returns, lookback, nu, gamma, cooldown, stride)
+    cps = events.match_events(panel, market.events(spark))
+    return events.evaluate(detectors.labelled(**found), cps, events.spine_of(cps, list(found)), TOLERANCE)
+
+
+@query()
+def method_summary_with_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of all four detectors; the Gaussian process scores every tenth window in it, as it does there."""
+    return r6(events.method_summary(_evaluated(spark, sf_dir, gp=True)))
 
 
 @query(with_(*ALL) + "SELECT ticker, method, n_det, n_tp, n_fp, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(mean_delay, 6) AS mean_delay FROM ev")
@@ -383,9 +411,10 @@ def method_detail_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(events.detail(_evaluated(spark, sf_dir), METHODS))
 
 
-@query(with_(*ALL) + "SELECT ticker, method, n_det AS detections, format('{:.1f}%', fpr * 100) AS fpr, format('{:.1f}%', recall * 100) AS recall, coalesce(format('{:+.1f}', mean_delay), '-') AS mean_delay FROM ev WHERE ticker LIKE 'S1 %'")
+@query(with_(*ALL) + "SELECT ticker, method, n_det AS detections, format('{:.1f}%', fpr * 100) AS fpr, format('{:.1f}%', recall * 100) AS recall, coalesce(format('{:+.1f}', mean_delay), '-') AS mean_delay FROM ev")
 def single_ticker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.formatted(_evaluated(spark, sf_dir)).where(F.col("ticker").startswith("S1 "))
+    """Each ticker's own summary, as text."""
+    return events.formatted(_evaluated(spark, sf_dir))
 
 
 @query(with_(PANEL, RETURNS, z_cte("z60", 60)) + "SELECT ticker, t, round(z, 6) AS z FROM z60 WHERE z IS NOT NULL ORDER BY abs(round(z, 6)) DESC, ticker, t LIMIT 5")
@@ -412,16 +441,25 @@ def cpd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth window of every ticker, as in the comparison of detectors."""
-    return gaussian.gp_scores(_returns(spark, sf_dir), GP[0], GP[4])
+    """Every window of every ticker."""
+    return gaussian.gp_scores(_returns(spark, sf_dir), GP[0])
 
 
 @query()
 def detect_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the stride of the comparison, at which a detection's window is one of every ten."""
     lookback, nu, gamma, cooldown, stride = GP
     return gaussian.detect_gp(_returns(spark, sf_dir), lookback, nu, gamma, cooldown, stride)
 
 
+@query()
+def rolling_cpd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of daily log returns rolled along each ticker, every fifth day, and what stands out: the number of windows,
+    their mean nu, the days with nu over 0.9, and the five highest."""
+    daily = market.panel(spark, sf_dir).withColumn("r", features.log_return(1))
+    return gaussian.rolled(gaussian.gp_scores(gaussian.placed(daily), 21, 5))
+
+
 def ewm_sql(name: str, source: str, column: str, alpha: str) -> str:
     """Moments with explicit weights (1 - alpha) ** age, over all rows before."""
     return f"""{name} AS (SELECT a.ticker, a.t, sum(b.{column} * pow(1 - {alpha}, a.t - b.t)) / sum(pow(1 - {alpha}, a.t - b.t)) AS mean,
@@ -442,25 +480,75 @@ def vol_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(momentum.vol_scaled(_returns(spark, sf_dir)))
 
 
-@query()
+PLACED = f"placed AS (SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, date, price FROM panel {WIN})"
+NORMED = ", ".join(f"round((price / nullif(lag(price, {k}) OVER w, 0) - 1) / nullif(vol * sqrt({float(k)}), 0), 6) + 0.0 AS norm_{k}" for k in momentum.NORM_HORIZONS)
+
+
+@query(with_(PANEL, RETURNS, EWM_VOL, PLACED) + f"SELECT p.ticker, p.t, {NORMED} FROM placed p LEFT JOIN ewm e ON e.ticker = p.ticker AND e.t = p.t - 1 WINDOW w AS (PARTITION BY p.ticker ORDER BY p.t)")
 def normalised_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(momentum.normalised_returns(market.panel(spark, sf_dir)))
 
 
-@query()
+def _macd_ctes() -> tuple[str, ...]:
+    scales = sorted({s for pair in momentum.MACD_PAIRS for s in pair})
+    full = lambda c, n: f"CASE WHEN count({c}) OVER (PARTITION BY ticker ORDER BY t ROWS {n - 1} PRECEDING) = {n} THEN stddev_samp({c}) OVER (PARTITION BY ticker ORDER BY t ROWS {n - 1} PRECEDING) END"
+    means = [ewm_sql(f"m{s}", "placed", "price", f"(1.0 / {s})") for s in scales]
+    joined = " ".join(f"JOIN m{s} USING (ticker, t)" for s in scales)
+    q = ", ".join(f"(m{a}.mean - m{b}.mean) / nullif(sd, 0) AS q_{a}_{b}" for a, b in momentum.MACD_PAIRS)
+    out = ", ".join(f"q_{a}_{b} / nullif({full(f'q_{a}_{b}', 252)}, 0) AS macd_{a}_{b}" for a, b in momentum.MACD_PAIRS)
+    return (PLACED, *means, f"spread AS (SELECT *, {full('price', 63)} AS sd FROM placed)", f"q AS (SELECT ticker, t, {q} FROM spread {joined})", f"macd AS (SELECT ticker, t, {out} FROM q)")
+
+
+@query(with_(PANEL, *_macd_ctes()) + "SELECT ticker, t, " + ", ".join(f"round(macd_{a}_{b}, 6) AS macd_{a}_{b}" for a, b in momentum.MACD_PAIRS) + " FROM macd")
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(momentum.macd(market.panel(spark, sf_dir)))
 
 
+@query(
+    with_(PANEL, *_macd_ctes())
+    + "SELECT ticker, t, round(("
+    + " + ".join(f"macd_{a}_{b} * exp(-macd_{a}_{b} * macd_{a}_{b} / 4) / 0.89" for a, b in momentum.MACD_PAIRS)
+    + ") / 3, 6) AS position FROM macd"
+)
+def macd_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(momentum.macd_position(momentum.macd(market.panel(spark, sf_dir))))
+
+
+@query(with_(PANEL, PLACED) + "SELECT ticker, t, CAST(1.0 AS DOUBLE) AS position FROM placed")
+def long_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return momentum.long_only(market.panel(spark, sf_dir))
+
+
 def _sign(n: int) -> str:
     return f"sign({lagged('arith', n)})"
 
 
-@query(with_(PANEL) + f"SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, CAST(0.5 * {_sign(252)} + 0.5 * {_sign(21)} AS DOUBLE) AS position FROM panel {WIN}")
+def _tsmom(weight: float, name: str) -> str:
+    return f"CAST({1 - weight} * {_sign(252)} + {weight} * {_sign(21)} AS DOUBLE) AS {name}"
+
+
+@query(with_(PANEL) + f"SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, {_tsmom(0.5, 'position')} FROM panel {WIN}")
 def tsmom_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return momentum.tsmom_position(market.panel(spark, sf_dir))
 
 
+for _weight in (0.0, 1.0):
+
+    def _tsmom_at(spark: SparkSession, sf_dir: str, weight: float = _weight) -> DataFrame:
+        return momentum.tsmom_position(market.panel(spark, sf_dir), weight)
+
+    _tsmom_at.__name__ = f"tsmom_position_{'slow' if _weight == 0 else 'fast'}"
+    query(with_(PANEL) + f"SELECT ticker, CAST(row_number() OVER w - 1 AS INTEGER) AS t, {_tsmom(_weight, 'position')} FROM panel {WIN}")(_tsmom_at)
+
+
+@query(
+    with_(PANEL, RETURNS, f"pos AS (SELECT ticker, row_number() OVER w - 1 AS t, {_tsmom(0.5, 'position')} FROM panel {WIN})", "x AS (SELECT position * r AS x FROM pos JOIN ret USING (ticker, t))")
+    + "SELECT round(-sqrt(252.0) * avg(x) / stddev_pop(x), 6) AS loss FROM x"
+)
+def sharpe_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(momentum.sharpe_loss(momentum.tsmom_position(market.panel(spark, sf_dir)), _returns(spark, sf_dir)))
+
+
 @query(
     with_(
         CALM, RETURNS,

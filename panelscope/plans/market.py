@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Exchange suffixes; the last six have no country (fixed values).
 SUFFIXES = ("LN", "FP", "GY", "NA", "IM", "SQ", "SE", "SS", "DC", "FH", "NO", "BB", "AV", "PL", "ID", "PW", "SW", "GA", "SM", "VX", "IR", "CK")
 LEVEL = 100_000.0
+#: The tickers that are looked at closely, without their suffixes.
+ANALYSED = tuple(f"S{k}" for k in range(1, 9))
 #: Events inside the calendar of the order tables: two close together, one on a weekend, one far outside.
 EVENTS = (
     ("outside", "1990-01-02"), ("first", "1995-09-12"), ("second", "1996-03-05"), ("close", "1996-03-15"), ("weekend", "1997-06-14"),
@@ -36,9 +38,17 @@ def calm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, price): the mean price of all."""
+    """(date, price): the mean price of all, raised like the calm panel's, as yearly rates are daily ones to the power 252."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity")
-    return items.groupBy("date").agg(_price().alias("price"))
+    return items.groupBy("date").agg((_price() + LEVEL).alias("price"))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide matrix of fixed width: the mean price by date, one column for each exchange suffix, null where none shipped."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") % len(SUFFIXES)).alias("k"))
+    of = lambda c, k: F.sum(F.when(F.col("k") == k, F.col(c).cast("decimal(18,2)"))).cast("double")
+    return items.join(suppliers, "l_suppkey").groupBy("date").agg(*[F.try_divide(of("l_extendedprice", k), of("l_quantity", k)).alias(f"ALL {s}") for k, s in enumerate(SUFFIXES)])
 
 
 def events(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.operators.panel import wide_to_long
+from panelscope.operators.benchmarks import equal_weight_index, stacked
+from panelscope.operators.panel import add_country_region, normalised, wide_to_long
 
 
 def read_wide(spark: SparkSession, path: str, date_column: str = "Ticker") -> DataFrame:
@@ -28,11 +29,26 @@ def read_excel_wide(spark: SparkSession, path: str, sheet: str = "price", date_c
 
 
 def read_benchmark(spark: SparkSession, path: str, name: str = "SXXR") -> DataFrame:
-    """(date, benchmark, price) of a table with Date and price."""
-    df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
+    """(date, benchmark, price) of a table with Date and price: CSV, Parquet, or the workbook's sheet `benchmark`."""
+    if path.endswith((".xlsx", ".xls")):
+        import pandas as pd
+
+        found = pd.read_excel(path, sheet_name="benchmark")
+        df = spark.createDataFrame(found[["Date", "price"]].assign(Date=pd.to_datetime(found["Date"]).dt.date))
+    else:
+        df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
     return df.select(F.to_date("Date").alias("date"), F.lit(name).alias("benchmark"), F.col("price").cast("double").alias("price"))
 
 
+def load_market(spark: SparkSession, prices: str, benchmark: str | None = None, date_column: str = "Ticker") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(wide, long, benchmarks) from a workbook, or from two tables: the date by ticker matrix, the long panel with
+    exchange, country and region, and the given benchmark stacked on the equal-weight index."""
+    wide = read_excel_wide(spark, prices, date_column=date_column) if prices.endswith((".xlsx", ".xls")) else read_wide(spark, prices, date_column)
+    long = normalised(wide_to_long(wide))
+    given = read_benchmark(spark, benchmark or prices)
+    return wide, add_country_region(long), stacked(given, equal_weight_index(long))
+
+
 def read_yearly(spark: SparkSession, paths: list[str], date_column: str = "Date") -> DataFrame:
     """The long panel of one wide file for each year. Files may list different tickers, and CSV columns go by
     position, so each is made long by itself."""

@@ -108,6 +108,17 @@ def test_scalar_functions(spark):
     assert row["h"] == 0.12 and row["c"] is None and row["e"] == "LN" and abs(row["s"] - 1) < 1e-12 and row["v"] == 0.5 and row["w"] == 1
 
 
+@pytest.mark.parametrize("dof", [2.0, 3.0, 17.3, 38.0, 498.0, 3000.0])
+def test_student_t_by_quadrature(spark, dof):
+    angles = np.linspace(0, np.pi / 2, 2_000_001)
+    density = np.cos(angles) ** (dof - 1)
+    tail = np.r_[np.cumsum(((density[1:] + density[:-1]) / 2)[::-1])[::-1], 0]
+    ts = [0.01, 0.7, 2.0, 4.5, 9.0]
+    df = spark.createDataFrame([(t, dof) for t in ts], "t double, v double").select("t", student_t_two_sided(t_angle(F.col("t"), F.col("v")), F.col("v")).alias("p"))
+    want = np.interp(np.arctan(np.array(ts) / np.sqrt(dof)), angles, tail) / tail[0]
+    np.testing.assert_allclose(column(df, "p", "t"), want, atol=2e-7)
+
+
 def test_student_t(spark):
     rows = spark.createDataFrame([(2.0, 2.0), (2.8453, 20.0), (2.7116, 38.0)], "t double, v double").select(student_t_two_sided(t_angle(F.col("t"), F.col("v")), F.col("v")).alias("p")).collect()
     np.testing.assert_allclose([r["p"] for r in rows], [0.18350342, 0.010001, 0.009999], atol=1e-6)
@@ -139,17 +150,20 @@ def test_cooldown(spark):
     assert column(detectors.cooled(c, 30), "t", "t") == [10, 45]
 
 
-def cusum(returns, window, threshold, cooldown):
-    found, last, up, down = [], -cooldown - 1, 0.0, 0.0
-    for t in range(window, len(returns)):
-        before = returns[t - window : t]
-        if before.std(ddof=1) < 1e-12:
-            continue
-        z = (returns[t] - before.mean()) / before.std(ddof=1)
-        up, down = max(0.0, up + z - 0.5), max(0.0, down - z - 0.5)
-        if max(up, down) > threshold and t - last > cooldown:
-            found.append(t)
-            last, up, down = t, 0.0, 0.0
+def cusum_by_definition(returns, window, threshold, cooldown, slack=0.5):
+    """A detection is where some stretch of z that ends there and began after the last detection sums to more than the
+    threshold beyond its slack, in either direction, once the cooldown is over."""
+    blocks = np.lib.stride_tricks.sliding_window_view(returns, window)[: len(returns) - window]
+    sd = blocks.std(axis=1, ddof=1)
+    at = np.flatnonzero(sd >= 1e-12)
+    z = (returns[window:][at] - blocks[at].mean(axis=1)) / sd[at]
+    sums = np.cumsum(np.r_[[[0.0, 0.0]], np.c_[z - slack, -z - slack]], axis=0)
+    found, begin = [], 0
+    for k in range(1, len(sums)):
+        stretch = sums[k] - sums[begin:k]
+        if stretch.max() > threshold and (not found or at[k - 1] + window - found[-1] > cooldown):
+            found.append(int(at[k - 1]) + window)
+            begin = k
     return found
 
 
@@ -160,7 +174,7 @@ def test_detectors_against_loops(spark):
     series["b"][:70] = 0.0  # a window that doesn't vary
     r = returns_of(spark, **series)
     for got, want in (
-        (detectors.detect_cusum(r, 30, 4.0, 15), {k: cusum(v, 30, 4.0, 15) for k, v in series.items()}),
+        (detectors.detect_cusum(r, 30, 4.0, 15), {k: cusum_by_definition(v, 30, 4.0, 15) for k, v in series.items()}),
         (detectors.detect_jump(r, 30, 2.0, 15), None),
     ):
         found = {k: sorted(x["t"] for x in got.collect() if x["ticker"] == k) for k in series}
@@ -233,6 +247,39 @@ def test_gaussian_process():
     assert (cp <= best + 0.5).all()
 
 
+def test_gaussian_process_fits_reach_the_grid():
+    """The likelihood at the fit is as good as the best of a grid, and as at the prescribed starts, for both kernels."""
+    rng = np.random.default_rng(15)
+    n = 21
+    trend = np.sin(np.arange(n) / 3)
+    y = np.stack([rng.normal(size=n), trend + rng.normal(0, 0.2, n), np.r_[rng.normal(0, 0.2, 10), rng.normal(2, 0.2, 11)], np.r_[rng.normal(0, 0.1, 9), rng.normal(0, 2, 12)], np.cumsum(rng.normal(size=n))])
+    y = (y - y.mean(1, keepdims=True)) / y.std(1, keepdims=True)
+    base, p = gaussian.fit_matern(y)
+    steps = np.exp(np.linspace(-4, 4, 17))
+    sf, length, noise = (g.ravel() for g in np.meshgrid(steps, steps, steps, indexing="ij"))
+    kernels = gaussian.matern32(n, sf, length)
+    for window, value in zip(y, base):
+        grid = gaussian.nlml(kernels, np.broadcast_to(window, (len(sf), n)), noise)
+        assert value <= grid.min() + 1e-3
+    cp, q = gaussian.fit_changepoint(y, p)
+    for window, value, b in zip(y, cp, p):
+        one = lambda centre, steep: {"sf1": np.full(len(centre), b[0]), "l1": np.full(len(centre), b[1]), "sf2": np.full(len(centre), b[0]), "l2": np.full(len(centre), b[1]), "c": centre, "s": steep}
+        start = gaussian.nlml(gaussian.changepoint_kernel(n, one(np.array([(n - 1) / 2]), np.ones(1))), window[None], np.array([b[2]]))
+        assert value <= start[0] + 1e-9
+    nu, gamma = gaussian.cpd_scores(y)
+    # planted breaks of the mean and of the variance
+    assert nu[2] > 0.85 and abs(gamma[2] - 9.5 / 20) < 0.15 and nu[3] > 0.85 and abs(gamma[3] - 8.5 / 20) < 0.15
+
+
+def test_rolled_scores(spark):
+    rows = [("a", t, DAY + timedelta(t), None if t == 3 else v) for t, v in enumerate((0.2, 0.95, 0.91, 0.0, 0.5, 0.95, 0.1))] + [("b", 0, DAY, None)]
+    got = {r["ticker"]: r for r in gaussian.rolled(spark.createDataFrame(rows, "ticker string, t int, last_date date, nu double"), top=3).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["n_windows"], a["n_hot"], a["hot_dates"]) == (7, 3, [DAY + timedelta(t) for t in (1, 2, 5)]) and a["mean_nu"] == pytest.approx(3.61 / 6)
+    assert [tuple(x) for x in a["highest"]] == [(0.95, DAY + timedelta(1)), (0.95, DAY + timedelta(5)), (0.91, DAY + timedelta(2))]
+    assert (b["n_windows"], b["mean_nu"], b["n_hot"], b["highest"]) == (1, None, 0, [])
+
+
 def test_gp_frames(spark):
     rng = np.random.default_rng(6)
     r = returns_of(spark, a=rng.normal(size=60))
@@ -252,18 +299,51 @@ def test_ewm_against_pandas(spark):
     assert got[0] is None
 
 
-def test_momentum_frames(spark):
-    wide = random_panel(8, 360)
+def test_ewm_of_long_histories_and_nulls(spark):
+    """Against the sums of the definition: weights of all rows count, nulls age them and give what went before."""
+    rng = np.random.default_rng(8)
+    x = [None if k in (0, 7, 8, 300) else float(v) for k, v in enumerate(rng.normal(5, 1, 2000))]
+    rows = momentum.ewm(returns_of(spark, a=x).select("ticker", "t", "r", F.lit("kept").alias("own")), {"m": ("r", "mean", 0.95), "s": ("r", "sd", 0.95)}).orderBy("t").collect()
+    assert {r["own"] for r in rows} == {"kept"} and rows[0]["m"] is None and rows[1]["s"] is None
+    for t in (1, 2, 9, 300, 1999):
+        known = [(0.95 ** (t - k), v) for k, v in enumerate(x[: t + 1]) if v is not None]
+        w, w2 = sum(a for a, _ in known), sum(a * a for a, _ in known)
+        mean = sum(a * v for a, v in known) / w
+        assert rows[t]["m"] == pytest.approx(mean, rel=1e-9)
+        if len(known) > 1:
+            var = sum(a * (v - mean) ** 2 for a, v in known) / w * w * w / (w * w - w2)
+            assert rows[t]["s"] == pytest.approx(var**0.5, rel=1e-9)
+
+
+def test_momentum_against_pandas(spark):
+    wide = random_panel(8, 400)
     p = as_spark(spark, wide)
-    assert momentum.macd(p).where("macd is not null").count() > 0
-    assert set(column(momentum.tsmom_position(p).where("position is not null"), "position", "t")) <= {-1.0, -0.5, 0.0, 0.5, 1.0}
-    assert momentum.macd_position(momentum.macd(p)).count() == p.count()
+    signals = momentum.macd(p).orderBy("ticker", "t").toPandas()
+    position = momentum.macd_position(momentum.macd(p)).orderBy("ticker", "t").toPandas()
+    normed = momentum.normalised_returns(p).orderBy("ticker", "t").toPandas()
+    for ticker in wide:
+        x = wide[ticker].dropna().reset_index(drop=True)
+        mine, responses = signals[signals["ticker"] == ticker], []
+        for a, b in momentum.MACD_PAIRS:
+            q = (x.ewm(alpha=1 / a).mean() - x.ewm(alpha=1 / b).mean()) / x.rolling(63).std()
+            y = q / q.rolling(252).std()
+            np.testing.assert_allclose(mine[f"macd_{a}_{b}"].astype(float), y, rtol=1e-6, atol=1e-9)
+            responses.append(y * np.exp(-y * y / 4) / 0.89)
+        np.testing.assert_allclose(position[position["ticker"] == ticker]["position"].astype(float), sum(responses) / 3, rtol=1e-6, atol=1e-9)
+        vol = x.pct_change().ewm(span=60).std()
+        for k in momentum.NORM_HORIZONS:
+            np.testing.assert_allclose(normed[normed["ticker"] == ticker][f"norm_{k}"].astype(float), (x / x.shift(k) - 1) / vol / np.sqrt(k), rtol=1e-8)
+    for weight, values in ((0.0, {-1.0, 0.0, 1.0}), (0.5, {-1.0, -0.5, 0.0, 0.5, 1.0}), (1.0, {-1.0, 0.0, 1.0})):
+        assert set(column(momentum.tsmom_position(p, weight).where("position is not null"), "position", "t")) <= values
     m = momentum.portfolio_metrics(detectors.simple_returns(p)).collect()
     assert len(m) == 3 and all(-1 <= x["max_drawdown"] <= 0 and 0 <= x["hit_ratio"] <= 1 for x in m)
     r = detectors.simple_returns(p)
-    assert momentum.sharpe_loss(r.select("ticker", "t", F.lit(1.0).alias("position")), r).first()[0] is not None
-    assert momentum.normalised_returns(p).where("norm_21 is not null").count() > 0
-    assert momentum.vol_scaled(r).where("scaled is not null").count() > 0
+    x = np.concatenate([wide[c].dropna().pct_change().dropna() for c in wide])
+    loss = momentum.sharpe_loss(momentum.long_only(p), r).first()[0]
+    assert loss == pytest.approx(-np.sqrt(252) * x.mean() / x.std(), rel=0.05)
+    scaled = column(momentum.vol_scaled(r).where("ticker = 'CC GA'"), "scaled", "t")
+    daily = wide["CC GA"].dropna().pct_change().dropna()
+    np.testing.assert_allclose(np.array(scaled[2:], float), (daily * 0.15 / (daily.ewm(span=60).std().shift(1) * np.sqrt(252)))[2:], rtol=1e-8)
 
 
 def test_backtest(spark):
@@ -292,6 +372,17 @@ def test_sources(spark, tmp_path):
     assert prices.read_benchmark(spark, str(tmp_path / "b.csv")).first()["price"] == 7.0
 
 
+def test_workbook_loader(spark, monkeypatch):
+    """A workbook's two sheets, as pandas would read them."""
+    days = pd.to_datetime(["2020-01-01", "2020-01-02", "2020-01-03"])
+    sheets = {"price": pd.DataFrame({"Ticker": days, "AA LN": [1.0, 2.0, np.nan], "BB FP": [4.0, 5.0, 6.0]}), "benchmark": pd.DataFrame({"Date": days, "price": [7.0, 8.0, 9.0], "note": "x"})}
+    monkeypatch.setattr(pd, "read_excel", lambda path, sheet_name: sheets[sheet_name].copy())
+    wide, long, both = prices.load_market(spark, "book.xlsx")
+    assert wide.columns == ["date", "AA LN", "BB FP"] and wide.count() == 3
+    assert sorted((r["ticker"], r["price"], r["region"]) for r in long.collect()) == [("AA LN", 1.0, "UK & Ireland"), ("AA LN", 2.0, "UK & Ireland"), ("BB FP", 4.0, "Western Europe"), ("BB FP", 5.0, "Western Europe"), ("BB FP", 6.0, "Western Europe")]
+    near([r["price"] for r in both.orderBy("benchmark", "date").collect()], [100, 162.5, 162.5 * 1.1, 7, 8, 9])
+
+
 def test_finalize_and_rebase(spark):
     p = long(spark, a=[2, 4], b=[None, 5])
     assert panel.finalize(p.withColumn("extra", F.lit(1))).columns == ["date", "ticker", "price"]
