@@ -53,10 +53,8 @@ NEAR = SimHash(shingle=5, width=768, segments=32, distance=148, wildcards=6, sim
 
 #: Largest bucket whose pairs are all compared, with exact parameters.
 PAIRS = 32
-#: How often nodes are compared with one of another component before all are.
-ROUNDS = 1
 #: Columns of a signature's first words, which travel with its variants.
-SKETCH = ("s0", "s1", "s2", "s3")
+SKETCH = ("s0", "s1")
 #: Signatures in a block of a crowded bucket, about; blocks are compared two by two.
 BLOCK = 1024
 SEED = 42
@@ -186,9 +184,9 @@ def sided_keys(words: np.ndarray, at: np.ndarray, p: SimHash) -> tuple[np.ndarra
 
 
 def variants(nodes: DataFrame, p: SimHash, more: tuple[str, ...] = ()) -> DataFrame:
-    """(key, side, node, root, more ...) for each indexed segment variant; root and more are long columns of nodes that come
-    along. Exact parameters, which index every wildcard, have no need of sides: they are all -1."""
-    carried = ("node", "root", *more)
+    """(key, side, node, more ...) for each indexed segment variant; more are long columns of nodes that come along. Exact
+    parameters, which index every wildcard, have no need of sides: they are all -1."""
+    carried = ("node", *more)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,7 +244,7 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     of = Window.partitionBy("key")
     words = min(len(SKETCH), p.width // 64)
     sketched = named.select("*", *[F.col("sig")[k % words].alias(c) for k, c in enumerate(SKETCH)])
-    seen = variants(sketched, p, SKETCH).select("*", F.min("root").over(of).alias("lo"), F.max("root").over(of).alias("hi"), F.count("*").over(of).alias("n"), F.min("side").over(of).alias("one"), F.max("side").over(of).alias("two"))
+    seen = variants(sketched, p, ("root", *SKETCH)).select("*", F.min("root").over(of).alias("lo"), F.max("root").over(of).alias("hi"), F.count("*").over(of).alias("n"), F.min("side").over(of).alias("one"), F.max("side").over(of).alias("two"))
     rest = kept(seen.where("lo < hi and (side < 0 or one < two)").drop("lo", "hi", "one", "two"))
     blocks = F.ceil(F.col("n") / BLOCK)
     zero = F.lit(0).cast("long")
@@ -294,43 +292,39 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     return linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _stars(named: DataFrame, p: SimHash) -> DataFrame:
-    """(node, u, times): in how many buckets a node meets u, the node of the least root on the other side, or of the whole
-    segment's bucket (of its greatest root, if the least is the node's own); u is null where there is none."""
+def _stars(nodes: DataFrame, p: SimHash) -> DataFrame:
+    """(node, u, times): in how many buckets a node meets u, the least node of the other side, or of the whole segment's
+    bucket (the greatest, if the least is the node itself)."""
     of = Window.partitionBy("key")
-    one = F.struct("root", "node")
-    low, high = F.min(one).over(of), F.max(one).over(of)
-    across = F.when(F.col("side") == 0, F.min(F.when(F.col("side") == 1, one)).over(of)).otherwise(F.min(F.when(F.col("side") == 0, one)).over(of))
-    seen = variants(named, p).select("node", "root", "side", low.alias("low"), high.alias("high"), across.alias("across"))
-    met = F.when(F.col("side") >= 0, F.col("across")).otherwise(F.when(F.col("low.root") != F.col("root"), F.col("low")).otherwise(F.col("high")))
-    seen = seen.select("node", "root", met.alias("met"))
-    return seen.where("met.root <> root").select("node", F.col("met.node").alias("u")).groupBy("node", "u").agg(F.count("*").alias("times"))
+    # dealt by key before the window, so that the columns the window adds stay out of the exchange
+    dealt = variants(nodes, p).repartition("key")
+    side = F.col("side")
+    least = [F.min(F.when(side == k, F.col("node"))).over(of) for k in (0, 1)]
+    low, high = F.min("node").over(of), F.max("node").over(of)
+    met = F.when(side == 0, least[1]).when(side == 1, least[0]).otherwise(F.when(low != F.col("node"), low).otherwise(high))
+    seen = dealt.select("node", met.alias("u")).where("u <> node")
+    return seen.groupBy("node", "u").agg(F.count("*").alias("times"))
 
 
 def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
-    """(u, v) of verified links whose components are those of all candidates. First each node is compared with the one of
-    another component that it shares most buckets with, ROUNDS times; then members of different components are, in all
-    buckets."""
-    named, found, sets = nodes.select("node", "sig", "at", F.col("node").alias("root")), None, None
-    for _ in range(ROUNDS):
-        stars = kept(_stars(named, p))
-        if sets is None:
-            # nodes that share no bucket have nothing to be compared with
-            members = stars.select("node").union(stars.select("u")).distinct()
-            named = kept(named.join(members, "node", "left_semi"))
-            sets = kept(shingle_sets(docs, nodes, members, p)) if p.similarity else nodes
-        best = stars.groupBy("node").agg(F.max(F.struct("times", "u")).alias("best")).select("best.u", F.col("node").alias("v"))
-        if p.similarity:
-            new = similar(best, sets, p.similarity)
-        else:
-            left, right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
-            differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-            new = best.join(left, "u").join(right, "v").where(differ <= p.distance).select("u", "v")
-        roots = kept(connected_components(new if found is None else found.union(new)))
-        # the roots say all that the links so far do
-        found = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v")
-        named = named.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return found.union(_across(kept(named), sets, p))
+    """(u, v) of verified links whose components are those of all candidates. First each node is compared with the one
+    that it shares most buckets with; then members of different components are, in all buckets."""
+    stars = kept(_stars(nodes, p))
+    # nodes that share no bucket have nothing to be compared with
+    members = stars.select("node").union(stars.select("u")).distinct()
+    known = kept(nodes.select("node", "sig", "at").join(members, "node", "left_semi"))
+    sets = kept(shingle_sets(docs, nodes, members, p)) if p.similarity else known
+    best = stars.groupBy("node").agg(F.max(F.struct("times", "u")).alias("best")).select("best.u", F.col("node").alias("v"))
+    if p.similarity:
+        first = similar(best, sets, p.similarity)
+    else:
+        left, right = (known.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
+        differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+        first = best.join(left, "u").join(right, "v").where(differ <= p.distance).select("u", "v")
+    roots = kept(connected_components(first))
+    named = kept(known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # the roots say all that the first links do
+    return roots.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v").union(_across(named, sets, p))
 
 
 def links(nodes: DataFrame, p: SimHash, docs: DataFrame | None = None) -> DataFrame:
@@ -343,7 +337,7 @@ def links(nodes: DataFrame, p: SimHash, docs: DataFrame | None = None) -> DataFr
     if not p.exact:
         return _linked(nodes, p, docs)
     together = F.count("*").over(Window.partitionBy("key"))
-    members = kept(variants(nodes.withColumn("root", F.col("node")), p).select("key", "node", together.alias("n")).where("n > 1"))
+    members = kept(variants(nodes, p).select("key", "node", together.alias("n")).where("n > 1"))
     some = members.where(F.col("n") <= PAIRS)
     mate = some.select("key", F.col("node").alias("v"))
     pairs = some.select("key", F.col("node").alias("u")).join(mate, "key").where("u < v").select("u", "v")
