@@ -253,8 +253,8 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     dealt = alone.unionByName(several.withColumn("other", F.explode(F.sequence(zero, blocks - 1))))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "side", "node", "root", *SKETCH)
     share = p.distance / p.width
-    # four deviations over what signatures at the greatest distance differ by in the sketch
-    most = math.ceil((len(SKETCH) / words) * (64 * words * share + 4 * math.sqrt(64 * words * share * (1 - share))))
+    # three deviations over what signatures at the greatest distance differ by in the sketch
+    most = math.ceil((len(SKETCH) / words) * (64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share))))
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
