@@ -101,8 +101,8 @@ def shared_segments(docs: DataFrame, u: Units, *, across: bool) -> tuple[DataFra
     shared = kept(joined(found, anchors, ["anchor"]))
     owner = F.min(F.struct("doc_id", "row", "first", "count", "off")).alias("owner")
     classes = kept(shared.groupBy("anchor", "content").agg(owner, F.count("*").alias("n")))
-    variants = classes.groupBy("anchor").agg(F.count("*").alias("variants"))
-    return shared, classes.join(variants, "anchor")
+    variants = kept(classes.groupBy("anchor").agg(F.count("*").alias("variants")).withColumn("total", F.col("variants")))
+    return shared, joined(classes, variants, ["anchor"], "total")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
