@@ -11,8 +11,10 @@ their shingle sets.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -242,8 +244,7 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     of other components, block by block: first by some bits of the signatures, which travel with the variants, and what
     may be near by that in whole."""
     of = Window.partitionBy("key")
-    words = min(len(SKETCH), p.width // 64)
-    sketched = named.select("*", *[F.col("sig")[k % words].alias(c) for k, c in enumerate(SKETCH)])
+    sketched = _sketched(named, p)
     seen = variants(sketched, p, ("root", *SKETCH)).select("*", F.min("root").over(of).alias("lo"), F.max("root").over(of).alias("hi"), F.count("*").over(of).alias("n"), F.min("side").over(of).alias("one"), F.max("side").over(of).alias("two"))
     rest = kept(seen.where("lo < hi and (side < 0 or one < two)").drop("lo", "hi", "one", "two"))
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -252,9 +253,7 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     several = rest.where(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     dealt = alone.unionByName(several.withColumn("other", F.explode(F.sequence(zero, blocks - 1))))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "side", "node", "root", *SKETCH)
-    share = p.distance / p.width
-    # three deviations over what signatures at the greatest distance differ by in the sketch
-    most = math.ceil((len(SKETCH) / words) * (64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share))))
+    most = _most(p)
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -292,17 +291,32 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     return linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _most(p: SimHash) -> int:
+    """Bits in which the sketches of signatures within the distance can differ: three deviations over what those at the
+    greatest distance differ by."""
+    words, share = min(len(SKETCH), p.width // 64), p.distance / p.width
+    return math.ceil((len(SKETCH) / words) * (64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share))))
+
+
+def _sketched(nodes: DataFrame, p: SimHash) -> DataFrame:
+    words = min(len(SKETCH), p.width // 64)
+    return nodes.select("*", *[F.col("sig")[k % words].alias(c) for k, c in enumerate(SKETCH)])
+
+
 def _stars(nodes: DataFrame, p: SimHash) -> DataFrame:
     """(node, u, times): in how many buckets a node meets u, the least node of the other side, or of the whole segment's
-    bucket (the greatest, if the least is the node itself)."""
+    bucket (the greatest, if the least is the node itself); u is null where their sketches are too far apart. Two that are
+    alone in a bucket and too far apart met by chance, and aren't told of."""
     of = Window.partitionBy("key")
     # dealt by key before the window, so that the columns the window adds stay out of the exchange
-    dealt = variants(nodes, p).repartition("key")
-    side = F.col("side")
-    least = [F.min(F.when(side == k, F.col("node"))).over(of) for k in (0, 1)]
-    low, high = F.min("node").over(of), F.max("node").over(of)
-    met = F.when(side == 0, least[1]).when(side == 1, least[0]).otherwise(F.when(low != F.col("node"), low).otherwise(high))
-    seen = dealt.select("node", met.alias("u")).where("u <> node")
+    dealt = variants(_sketched(nodes, p), p, SKETCH).repartition("key")
+    side, one = F.col("side"), F.struct("node", *SKETCH)
+    least = [F.min(F.when(side == k, one)).over(of) for k in (0, 1)]
+    low, high = F.min(one).over(of), F.max(one).over(of)
+    met = F.when(side == 0, least[1]).when(side == 1, least[0]).otherwise(F.when(low["node"] != F.col("node"), low).otherwise(high))
+    seen = dealt.select("node", *SKETCH, met.alias("met"), F.count("*").over(of).alias("n")).where("met.node <> node")
+    apart = reduce(operator.add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"met.{c}"))) for c in SKETCH])
+    seen = seen.select("node", "n", F.when(apart <= _most(p), F.col("met.node")).alias("u")).where("n > 2 or u is not null")
     return seen.groupBy("node", "u").agg(F.count("*").alias("times"))
 
 
@@ -311,10 +325,10 @@ def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
     that it shares most buckets with; then members of different components are, in all buckets."""
     stars = kept(_stars(nodes, p))
     # nodes that share no bucket have nothing to be compared with
-    members = stars.select("node").union(stars.select("u")).distinct()
+    members = stars.select("node").distinct()
     known = kept(nodes.select("node", "sig", "at").join(members, "node", "left_semi"))
     sets = kept(shingle_sets(docs, nodes, members, p)) if p.similarity else known
-    best = stars.groupBy("node").agg(F.max(F.struct("times", "u")).alias("best")).select("best.u", F.col("node").alias("v"))
+    best = stars.where("u is not null").groupBy("node").agg(F.max(F.struct("times", "u")).alias("best")).select("best.u", F.col("node").alias("v"))
     if p.similarity:
         first = similar(best, sets, p.similarity)
     else:
