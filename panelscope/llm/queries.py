@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm import decontamination, extraction, languages, mixing, passages, quality, resampling, simhash, suffixes, urls
+from panelscope.llm import audit, decontamination, extraction, languages, mixing, passages, quality, resampling, simhash, suffixes, urls
 from panelscope.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).drop("text", "lang")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_simhash": op2_simhash,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 HOST = "coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
@@ -128,5 +133,35 @@ each AS (SELECT r, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS word
 kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM each ANTI JOIN gone USING (r, k) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)
+""",
+    "op11_filter_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN least < d.doc_id THEN 'E' ELSE '' END) AS failed
+  FROM docs d JOIN firsts USING (text) LEFT JOIN said s ON d.doc_id = s.doc_id),
+masks AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, failed),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+each AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, n, good, toxic, failed, contains(failed, substr(filter_order, step, 1)) AS fails,
+         translate(failed, substr(filter_order, 1, step - 1), '') <> failed AS gone_before, translate(failed, substr(filter_order, 1, step), '') <> failed AS gone_after
+  FROM masks, steps),
+told AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, x, coalesce(sum(n) FILTER (NOT gone_after), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone_before), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND gone_before), 0) AS redundant, coalesce(sum(n) FILTER (failed = x), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT gone_before), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone_before), 0) AS toxic_lost
+  FROM each GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM told
 """,
 }
