@@ -54,13 +54,17 @@ _written: list[list[str]] = []
 def kept(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage and survives lost executors.
     What is read later needs the table, so it stays until whoever asked is done: see cleared()."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
+def stored(df: DataFrame) -> str:
+    """Writes df as a table in the shared folder, and says where."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     if _written:
         _written[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager
