@@ -17,6 +17,11 @@ def clean(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
 
+def finite(x: Column) -> Column:
+    """NaN and infinite values become null."""
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def exchange_of(ticker: Column) -> Column:
     """The last token: 'BARC LN' gives LN; a single token is itself."""
     return F.element_at(F.split(F.trim(ticker), r"\s+"), -1)

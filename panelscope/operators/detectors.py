@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import least_t, ratio_return, student_t_two_sided, t_angle, welch
+from panelscope.operators import rolling
 
 TINY = 1e-12
 
@@ -27,9 +28,13 @@ def simple_returns(panel: DataFrame) -> DataFrame:
 
 def zscores(returns: DataFrame, window: int) -> DataFrame:
     """returns with mu, sigma and z against the `window` returns before; z is null where they don't vary."""
-    frame = _by_t().rowsBetween(-window, -1)
-    known = returns.withColumns({"mu": F.avg("r").over(frame), "sigma": F.stddev_samp("r").over(frame)}).where(F.col("t") >= window)
-    return known.withColumn("z", F.when(F.col("sigma") >= TINY, (F.col("r") - F.col("mu")) / F.col("sigma")))
+    known = rolling.with_moments(rolling.with_running(returns, "r", "ticker", "t"), {"_w": (window, 1)}, "ticker", "t").where(F.col("t") >= window)
+    known = known.select(*returns.columns, F.col("_w_mean").alias("mu"), F.sqrt("_w_var").alias("sigma"))
+    return known.withColumn("z", z_of("mu", "sigma"))
+
+
+def z_of(mu: str, sigma: str) -> Column:
+    return F.when(F.col(sigma) >= TINY, (F.col("r") - F.col(mu)) / F.col(sigma))
 
 
 def cooled(candidates: DataFrame, cooldown: int) -> DataFrame:
@@ -55,15 +60,18 @@ def detect_jump(returns: DataFrame, window: int = 60, threshold: float = 3.0, co
 def welch_stats(returns: DataFrame, window: int = 30, least: float = 0.0) -> DataFrame:
     """(ticker, t, t_stat, dof, p) for the `window` returns before t and the `window` before those, where |t_stat| is at
     least `least`. Twins that don't vary have p 0 if their means differ, and null if not."""
-    far, near = (_by_t().rowsBetween(-2 * window, -window - 1), _by_t().rowsBetween(-window, -1))
-    moments = {f"{f}_{k}": fn("r").over(w) for k, w in (("far", far), ("near", near)) for f, fn in (("mean", F.avg), ("var", F.var_samp))}
-    known = returns.withColumns(moments).where(F.col("t") >= 2 * window)
-    t_stat, dof = welch(F.col("mean_far"), F.col("var_far"), F.col("mean_near"), F.col("var_near"), window)
-    flat = (F.col("var_far") == 0) & (F.col("var_near") == 0)
+    known = rolling.with_moments(rolling.with_running(returns, "r", "ticker", "t"), {"far": (2 * window, window + 1), "near": (window, 1)}, "ticker", "t")
+    return tested(known.where(F.col("t") >= 2 * window), window, least)
+
+
+def tested(known: DataFrame, window: int, least: float = 0.0) -> DataFrame:
+    """welch_stats() of rows that have the moments of both windows, far and near."""
+    t_stat, dof = welch(F.col("far_mean"), F.col("far_var"), F.col("near_mean"), F.col("near_var"), window)
+    flat = (F.col("far_var") == 0) & (F.col("near_var") == 0)
     known = known.withColumns({"t_stat": t_stat, "dof": dof}).withColumn("angle", t_angle(F.col("t_stat"), F.col("dof")))
     if least:
         known = known.where(flat | (F.abs("t_stat") >= least))
-    p = F.when(flat, F.when(F.col("mean_far") != F.col("mean_near"), 0.0)).otherwise(student_t_two_sided(F.col("angle"), F.col("dof")))
+    p = F.when(flat, F.when(F.col("far_mean") != F.col("near_mean"), 0.0)).otherwise(student_t_two_sided(F.col("angle"), F.col("dof")))
     return known.select("ticker", "t", "t_stat", "dof", p.alias("p"))
 
 

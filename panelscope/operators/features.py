@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import ratio_return
+from panelscope.operators import rolling
 from panelscope.schema import HORIZONS, TRADING_DAYS, VOL_WINDOWS
 
 def _by_date() -> Window:
@@ -36,10 +37,10 @@ def add_arith_returns(panel: DataFrame, horizons: tuple = HORIZONS) -> DataFrame
 
 def add_realized_vol(panel: DataFrame, windows: tuple = VOL_WINDOWS, annualization: int = TRADING_DAYS) -> DataFrame:
     """Sample deviation of the last w daily log returns, per year; null until there are w of them."""
-    daily = panel.withColumn("_daily", log_return(1))
-    frame = lambda w: _by_date().rowsBetween(1 - w, 0)
-    vol = {f"{name}_vol": F.when(F.count("_daily").over(frame(w)) == w, F.stddev_samp("_daily").over(frame(w)) * math.sqrt(annualization)) for w, name in windows}
-    return daily.withColumns(vol).drop("_daily")
+    run = rolling.with_running(panel.withColumn("_daily", log_return(1)), "_daily", "ticker", "date")
+    known = rolling.with_moments(run, {f"_{name}": (w - 1, 0) for w, name in windows}, "ticker", "date")
+    vol = {f"{name}_vol": rolling.full_deviation(f"_{name}", w) * math.sqrt(annualization) for w, name in windows}
+    return known.select(*[f"`{c}`" for c in panel.columns], *[v.alias(name) for name, v in vol.items()])
 
 
 def add_features(panel: DataFrame, horizons: tuple = HORIZONS, windows: tuple = VOL_WINDOWS, annualization: int = TRADING_DAYS) -> DataFrame:
