@@ -22,17 +22,19 @@ from panelscope.llm.winnow import joined
 
 #: Members of a bucket's block, and 64-bit numbers of its sets, about: what a task holds at once is two blocks.
 BLOCK, VALUES = 256, 1 << 21
+#: Pairs of sketches compared at once.
+STEP = 1 << 16
 
 
 @dataclass(frozen=True)
 class Likeness:
     """width: bytes of a sketch. keys: for sketches (n, width) the keys of their buckets, one column for each band, of which
-    no two have keys in common. near: for sketches and sizes of a node and of n others, which of them may be alike.
+    no two have keys in common. near: for sketches (n, width) and sizes of nodes and of as many others, which may be alike.
     alike: whether two sets, sorted numbers, are."""
 
     width: int
     keys: Callable[[np.ndarray], np.ndarray]
-    near: Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+    near: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     alike: Callable[[np.ndarray, np.ndarray], bool]
 
 
@@ -59,8 +61,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
         for batch in batches:
             if len(batch):
                 (a, n_a), (b, n_b) = ((sketches_of(batch[f"sketch_{x}"], like.width), batch[f"size_{x}"].to_numpy()) for x in "uv")
-                ok = [bool(like.near(a[k], n_a[k], b[k : k + 1], n_b[k : k + 1])[0]) for k in range(len(a))]
-                yield batch.select(["u", "v"]).filter(pa.array(ok))
+                yield batch.select(["u", "v"]).filter(pa.array(like.near(a, n_a, b, n_b)))
 
     for x in "uv":
         pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}")), x)
@@ -80,25 +81,52 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with the same key, whole, out of sorted batches."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches, cut where a group ends."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not len(batch):
             continue
         keys = np.stack([batch[c].to_numpy() for c in by], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and (keys[a] != last).any():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
+        end = int(np.flatnonzero((keys == keys[-1]).all(1))[0])
+        if held and (end or any(held[-1][c][len(held[-1]) - 1].as_py() != batch[c][0].as_py() for c in by)):
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held = []
+        elif end:
+            yield pa.Table.from_batches([batch.slice(0, end)])
+        held.append(batch.slice(end))
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _near_in_groups(rows: pa.Table, by: list[str], like: Likeness) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): places of rows of one group that may be alike, are of different roots and, between blocks, of different ones,
+    and whose first common band is the group's. A few at a time, with no group's pairs all at once."""
+    keys = rows.select(by).to_pandas().to_numpy()
+    root, block, size = (rows[c].to_numpy() for c in ("root", "block", "size"))
+    sketch = sketches_of(rows["sketch"].combine_chunks(), like.width)
+    bands = like.keys(sketch)
+    band, inner = np.argmax(bands == keys[:, :1], axis=1), keys[:, 1] == keys[:, 2]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+    end = np.repeat(np.r_[first[1:], len(keys)], np.diff(np.r_[first, len(keys)]))
+    after = end - np.arange(len(keys)) - 1
+    sums = np.cumsum(after)
+    low = 0
+    while low < len(keys):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + STEP, side="right")))
+        a = np.repeat(np.arange(low, high), after[low:high])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[low:high]) - after[low:high], after[low:high])
+        low = high
+        for use in (
+            lambda a, b: (root[a] != root[b]) & (inner[a] | (block[a] != block[b])),
+            lambda a, b: np.argmax(bands[a] == bands[b], axis=1) == band[a],
+            lambda a, b: like.near(sketch[a], size[a], sketch[b], size[b]),
+        ):
+            ok = use(a, b)
+            a, b = a[ok], b[ok]
+        yield a, b
+
+
 def _cells(contested: DataFrame) -> DataFrame:
     """contested (key, node, root, size, n, total), dealt to cells (key, i, j) in which block i meets block j."""
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / VALUES))
@@ -116,39 +144,30 @@ def across(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFra
     by = ["key", "i", "j"]
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, by):
-            node, root, block, size = (rows[c].to_numpy() for c in ("node", "root", "block", "size"))
-            key, inner = rows["key"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
-            sketch = sketches_of(rows["sketch"], like.width)
-            keys = like.keys(sketch)
-            band = int(np.flatnonzero(keys[0] == key)[0])
-            found = np.zeros(len(node), bool)
-            for a in range(len(node) - 1):
-                rest = np.arange(a + 1, len(node))
-                rest = rest[(root[rest] != root[a]) & (inner | (block[rest] != block[a]))]
-                rest = rest[like.near(sketch[a], size[a], sketch[rest], size[rest])]
-                # of the bands that two share the first one has them
-                rest = rest[np.argmax(keys[rest] == keys[a], axis=1) == band]
-                found[rest] = True
-                found[a] |= len(rest) > 0
-            if found.any():
-                out = rows.select([*by, "block", "node", "root"]).filter(pa.array(found)).combine_chunks()
-                yield from out.to_batches()
+        for rows in _whole_groups(batches, by):
+            found = np.zeros(len(rows), bool)
+            for a, b in _near_in_groups(rows, by, like):
+                found[a] = found[b] = True
+            yield from rows.select([*by, "block", "node", "root"]).filter(pa.array(found)).to_batches()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, by):
-            node, root, block, size = (rows[c].to_numpy().copy() for c in ("node", "root", "block", "size"))
-            inner = rows["i"][0].as_py() == rows["j"][0].as_py()
-            sketch = sketches_of(rows["sketch"], like.width)
-            held = [np.frombuffer(s.as_py(), np.uint64) for s in rows["set"]]
-            links = []
-            for a in range(len(node) - 1):
-                rest = np.arange(a + 1, len(node))
-                rest = rest[(root[rest] != root[a]) & (inner | (block[rest] != block[a]))]
-                for b in rest[like.near(sketch[a], size[a], sketch[rest], size[rest])].tolist():
-                    if root[a] != root[b] and like.alike(held[a], held[b]):
-                        links.append((node[a], node[b]))
-                        root[root == root[b]] = root[a]
+        above: dict[int, int] = {}  # roots that this task has linked
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        for rows in _whole_groups(batches, by):
+            node, root = rows["node"].to_numpy(), rows["root"].to_numpy().tolist()
+            sets, links = rows["set"].combine_chunks(), []
+            held = lambda k: np.frombuffer(sets[k].as_buffer(), np.uint64)
+            for a, b in _near_in_groups(rows, by, like):
+                for i, j in zip(a.tolist(), b.tolist()):
+                    x, y = top(root[i]), top(root[j])
+                    if x != y and like.alike(held(i), held(j)):
+                        links.append((node[i], node[j]))
+                        above[max(x, y)] = min(x, y)
             if links:
                 u, v = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])

@@ -58,40 +58,30 @@ class SetSketch:
         """The probability that a register is above the other's, for a set with the share x of its own in the sum of sizes."""
         return -np.log1p(-x * (self.base - 1) / self.base) / np.log(self.base)
 
-    def slope(self, j: np.ndarray, u: np.ndarray, above: np.ndarray, below: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """The derivative of the log likelihood by the similarity j; it falls as j rises."""
-        v, c, log = 1 - u, (self.base - 1) / self.base, np.log(self.base)
-        x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
-        p, q = self.share(x), self.share(y)
-        dp, dq = -v * c / (1 - x * c) / log, -u * c / (1 - y * c) / log
-        return above * dp / p + below * dq / q - equal * (dp + dq) / np.maximum(1 - p - q, 1e-12)
-
     def likelihood(self, j: np.ndarray, u: np.ndarray, above: np.ndarray, below: np.ndarray, equal: np.ndarray) -> np.ndarray:
         p, q = self.share(np.maximum(u - (1 - u) * j, 1e-12)), self.share(np.maximum(1 - u - u * j, 1e-12))
         return above * np.log(p) + below * np.log(q) + equal * np.log(np.maximum(1 - p - q, 1e-12))
 
-    def estimate(self, n_a: int, n_b: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """The most likely similarity, by halving; counts: registers of a above, below and equal to b's."""
-        u = n_a / (n_a + n_b)
-        low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
-        for _ in range(24):
-            middle = (low + high) / 2
-            rising = self.slope(middle, u, *counts) > 0
-            low, high = np.where(rising, middle, low), np.where(rising, high, middle)
-        return (low + high) / 2
-
-    def near(self, a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-        """Which of the sketches b may be of sets as similar to a's as linked ones are."""
+    def estimate(self, u: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The most likely similarity for registers so fine that share(x) is x, which is the root of a quadratic equation. u: the
+        first set's size in the sum of both; counts: registers of the first above, below and equal to the other's."""
+        above, below, equal = counts
+        v, n = 1 - u, above + below + equal
+        b = equal * (u * u + v * v) + above * v * v + below * u * u
+        return (b - np.sqrt(np.maximum(b * b - 4 * n * equal * (u * v) ** 2, 0))) / (2 * n * u * v)
+
+    def near(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which pairs of sketches may be of sets as similar as linked ones are."""
         fit = 100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b)
         at = np.flatnonzero(fit)
         if len(at):
-            x, y = a.view("<u2"), b[at].view("<u2")
-            counts = tuple(m.sum(1).astype(float) for m in (x > y, x < y, x == y))
-            n_b = n_b[at]
-            u, least = n_a / (n_a + n_b), np.full(len(at), self.percent / 100)
-            # short of 1 / 1 of the sizes, where the likelihood ends
-            least = np.minimum(least, np.minimum(u / (1 - u), (1 - u) / u) * (1 - 1e-9))
-            best = self.estimate(n_a, n_b, counts)
+            x, y = a[at].view("<u2"), b[at].view("<u2")
+            above, equal = (x > y).sum(1).astype(float), (x == y).sum(1).astype(float)
+            counts = (above, self.registers - above - equal, equal)
+            u = n_a[at] / (n_a[at] + n_b[at])
+            # the likelihood ends where the smaller set is a part of the larger
+            most = np.minimum(u / (1 - u), (1 - u) / u) * (1 - 1e-9)
+            least, best = np.minimum(self.percent / 100, most), np.minimum(self.estimate(u, counts), most)
             worse = self.likelihood(best, u, *counts) - self.likelihood(least, u, *counts)
             fit[at] = (best >= least) | (worse < self.doubt)
         return fit
