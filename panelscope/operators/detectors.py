@@ -37,16 +37,20 @@ def z_of(mu: str, sigma: str) -> Column:
     return F.when(F.col(sigma) >= TINY, (F.col("r") - F.col(mu)) / F.col(sigma))
 
 
-def cooled(candidates: DataFrame, cooldown: int) -> DataFrame:
-    """Keeps a candidate if it is more than `cooldown` after the last one kept."""
+def cooled_of(ts: Column, cooldown: int) -> Column:
+    """Of positions in order those that are more than `cooldown` after the last one kept."""
 
     def step(kept: Column, t: Column) -> Column:
         far = (F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) > cooldown)
         return F.when(far, F.concat(kept, F.array(t))).otherwise(kept)
 
+    return F.aggregate(ts, F.array().cast("array<int>"), step)
+
+
+def cooled(candidates: DataFrame, cooldown: int) -> DataFrame:
+    """Keeps a candidate if it is more than `cooldown` after the last one kept."""
     in_order = candidates.groupBy("ticker").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    kept = F.aggregate("ts", F.array().cast("array<int>"), step)
-    return in_order.select("ticker", F.explode(kept).alias("t"))
+    return in_order.select("ticker", F.explode(cooled_of(F.col("ts"), cooldown)).alias("t"))
 
 
 def jump_candidates(returns: DataFrame, window: int = 60, threshold: float = 3.0) -> DataFrame:
@@ -61,18 +65,24 @@ def welch_stats(returns: DataFrame, window: int = 30, least: float = 0.0) -> Dat
     """(ticker, t, t_stat, dof, p) for the `window` returns before t and the `window` before those, where |t_stat| is at
     least `least`. Twins that don't vary have p 0 if their means differ, and null if not."""
     known = rolling.with_moments(rolling.with_running(returns, "r", "ticker", "t"), {"far": (2 * window, window + 1), "near": (window, 1)}, "ticker", "t")
-    return tested(known.where(F.col("t") >= 2 * window), window, least)
+    known = with_test(known.where(F.col("t") >= 2 * window), window)
+    if least:
+        known = known.where(flat_twins() | (F.abs("t_stat") >= least))
+    return known.select("ticker", "t", "t_stat", "dof", p_of_twins().alias("p"))
 
 
-def tested(known: DataFrame, window: int, least: float = 0.0) -> DataFrame:
-    """welch_stats() of rows that have the moments of both windows, far and near."""
+def with_test(known: DataFrame, window: int) -> DataFrame:
+    """known (with the moments of both windows, far and near) with t_stat, dof and angle."""
     t_stat, dof = welch(F.col("far_mean"), F.col("far_var"), F.col("near_mean"), F.col("near_var"), window)
-    flat = (F.col("far_var") == 0) & (F.col("near_var") == 0)
-    known = known.withColumns({"t_stat": t_stat, "dof": dof}).withColumn("angle", t_angle(F.col("t_stat"), F.col("dof")))
-    if least:
-        known = known.where(flat | (F.abs("t_stat") >= least))
-    p = F.when(flat, F.when(F.col("far_mean") != F.col("near_mean"), 0.0)).otherwise(student_t_two_sided(F.col("angle"), F.col("dof")))
-    return known.select("ticker", "t", "t_stat", "dof", p.alias("p"))
+    return known.withColumns({"t_stat": t_stat, "dof": dof}).withColumn("angle", t_angle(F.col("t_stat"), F.col("dof")))
+
+
+def flat_twins() -> Column:
+    return (F.col("far_var") == 0) & (F.col("near_var") == 0)
+
+
+def p_of_twins() -> Column:
+    return F.when(flat_twins(), F.when(F.col("far_mean") != F.col("near_mean"), 0.0)).otherwise(student_t_two_sided(F.col("angle"), F.col("dof")))
 
 
 def detect_ttest(returns: DataFrame, window: int = 30, alpha: float = 0.001, cooldown: int = 20) -> DataFrame:
@@ -80,9 +90,8 @@ def detect_ttest(returns: DataFrame, window: int = 30, alpha: float = 0.001, coo
     return cooled(welch_stats(returns, window, least_t(alpha)).where(F.col("p") < alpha).select("ticker", "t"), cooldown)
 
 
-def detect_cusum(returns: DataFrame, ref_window: int = 60, threshold: float = 4.0, cooldown: int = 20, slack: float = 0.5) -> DataFrame:
-    """Page's sums of z above slack, both ways. Rows whose window doesn't vary are passed over; sums go on during the
-    cooldown, and both start anew at a detection."""
+def cusum_of(zs: Column, threshold: float, cooldown: int, slack: float = 0.5) -> Column:
+    """Positions of the detections, from (t, z) in order."""
 
     def step(s: Column, x: Column) -> Column:
         up = F.greatest(F.lit(0.0), s["up"] + x["z"] - slack)
@@ -94,8 +103,14 @@ def detect_cusum(returns: DataFrame, ref_window: int = 60, threshold: float = 4.
         )
 
     none = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(-cooldown - 1).alias("last"), F.array().cast("array<int>").alias("found"))
+    return F.aggregate(zs, none, step, lambda s: s["found"])
+
+
+def detect_cusum(returns: DataFrame, ref_window: int = 60, threshold: float = 4.0, cooldown: int = 20, slack: float = 0.5) -> DataFrame:
+    """Page's sums of z above slack, both ways. Rows whose window doesn't vary are passed over; sums go on during the
+    cooldown, and both start anew at a detection."""
     in_order = zscores(returns, ref_window).where("z is not null").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("t", "z"))).alias("zs"))
-    return in_order.select("ticker", F.explode(F.aggregate("zs", none, step, lambda s: s["found"])).alias("t"))
+    return in_order.select("ticker", F.explode(cusum_of(F.col("zs"), threshold, cooldown, slack)).alias("t"))
 
 
 def labelled(**found: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import math
 import operator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.functions.stats import clean, ratio_return
+from panelscope.functions.stats import ratio_return
+from panelscope.operators import rolling
+from panelscope.operators.scan import Moment, ewm
 from panelscope.schema import TRADING_DAYS
 
 
@@ -23,39 +24,18 @@ NORM_HORIZONS = (1, 21, 63, 126, 252)
 MACD_PAIRS = ((8, 24), (16, 28), (32, 96))
 
 
-def ewm(values: DataFrame, specs: dict[str, tuple[str, str, float]]) -> DataFrame:
-    """values (ticker, t, ...) with a column for each of specs: {name: (column, "mean" or "sd", decay)}, adjusted
-    exponentially weighted moments of the column up to t, of which each row before counts `decay` times the next. Nulls
-    age the weights and give what went before; sd is unbiased, and null before the second value.
-
-    All moments come from one pass: a group is one ticker's rows, sent to Python as Arrow columns, so that a step of the
-    recursion costs the same however long the history is.
-    """
-    kinds = dict(values.dtypes)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", ignore_index=True)
-        for name, (column, moment, decay) in specs.items():
-            weighted = group[column].astype(float).ewm(alpha=1 - decay, adjust=True, ignore_na=False)
-            group[name] = weighted.mean() if moment == "mean" else weighted.std()
-        return group
-
-    made = values.groupBy("ticker").applyInPandas(run, ", ".join([f"`{c}` {kinds[c]}" for c in values.columns] + [f"`{name}` double" for name in specs]))
-    return made.select(*values.columns, *[clean(F.col(name)).alias(name) for name in specs])
-
-
 def _span(span: float) -> float:
     return 1 - 2 / (span + 1)
 
 
 def ewm_vol(returns: DataFrame, span: int = 60) -> DataFrame:
     """(ticker, t, vol): exponentially weighted deviation of daily returns."""
-    return ewm(returns.select("ticker", "t", "r"), {"vol": ("r", "sd", _span(span))}).select("ticker", "t", "vol")
+    return ewm(returns.select("ticker", "t", "r"), {"vol": Moment("r", "sd", _span(span))}).select("ticker", "t", "vol")
 
 
 def vol_scaled(returns: DataFrame, target: float = 0.15, span: int = 60) -> DataFrame:
     """(ticker, t, scaled): r * target over the day before's yearly volatility."""
-    known = ewm(returns.select("ticker", "t", "r"), {"vol": ("r", "sd", _span(span))})
+    known = ewm(returns.select("ticker", "t", "r"), {"vol": Moment("r", "sd", _span(span))})
     before = F.lag("vol").over(_by_t()) * math.sqrt(TRADING_DAYS)
     return known.select("ticker", "t", (F.col("r") * F.try_divide(F.lit(target), before)).alias("scaled"))
 
@@ -69,7 +49,7 @@ def _placed(panel: DataFrame) -> DataFrame:
 def normalised_returns(panel: DataFrame, horizons: tuple[int, ...] = NORM_HORIZONS, span: int = 60) -> DataFrame:
     """(ticker, t, norm_<k>): return over k rows by the daily volatility times the root of k. t counts price rows from 0."""
     back = {f"r_{k}": ratio_return(F.col("price"), F.lag("price", k).over(_by_t())) for k in {1, *horizons}}
-    known = ewm(_placed(panel).withColumns(back).drop("price"), {"vol": ("r_1", "sd", _span(span))})
+    known = ewm(_placed(panel).withColumns(back).drop("price"), {"vol": Moment("r_1", "sd", _span(span))})
     return known.select("ticker", "t", *[F.try_divide(F.col(f"r_{k}"), F.col("vol") * math.sqrt(k)).alias(f"norm_{k}") for k in horizons])
 
 
@@ -77,11 +57,14 @@ def macd(panel: DataFrame, pairs: tuple[tuple[int, int], ...] = MACD_PAIRS, pric
     """(ticker, t, macd_<short>_<long>): difference of two exponential means of the price, of time scales short and long,
     by the price's deviation and then by its own."""
     scales = sorted({s for pair in pairs for s in pair})
-    known = ewm(_placed(panel), {f"mean_{s}": ("price", "mean", 1 - 1 / s) for s in scales})
-    rolling = lambda c, n: F.when(F.count(c).over(_by_t().rowsBetween(1 - n, 0)) == n, F.stddev_samp(c).over(_by_t().rowsBetween(1 - n, 0)))
-    known = known.withColumn("deviation", rolling("price", price_window))
-    known = known.withColumns({f"q_{a}_{b}": F.try_divide(F.col(f"mean_{a}") - F.col(f"mean_{b}"), F.col("deviation")) for a, b in pairs})
-    return known.select("ticker", "t", *[F.try_divide(F.col(f"q_{a}_{b}"), rolling(f"q_{a}_{b}", signal_window)).alias(f"macd_{a}_{b}") for a, b in pairs])
+    known = ewm(_placed(panel), {f"mean_{s}": Moment("price", "mean", 1 - 1 / s) for s in scales})
+    known = rolling.with_moments(rolling.with_running(known, "price", "ticker", "t"), {"price": (price_window - 1, 0)}, "ticker", "t")
+    known = known.withColumn("deviation", rolling.full_deviation("price", price_window))
+    known = known.select("ticker", "t", *[F.try_divide(F.col(f"mean_{a}") - F.col(f"mean_{b}"), F.col("deviation")).alias(f"q_{a}_{b}") for a, b in pairs])
+    for a, b in pairs:
+        q = f"q_{a}_{b}"
+        known = rolling.with_moments(rolling.with_running(known, q, "ticker", "t", q), {q: (signal_window - 1, 0)}, "ticker", "t", q)
+    return known.select("ticker", "t", *[F.try_divide(F.col(f"q_{a}_{b}"), rolling.full_deviation(f"q_{a}_{b}", signal_window)).alias(f"macd_{a}_{b}") for a, b in pairs])
 
 
 def tsmom_position(panel: DataFrame, weight: float = 0.5, slow: int = 252, fast: int = 21) -> DataFrame:

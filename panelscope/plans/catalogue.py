@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import DEVIATIONS, RAISED, RATIO, gauss_legendre
-from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum
+from panelscope.operators import backtest, benchmarks, comparison, coverage, detectors, events, features, gaussian, momentum
 from panelscope.operators import panel as shapes
 from panelscope.plans import market
 from panelscope.schema import COUNTRY_REGION, EXCHANGE_COUNTRY, HORIZONS, VOL_WINDOWS
 
 #: Parameters of the comparison of detectors (fixed values).
-CUSUM, JUMP, TTEST, GP = (60, 4.0, 30), (40, 2.5, 30), (20, 0.01, 30), (21, 0.85, 0.5, 30, 10)
+CUSUM, JUMP, TTEST = (60, 4.0, 30), (40, 2.5, 30), (20, 0.01, 30)
 TOLERANCE = 20
 METHODS = ["cusum", "jump", "ttest"]
 
@@ -332,9 +332,14 @@ def welch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(detectors.welch_stats(_returns(spark, sf_dir), TTEST[0]))
 
 
-@query(with_(PANEL, RETURNS, WELCH, "tc AS (SELECT ticker, t FROM welch WHERE p < 0.3)", cooled_cte("ttest", "tc", TTEST[2])) + "SELECT ticker, t FROM ttest")
+@query(with_(PANEL, RETURNS, TTEST_CTE) + "SELECT ticker, t FROM ttest")
 def detect_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At a level at which these random prices have detections."""
+    return detectors.detect_ttest(_returns(spark, sf_dir), *TTEST)
+
+
+@query(with_(PANEL, RETURNS, WELCH, "tc AS (SELECT ticker, t FROM welch WHERE p < 0.3)", cooled_cte("ttest", "tc", TTEST[2])) + "SELECT ticker, t FROM ttest")
+def detect_ttest_often(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a level at which these random prices have many detections."""
     return detectors.detect_ttest(_returns(spark, sf_dir), TTEST[0], 0.3, TTEST[2])
 
 
@@ -360,37 +365,37 @@ det AS (SELECT ticker, 'cusum' AS method, t FROM cusum UNION ALL SELECT ticker,
 spine AS (SELECT DISTINCT ticker, method FROM cps, (VALUES ('cusum'), ('jump'), ('ttest')) AS m(method)),
 first_cp AS (SELECT d.ticker, d.method, d.t, min(c.t) AS cp FROM det d LEFT JOIN cps c ON d.ticker = c.ticker AND abs(d.t - c.t) <= {TOLERANCE} GROUP BY 1, 2, 3),
 best AS (SELECT ticker, method, cp, min_by(t, abs(t - cp) * 1000000 + t) AS t FROM first_cp WHERE cp IS NOT NULL GROUP BY 1, 2, 3),
-per AS (SELECT ticker, method, count(*) AS n_matched, avg(t - cp) AS mean_delay FROM best GROUP BY 1, 2),
+per AS (SELECT ticker, method, count(*) AS n_matched, avg(t - cp) AS mean_delay, string_agg(CAST(t - cp AS VARCHAR), ',' ORDER BY cp) AS delays FROM best GROUP BY 1, 2),
 cnt AS (SELECT ticker, method, count(*) AS n_det, count(cp) AS n_tp FROM first_cp GROUP BY 1, 2),
 ncp AS (SELECT ticker, count(*) AS n_cps FROM cps GROUP BY 1),
 ev AS (SELECT s.ticker, s.method, coalesce(n_det, 0) AS n_det, coalesce(n_tp, 0) AS n_tp, coalesce(n_det, 0) - coalesce(n_tp, 0) AS n_fp,
   CASE WHEN coalesce(n_det, 0) = 0 THEN 0.0 ELSE (n_det - n_tp) / n_det END AS fpr,
-  CASE WHEN coalesce(n_det, 0) = 0 THEN 0.0 WHEN coalesce(n_cps, 0) = 0 THEN 1.0 ELSE coalesce(n_matched, 0) / n_cps END AS recall, mean_delay
+  CASE WHEN coalesce(n_det, 0) = 0 THEN 0.0 WHEN coalesce(n_cps, 0) = 0 THEN 1.0 ELSE coalesce(n_matched, 0) / n_cps END AS recall, mean_delay, coalesce(delays, '') AS delays
   FROM spine s LEFT JOIN cnt USING (ticker, method) LEFT JOIN per USING (ticker, method) LEFT JOIN ncp USING (ticker))"""
 ALL = (PANEL, RETURNS, CUSUM_CTE, JUMP_CTE, TTEST_CTE, EVENTS, EVALUATED)
 
 
-def _evaluated(spark: SparkSession, sf_dir: str, gp: bool = False) -> DataFrame:
-    """Detections of all methods against the events. Spark reuses the exchange that the panel and its returns share."""
-    panel = market.panel(spark, sf_dir)
-    returns = detectors.simple_returns(panel)
-    found = {"cusum": detectors.detect_cusum(returns, *CUSUM), "jump": detectors.detect_jump(returns, *JUMP), "ttest": detectors.detect_ttest(returns, *TTEST)}
-    if gp:
-        lookback, nu, gamma, cooldown, stride = GP
-        found["gp"] = gaussian.detect_gp(returns, lookback, nu, gamma, cooldown, stride)
-    cps = events.match_events(panel, market.events(spark))
-    return events.evaluate(detectors.labelled(**found), cps, events.spine_of(cps, list(found)), TOLERANCE)
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all methods against the events, in one pass over the panel."""
+    methods = comparison.Detectors(CUSUM, JUMP, TTEST)
+    return comparison.compared(market.panel(spark, sf_dir), market.events(spark), methods, TOLERANCE)
 
 
-@query()
-def method_summary_with_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comparison of all four detectors; the Gaussian process scores every tenth window in it, as it does there."""
-    return r6(events.method_summary(_evaluated(spark, sf_dir, gp=True)))
+@query(with_(*ALL) + "SELECT ticker, method, n_det, n_tp, n_fp, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(mean_delay, 6) AS mean_delay, delays FROM ev")
+def evaluate_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """delays as text."""
+    return r6(_evaluated(spark, sf_dir).withColumn("delays", F.array_join(F.transform("delays", lambda d: d.cast("string")), ",")))
 
 
-@query(with_(*ALL) + "SELECT ticker, method, n_det, n_tp, n_fp, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(mean_delay, 6) AS mean_delay FROM ev")
-def evaluate_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(_evaluated(spark, sf_dir).drop("delays"))
+@query(with_(*ALL) + "SELECT ticker, method, n_det, n_tp, n_fp, round(fpr, 6) AS fpr, round(recall, 6) AS recall, round(mean_delay, 6) AS mean_delay, delays FROM ev")
+def evaluate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from separate tables of detections and events, as they may come from anywhere."""
+    panel = market.panel(spark, sf_dir)
+    returns = detectors.simple_returns(panel)
+    found = detectors.labelled(cusum=detectors.detect_cusum(returns, *CUSUM), jump=detectors.detect_jump(returns, *JUMP), ttest=detectors.detect_ttest(returns, *TTEST))
+    cps = events.match_events(panel, market.events(spark))
+    made = events.evaluate(found, cps, events.spine_of(cps, METHODS), TOLERANCE)
+    return r6(made.withColumn("delays", F.array_join(F.transform("delays", lambda d: d.cast("string")), ",")))
 
 
 @query(
@@ -432,32 +437,31 @@ def universe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_(PANEL, RETURNS, "x AS (SELECT ticker, t, max(date) OVER f AS last_date, list(r) OVER f AS w FROM ret WINDOW f AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING))")
-    + "SELECT ticker, t, last_date, CAST(len(w) AS INTEGER) AS n, round(list_sum(w), 6) AS total FROM x WHERE t >= 21 AND (t - 21) % 5 = 0"
+    + "SELECT ticker, t, last_date, CAST(len(w) AS INTEGER) AS n, array_to_string(list_transform(w, lambda x: CAST(round(x * 1000000) AS BIGINT)), ',') AS micros FROM x WHERE t >= 21 AND (t - 21) % 5 = 0"
 )
 def cpd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returns of each window, in millionths, as text."""
     made = gaussian.cpd_windows(_returns(spark, sf_dir), 21, 5)
-    return r6(made.select("ticker", "t", "last_date", F.size("window").alias("n"), F.aggregate("window", F.lit(0.0), lambda s, x: s + x).alias("total")))
-
-
-@query()
-def gp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every window of every ticker."""
-    return gaussian.gp_scores(_returns(spark, sf_dir), GP[0])
+    micros = F.array_join(F.transform("window", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return made.select("ticker", "t", "last_date", F.size("window").alias("n"), micros.alias("micros"))
 
 
-@query()
-def detect_gp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the stride of the comparison, at which a detection's window is one of every ten."""
-    lookback, nu, gamma, cooldown, stride = GP
-    return gaussian.detect_gp(_returns(spark, sf_dir), lookback, nu, gamma, cooldown, stride)
-
-
-@query()
-def rolling_cpd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of daily log returns rolled along each ticker, every fifth day, and what stands out: the number of windows,
-    their mean nu, the days with nu over 0.9, and the five highest."""
-    daily = market.panel(spark, sf_dir).withColumn("r", features.log_return(1))
-    return gaussian.rolled(gaussian.gp_scores(gaussian.placed(daily), 21, 5))
+@query(
+    with_(PANEL, RETURNS, WELCH)
+    + f"""SELECT ticker, count(*) AS n_windows, round(avg(round(1 - p, 6)), 6) AS mean_nu, count(*) FILTER (round(1 - p, 6) > 0.9) AS n_hot,
+  coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (round(1 - p, 6) > 0.9), '') AS hot_dates,
+  coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5 AND p IS NOT NULL), '') AS highest
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(1 - p, 6) DESC NULLS LAST, date) AS rank FROM welch JOIN ret USING (ticker, t) WHERE (t - {2 * TTEST[0]}) % 5 = 0) GROUP BY ticker"""
+)
+def rolled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores rolled along each ticker, every fifth day, and what stands out: the number of windows, their mean score, the
+    days with one over 0.9, and the days of the five highest. The score is one less the p of Welch's test."""
+    returns = _returns(spark, sf_dir)
+    tested = detectors.welch_stats(returns, TTEST[0]).where((F.col("t") - 2 * TTEST[0]) % 5 == 0)
+    scores = tested.join(returns.select("ticker", "t", F.col("date").alias("last_date")), ["ticker", "t"]).withColumn("nu", F.round(1 - F.col("p"), 6))
+    dates = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    made = gaussian.rolled(scores)
+    return r6(made.select("ticker", "n_windows", "mean_nu", "n_hot", dates("hot_dates").alias("hot_dates"), dates(F.transform("highest", lambda x: x["last_date"])).alias("highest")))
 
 
 def ewm_sql(name: str, source: str, column: str, alpha: str) -> str:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import clipped, exchange_of, half_even, severity, sigmoid, student_t_two_sided, t_angle
-from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum, panel
+from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum, panel, scan
 from panelscope.sources import prices
 
 DAY = date(2020, 1, 1)
@@ -303,7 +303,7 @@ def test_ewm_of_long_histories_and_nulls(spark):
     """Against the sums of the definition: weights of all rows count, nulls age them and give what went before."""
     rng = np.random.default_rng(8)
     x = [None if k in (0, 7, 8, 300) else float(v) for k, v in enumerate(rng.normal(5, 1, 2000))]
-    rows = momentum.ewm(returns_of(spark, a=x).select("ticker", "t", "r", F.lit("kept").alias("own")), {"m": ("r", "mean", 0.95), "s": ("r", "sd", 0.95)}).orderBy("t").collect()
+    rows = scan.ewm(returns_of(spark, a=x).select("ticker", "t", "r", F.lit("kept").alias("own")), {"m": scan.Moment("r", "mean", 0.95), "s": scan.Moment("r", "sd", 0.95)}).orderBy("t").collect()
     assert {r["own"] for r in rows} == {"kept"} and rows[0]["m"] is None and rows[1]["s"] is None
     for t in (1, 2, 9, 300, 1999):
         known = [(0.95 ** (t - k), v) for k, v in enumerate(x[: t + 1]) if v is not None]
