@@ -1,4 +1,5 @@
-"""Command line: build (prices to a feature panel), cpd (a panel to changepoint scores), backtest (momentum positions by fold)."""
+"""Command line: build (prices to a feature panel), cpd (a panel to changepoint scores), train (a position model for a fold),
+backtest (momentum positions by fold)."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.operators import backtest, detectors, features, gaussian, momentum, panel
+from panelscope.operators import backtest, detectors, features, gaussian, momentum, panel, training
 from panelscope.schema import Config
 from panelscope.sources import prices
 
@@ -37,6 +38,19 @@ def cpd(spark: SparkSession, a: argparse.Namespace) -> None:
         prices.write_table(gaussian.gp_scores(returns, k, a.stride).withColumn("lbw", F.lit(k)), f"{a.out_dir}/cpd_{k}.parquet")
 
 
+def run_train(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A position model trained on the Sharpe ratio of all rows before the fold, and its positions in the fold."""
+    data = momentum.model_inputs(_panel(spark, a.data_dir), a.config.macd_pairs, span=a.config.ewm_span, target=a.config.vol_target)
+    rows = backtest.fold_rows(data, backtest.folds(spark, a.start, a.first_test, a.end).where(F.col("fold") == a.fold))
+    features_ = tuple(c for c in data.columns if c.startswith(("norm_", "macd_")))
+    model = training.train(rows.where("part = 'train'"), features_, a.steps)
+    held = rows.where("part = 'test'").select("fold", "ticker", "date", model.position().alias("position"), "r")
+    prices.write_table(held, f"{a.data_dir}/positions_{a.fold}.parquet")
+    names = ["bias", *features_]
+    weights = [(n, c, s, w) for n, c, s, w in zip(names, (0.0, *model.centre), (1.0, *model.scale), model.weights)]
+    prices.write_table(spark.createDataFrame(weights, "feature string, centre double, scale double, weight double"), f"{a.data_dir}/model_{a.fold}.parquet")
+
+
 def run_backtest(spark: SparkSession, a: argparse.Namespace) -> None:
     """Metrics of volatility-scaled time-series momentum over the test years of each fold."""
     data = _panel(spark, a.data_dir)
@@ -72,6 +86,13 @@ def main(argv: list[str] | None = None) -> None:
     for name, year in (("start", 1990), ("first-test", 1995), ("end", 2020)):
         p.add_argument(f"--{name}", type=int, default=year)
     p.set_defaults(run=run_backtest)
+    p = sub.add_parser("train", parents=[common])
+    p.add_argument("--fold", type=int, default=0)
+    p.add_argument("--data-dir", required=True)
+    p.add_argument("--steps", type=int, default=20)
+    for name, year in (("start", 1990), ("first-test", 1995), ("end", 2020)):
+        p.add_argument(f"--{name}", type=int, default=year)
+    p.set_defaults(run=run_train)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("panelscope").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     a.run(spark, a)

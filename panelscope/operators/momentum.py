@@ -67,6 +67,18 @@ def macd(panel: DataFrame, pairs: tuple[tuple[int, int], ...] = MACD_PAIRS, pric
     return known.select("ticker", "t", *[F.try_divide(F.col(f"q_{a}_{b}"), rolling.full_deviation(f"q_{a}_{b}", signal_window)).alias(f"macd_{a}_{b}") for a, b in pairs])
 
 
+def model_inputs(panel: DataFrame, pairs: tuple[tuple[int, int], ...] = MACD_PAIRS, horizons: tuple[int, ...] = NORM_HORIZONS, span: int = 60, target: float = 0.15) -> DataFrame:
+    """(ticker, date, t, r, norm_<k> ..., macd_<short>_<long> ...): what is known after row t, and r, the next row's return scaled
+    to the target volatility, which a position taken then gains; date is the next row's. A ticker's last row has none."""
+    w = Window.partitionBy("ticker").orderBy("t")
+    dated = panel.select("ticker", "date", (F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1).alias("t"))
+    after = ewm(_placed(panel).withColumn("r", ratio_return(F.col("price"), F.lag("price").over(w))), {"vol": Moment("r", "sd", _span(span))})
+    gain = F.lead("r").over(w) * F.try_divide(F.lit(target), F.col("vol") * math.sqrt(TRADING_DAYS))
+    gains = after.select("ticker", "t", gain.alias("r")).join(dated.select("ticker", (F.col("t") - 1).alias("t"), "date"), ["ticker", "t"])
+    known = normalised_returns(panel, horizons, span).join(macd(panel, pairs), ["ticker", "t"])
+    return gains.join(known, ["ticker", "t"]).select("ticker", "date", "t", "r", *[c for c in known.columns if c not in ("ticker", "t")])
+
+
 def tsmom_position(panel: DataFrame, weight: float = 0.5, slow: int = 252, fast: int = 21) -> DataFrame:
     """(ticker, t, position): (1 - weight) * sign of the slow return + weight * sign of the fast one."""
     w = Window.partitionBy("ticker").orderBy("date")

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import DEVIATIONS, RAISED, RATIO, gauss_legendre
-from panelscope.operators import backtest, benchmarks, comparison, coverage, detectors, events, features, gaussian, momentum
+from panelscope.operators import backtest, benchmarks, comparison, coverage, detectors, events, features, gaussian, momentum, training
 from panelscope.operators import panel as shapes
 from panelscope.plans import market
 from panelscope.schema import COUNTRY_REGION, EXCHANGE_COUNTRY, HORIZONS, VOL_WINDOWS
@@ -569,17 +569,46 @@ def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*[F.round(c, 5 if c in coarse else 6).alias(c) if c != "ticker" else c for c in made.columns])
 
 
-def _last_sign(train):
-    """The model of the registered backtest: the sign of the mean training return, held throughout."""
-    side = 1.0 if train["r"].mean() >= 0 else -1.0
-    return lambda test: test["r"] * 0 + side
+FOLDS = "f(fold, s, e) AS (VALUES (0, DATE '1997-01-01', DATE '1999-01-01'), (1, DATE '1999-01-01', DATE '2001-01-01'), (2, DATE '2001-01-01', DATE '2002-01-01'))"
 
 
 @query(
-    with_(PANEL, RETURNS, "f(fold, s, e) AS (VALUES (0, DATE '1997-01-01', DATE '1999-01-01'), (1, DATE '1999-01-01', DATE '2001-01-01'), (2, DATE '2001-01-01', DATE '2002-01-01'))",
-          "tr AS (SELECT fold, ticker, CASE WHEN avg(r) >= 0 THEN 1.0 ELSE -1.0 END AS side FROM ret JOIN f ON date < s GROUP BY 1, 2)")
+    with_(PANEL, RETURNS, FOLDS, "tr AS (SELECT fold, ticker, CASE WHEN avg(r) >= 0 THEN 1.0 ELSE -1.0 END AS side FROM ret JOIN f ON date < s AND date >= DATE '1995-01-01' GROUP BY 1, 2)")
     + "SELECT CAST(fold AS INTEGER) AS fold, ticker, date, CAST(side AS DOUBLE) AS position, round(r, 6) AS r FROM ret JOIN f ON date >= s AND date < e JOIN tr USING (fold, ticker)"
-)
+)
 def expanding_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sign of the mean training return, held throughout a fold."""
     folds = backtest.folds(spark, 1995, 1997, 2002, 2)
-    return r6(backtest.expanding_window_backtest(_returns(spark, sf_dir), _last_sign, folds))
+    return r6(backtest.expanding_positions(_returns(spark, sf_dir).select("ticker", "date", "r"), backtest.mean_sign(), folds))
+
+
+LAGGED = "feat AS (SELECT *, lag(r) OVER (PARTITION BY ticker ORDER BY t) AS x FROM ret)"
+
+
+@query(
+    with_(
+        PANEL, RETURNS, LAGGED, FOLDS,
+        "tr AS (SELECT fold, regr_slope(r, x) AS slope, regr_intercept(r, x) AS level FROM feat JOIN f ON date < s AND date >= DATE '1995-01-01' WHERE x IS NOT NULL AND r IS NOT NULL GROUP BY 1)",
+    )
+    + "SELECT CAST(fold AS INTEGER) AS fold, ticker, date, CAST(coalesce(sign(slope * x + level), 0) AS DOUBLE) AS position, round(r, 6) AS r FROM feat JOIN f ON date >= s AND date < e JOIN tr USING (fold)"
+)
+def expanding_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One least-squares line for all tickers: today's return by yesterday's."""
+    data = _returns(spark, sf_dir).withColumn("x", F.lag("r").over(Window.partitionBy("ticker").orderBy("t"))).select("ticker", "date", "r", "x")
+    made = backtest.expanding_positions(data, backtest.regression("x"), backtest.folds(spark, 1995, 1997, 2002, 2), ())
+    return r6(made.drop("x"))
+
+
+@query(
+    with_(
+        PANEL, RETURNS, LAGGED,
+        "p AS (SELECT r, x, tanh(0.1 + 0.5 * coalesce(x, 0)) AS p FROM feat WHERE r IS NOT NULL)",
+        "z AS (SELECT p * r AS z, r * (1 - p * p) AS d0, r * (1 - p * p) * coalesce(x, 0) AS d1 FROM p)",
+        "m AS (SELECT avg(z) AS m, stddev_pop(z) AS s, avg(d0) AS d0, avg(d1) AS d1, avg(z * d0) AS zd0, avg(z * d1) AS zd1 FROM z)",
+    )
+    + "SELECT round(-sqrt(252.0) * m / s, 6) AS loss, round(-sqrt(252.0) * (d0 / s - m * (zd0 - m * d0) / pow(s, 3)), 6) AS g0, round(-sqrt(252.0) * (d1 / s - m * (zd1 - m * d1) / pow(s, 3)), 6) AS g1 FROM m"
+)
+def sharpe_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of a position model with given weights on yesterday's return, and its gradient."""
+    data = _returns(spark, sf_dir).withColumn("x", F.lag("r").over(Window.partitionBy("ticker").orderBy("t")))
+    return r6(training.loss_and_gradient(training.gradient_sums(data, ("x",), (0.0,), (1.0,), (0.1, 0.5)), 2))

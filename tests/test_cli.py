@@ -26,3 +26,6 @@ def test_build_cpd_backtest(spark, tmp_path):
     assert spark.read.parquet(f"{out}/cpd_25.parquet").count() >= 2
     main(["backtest", "--data-dir", out, "--start", "2019", "--first-test", "2020", "--end", "2021"])
     assert spark.read.parquet(f"{out}/backtest.parquet").count() == 1
+    main(["train", "--data-dir", out, "--start", "2019", "--first-test", "2020", "--end", "2021", "--steps", "2"])
+    held = spark.read.parquet(f"{out}/positions_0.parquet")
+    assert held.where("abs(position) <= 1").count() == held.count() > 50 and spark.read.parquet(f"{out}/model_0.parquet").count() == 9
