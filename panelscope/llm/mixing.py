@@ -1,10 +1,13 @@
 """Mixing sources to target weights by pivotal dependent rounding. DataFrame functions only.
 
 Every row of a source should be copied target / source_size times. The whole part is certain; the
-fractional parts are rounded together: two units meet, and one passes its probability to the other
-until one of them is 0 or 1. Units meet in blocks of about BLOCK, ordered by size so that neighbours
-weigh alike; the one unit that a block leaves open goes up a reduction tree, block by block, until a
-source has a single one, and the decisions come back down the same tree.
+fractional parts are rounded together: two units meet, and words pass from one to the other, at random
+either way, until one of them is 0 or 1, so that all words together stay what they were, and every
+unit's chance too. Units meet in blocks of about BLOCK, largest first; the one that a block leaves open
+goes up a reduction tree, block by block, until a source has a single one, and the decisions come back
+down the same tree. Before that, the few rows that hold more than 1/256 of their source's words are
+drawn, largest first, and what each adds or lacks is spread over all rows after it: a source misses its
+target by a row of that size at most, if it has others to make up for it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from panelscope.llm.common import kept, word_count
 WEIGHTS, SHARE, COPIES = (5, 2, 1), 1.5, 2
 #: Units in a block of the reduction tree, about.
 BLOCK = 192
+#: A unit is large if it has more than one in so many of its source's words, so that a source has no more of them than that.
+LARGE = 256
 SEED = 7
 
 
@@ -48,25 +53,57 @@ def _uniform(*of: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *of), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _drawn(units: Column, words: Column, level: int) -> Column:
+    """struct(won, shift): the units that are in, each drawn in turn, and what the probabilities of all that come after the last
+    are shifted by. units: structs with order (minus the size), p and h, in the order in which they are drawn. words: of these
+    and of all after them. What a unit adds or lacks is spread over all after it, by size, so that theirs keep their means
+    as long as none of them leaves 0 to 1; one beyond is 0 or 1, and the rest of it passes on."""
+    none = F.struct(F.lit(0.0).alias("shift"), words.cast("double").alias("left"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("won"))
+
+    def draw(s: Column, x: Column) -> Column:
+        size, p = -x["order"], x["p"] + s["shift"]
+        chosen = _uniform(F.lit(level), x["h"]) < p
+        left = s["left"] - size
+        more = F.coalesce((p - chosen.cast("int")) * size / F.when(left > 0.5, left), F.lit(0.0))
+        return F.struct((s["shift"] + more).alias("shift"), left.alias("left"), (s["k"] + 1).alias("k"), F.when(chosen, F.concat(s["won"], F.array(s["k"]))).otherwise(s["won"]).alias("won"))
+
+    return F.aggregate(units, none, draw)
+
+
 def _pivoted(units: Column, level: int) -> Column:
-    """struct(open, p, won): the unit left open (-1: none), its probability, and the units that are in.
-    units: structs with p and h, in the order in which they meet."""
-    none = F.struct(F.lit(-1).alias("open"), F.lit(0.0).alias("p"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("won"))
+    """struct(open, p, won): the unit left open, its probability, and the units that are in. units: structs with order (minus
+    the size), p and h, in the order in which they meet.
+
+    Two that meet pass words from one to the other, either way, until one is 0 or 1; the chances of the ways are such that
+    either keeps its mean. One that is below 0 or above 1 before, from what it was passed, gives that up first.
+    """
+    none = F.struct(F.lit(-1).alias("open"), F.lit(0.0).alias("p"), F.lit(1.0).alias("size"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("won"))
+
+    def bound(s: Column, x: Column) -> Column:
+        """The words that may go to the open unit (up) and from it (down)."""
+        mine, own = -x["order"], s["size"]
+        return F.struct(F.least((1 - s["p"]) * own, x["p"] * mine).alias("up"), F.least(s["p"] * own, (1 - x["p"]) * mine).alias("down"))
 
     def meet(s: Column, x: Column) -> Column:
-        both = s["p"] + x["p"]
-        u = _uniform(F.lit(level), x["h"])
-        up = both >= 1
-        stays = F.when(up, u >= (1 - x["p"]) / F.nullif(2 - both, F.lit(0.0))).otherwise(u < s["p"] / F.nullif(both, F.lit(0.0)))
-        stays = F.coalesce(stays, F.lit(True))
-        won = F.when(up, F.concat(s["won"], F.array(F.when(stays, s["k"]).otherwise(s["open"])))).otherwise(s["won"])
-        left = F.when(up, both - 1).otherwise(both)
-        left = F.when(left < 1e-12, 0.0).otherwise(left)
-        after = F.struct(
-            F.when(left == 0, -1).when(stays, s["open"]).otherwise(s["k"]).alias("open"), left.alias("p"), (s["k"] + 1).alias("k"), won.alias("won")
-        )
-        start = F.struct(s["k"].alias("open"), x["p"].alias("p"), (s["k"] + 1).alias("k"), s["won"].alias("won"))
-        return F.when(s["open"] < 0, start).otherwise(after)
+        size = -x["order"]
+        start = F.struct(s["k"].alias("open"), x["p"].alias("p"), size.alias("size"), (s["k"] + 1).alias("k"), s["won"].alias("won"))
+
+        def settled(gone: Column, into: Column, stays: Column, p: Column, of: Column) -> Column:
+            won = F.when(into, F.concat(s["won"], F.array(gone))).otherwise(s["won"])
+            return F.struct(stays.alias("open"), p.alias("p"), of.alias("size"), (s["k"] + 1).alias("k"), won.alias("won"))
+
+        def both(of: Column) -> Column:
+            to_open = _uniform(F.lit(level), x["h"]) < F.coalesce(of["down"] / F.nullif(of["up"] + of["down"], F.lit(0.0)), F.lit(1.0))
+            words = F.when(to_open, of["up"]).otherwise(-of["down"])
+            p, q = s["p"] + words / s["size"], x["p"] - words / size
+            # whichever is nearer to a whole number has got there
+            mine = F.least(F.abs(p), F.abs(1 - p)) <= F.least(F.abs(q), F.abs(1 - q))
+            return F.when(mine, settled(s["open"], p > 0.5, s["k"], q, size)).otherwise(settled(s["k"], q > 0.5, s["open"], p, s["size"]))
+
+        over, under = (lambda p: F.greatest(p - 1, F.lit(0.0)) + F.least(p, F.lit(0.0))), (lambda p: (p > 1) | (p < 0))
+        passed = settled(s["open"], s["p"] > 1, s["k"], x["p"] + over(s["p"]) * s["size"] / size, size)
+        given = settled(s["k"], x["p"] > 1, s["open"], s["p"] + over(x["p"]) * size / s["size"], s["size"])
+        return F.when(s["open"] < 0, start).when(under(s["p"]), passed).when(under(x["p"]), given).otherwise(both(bound(s, x)))
 
     return F.aggregate(units, none, meet)
 
@@ -77,12 +114,25 @@ def _level(units: DataFrame, level: int) -> DataFrame:
     return kept(folded.withColumn("end", _pivoted(F.col("units"), level)))
 
 
+def large_first(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(large units with chosen, other units with p shifted): units have words, their source's. What the large ones of a
+    source add or lack is taken from or given to its other units, in proportion to their sizes."""
+    large = F.col("size") * LARGE > F.col("words")
+    unit = F.struct((-F.col("size")).alias("order"), "h", "p", "item").alias("unit")
+    of = units.groupBy("source_id").agg(F.sum("size").alias("left"), F.sort_array(F.collect_list(F.when(large, unit))).alias("units"))
+    drawn = kept(of.where(F.size("units") > 0).withColumn("end", _drawn(F.col("units"), F.col("left"), -2)))
+    each = drawn.select("source_id", "end", F.posexplode("units").alias("at", "unit"))
+    told = each.select("source_id", F.array_contains("end.won", F.col("at")).cast("int").alias("chosen"), F.col("unit.item").alias("item"))
+    rest = units.where(~large).join(drawn.select("source_id", F.col("end.shift").alias("shift")), "source_id", "left")
+    return told, rest.withColumn("p", F.col("p") + F.coalesce("shift", F.lit(0.0))).drop("shift")
+
+
 def _blocks(n: Column) -> Column:
     return F.ceil(n / F.lit(float(BLOCK))).cast("long")
 
 
 def rounded(units: DataFrame) -> DataFrame:
-    """units (source_id, n, h, size, p, item) with `chosen`, 0 or 1, of mean p; n is the source's number of units.
+    """units (source_id, n, h, size, p, item) with `chosen`, 0 or 1, of mean p; n is the source's number of units, and no size is 0.
 
     All that doesn't fit into memory is spread: a source of any size has blocks of about BLOCK units.
     """
@@ -90,7 +140,7 @@ def rounded(units: DataFrame) -> DataFrame:
     first = units.select("source_id", _blocks(F.col("n")).alias("n_blocks"), "h", unit).withColumn("block", F.pmod("h", "n_blocks"))
     levels = [_level(first, 0)]
     while levels[-1].where("n_blocks > 1").limit(1).count():
-        last = levels[-1].where("n_blocks > 1 and end.open >= 0")
+        last = levels[-1].where("n_blocks > 1")
         at = F.element_at("units", F.col("end.open") + 1)
         h = F.xxhash64(F.lit(len(levels)), "block", "source_id")
         up = last.select("source_id", _blocks(F.col("n_blocks")).alias("n_blocks"), h.alias("h"), F.struct(at["order"].alias("order"), h.alias("h"), F.col("end.p").alias("p"), F.col("block").alias("item")).alias("unit"))
@@ -125,7 +175,8 @@ def dealt(docs: DataFrame) -> DataFrame:
     known = units.join(t, units["source"].eqNullSafe(t["source"])).drop(t["source"])
     known = known.select("source_id", F.col("n_units").alias("n"), F.xxhash64("doc_id", "size", "source").alias("h"), "size", p.alias("p"), item.alias("item"))
     is_open = F.col("p") > 1e-12
-    both = rounded(known.where(is_open)).select("item", "chosen").union(known.where(~is_open).select("item", F.lit(0)))
+    large, rest = large_first(known.where(is_open).withColumn("words", F.col("item.source_size")))
+    both = rounded(rest).select("item", "chosen").union(large.select("item", "chosen")).union(known.where(~is_open).select("item", F.lit(0)))
     return both.select("item.*", (F.col("item.sure") + F.col("chosen")).alias("extra")).drop("sure")
 
 
