@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -85,6 +86,7 @@ def blocks(page: str | None) -> tuple[list[str], list[Block]]:
     texts: list[str] = []
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     heading = link = links = closed = 0
@@ -124,9 +126,11 @@ def blocks(page: str | None) -> tuple[list[str], list[Block]]:
                     if not ends:
                         if not m["attrs"].endswith("/"):
                             stack.append((tag, *_marked(tag, m["attrs"], *stack[-1][1:])))
-                    elif any(t == tag for t, _, _ in stack):
-                        while stack.pop()[0] != tag:
-                            pass
+                            opened[tag] += 1
+                    elif opened[tag]:
+                        while (gone := stack.pop()[0]) != tag:
+                            opened[gone] -= 1
+                        opened[tag] -= 1
         elif m["raw"] is not None:
             parts.append(" ")
     flush()

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -670,7 +671,32 @@ def test_mixing_has_several_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 6)
     units = spark.range(2000).select(F.lit(1).alias("source_id"), F.lit(2000).alias("n"), F.xxhash64("id").alias("h"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("p"), "id")
     got = mixing.rounded(units.withColumnRenamed("id", "item")).collect()
-    assert len(got) == 2000 and abs(sum(r["chosen"] for r in got) - 600) <= 1
+    assert len(got) == 2000 and {r["item"] for r in got} == set(range(2000))
+    # the words are what they were, but for the unit drawn last
+    assert abs(sum(r["chosen"] * (r["item"] % 50 + 1) for r in got) - 0.3 * 40 * 50 * 51 / 2) <= 50 and 500 < sum(r["chosen"] for r in got) < 700
+
+
+@pytest.mark.parametrize("huge", [3000, 600])
+def test_mixing_with_a_huge_row(spark, huge):
+    """A row of a third of its source's words is taken or not, and its source comes near its target either way; over many
+    seeds it is taken as often as it should be."""
+    rows = [(k, "w " * (huge if k == 0 else 1 + k * 37 % 200), "a") for k in range(60)] + [(100 + k, "w " * (1 + k % 9), "b") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df).collect()
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= mine[0]["source_size"] / mixing.LARGE + 1
+    unit = lambda k, size: F.struct(F.lit(-size).alias("order"), F.xxhash64(F.col("id"), F.lit(k)).alias("h"), F.lit(0.3).alias("p"))
+    units = F.array(unit(0, 100), unit(1, 60), unit(2, 40), unit(3, 9))
+    drawn = spark.range(4000).select(mixing._drawn(units, F.lit(1000), 0).alias("e")).select("e.won", "e.shift").collect()
+    for k in range(4):
+        assert abs(sum(k in r["won"] for r in drawn) / 4000 - 0.3) < 0.035
+    sizes = (100, 60, 40, 9)
+    assert all(abs(sum(sizes[k] for k in r["won"]) + (0.3 + r["shift"]) * 791 - 300) < 1e-6 for r in drawn)
+    met = spark.range(4000).select(mixing._pivoted(units, 0).alias("e"), F.transform(units, lambda x: -x["order"]).alias("sizes")).select("e.won", "e.open", "e.p", "sizes").collect()
+    for k in range(4):
+        assert abs(sum(r["p"] if r["open"] == k else k in r["won"] for r in met) / 4000 - 0.3) < 0.035
+    assert all(abs(sum(r["sizes"][k] for k in r["won"]) + r["p"] * r["sizes"][r["open"]] - 0.3 * 209) < 1e-6 and -1e-9 <= r["p"] <= 1 + 1e-9 for r in met)
 
 
 # -- pages and URLs --------------------------------------------------------------------------------
@@ -685,6 +711,15 @@ PAGE = """<!DOCTYPE html><html class="js sidebar-on"><head><title>T</title><styl
 <p>End.</p></article></main><footer>&copy; someone, all rights reserved by the owner of this page</footer></body></html>"""
 
 
+def test_unbalanced_pages_cost_no_more():
+    """Many open elements and many ends of others: an end looks up whether its element is open."""
+    began = time.time()
+    assert extraction.main_text("<div>" * 30_000 + "<p>" + "word " * 60 + "</p>" + "</section>" * 30_000) == ("word " * 60).strip()
+    assert time.time() - began < 5
+    nested = "<article><div><section></div></section><aside><p>beside it</p></aside><p>inside</p></article>"
+    assert extraction.main_text(nested) == "inside"
+
+
 def test_extraction(spark):
     assert extraction.main_text(PAGE) == "Head & shoulders\nFirst bold text here.\nSecond <paragraph> is é longer with a link in it.\nOne item\nEnd."
     plain = f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p>{' '.join(['word'] * 60)}</p><p>{' '.join(['more'] * 50)}</p><div><a href=x>next page</a></div></body>"
