@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import DEVIATIONS, RAISED, RATIO, gauss_legendre
-from panelscope.operators import backtest, benchmarks, comparison, coverage, detectors, events, features, gaussian, momentum, training
+from panelscope.operators import backtest, benchmarks, blocks, comparison, coverage, detectors, events, features, gaussian, momentum, training
 from panelscope.operators import panel as shapes
 from panelscope.plans import market
 from panelscope.schema import COUNTRY_REGION, EXCHANGE_COUNTRY, HORIZONS, VOL_WINDOWS
@@ -348,6 +348,18 @@ def detect_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.detect_cusum(_returns(spark, sf_dir), *CUSUM)
 
 
+@query(with_(PANEL, RETURNS, JUMP_CTE) + "SELECT ticker, t FROM jump")
+def detect_jump_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same detections by following pointers, for series of any length."""
+    return blocks.cooled(detectors.jump_candidates(_returns(spark, sf_dir), *JUMP[:2]), JUMP[2])
+
+
+@query(with_(PANEL, RETURNS, CUSUM_CTE) + "SELECT ticker, t FROM cusum")
+def detect_cusum_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same detections block by block, for series of any length."""
+    return blocks.detect_cusum(_returns(spark, sf_dir), *CUSUM, rows=256)
+
+
 EVENTS = f"""
 pos AS (SELECT ticker, date, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM panel {WIN}),
 near AS (SELECT ticker, event, min_by(pos, abs(date_diff('day', CAST(event_date AS DATE), date)) * 1000000 + pos) AS pos, any_value(n) AS n
