@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import DEVIATIONS, RAISED, RATIO, gauss_legendre
-from panelscope.operators import backtest, benchmarks, blocks, comparison, coverage, detectors, events, features, gaussian, momentum, training
+from panelscope.operators import backtest, benchmarks, blocks, comparison, coverage, detectors, events, features, gaussian, momentum, online, training
 from panelscope.operators import panel as shapes
 from panelscope.plans import market
 from panelscope.schema import COUNTRY_REGION, EXCHANGE_COUNTRY, HORIZONS, VOL_WINDOWS
@@ -360,6 +360,26 @@ def detect_cusum_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.detect_cusum(_returns(spark, sf_dir), *CUSUM, rows=256)
 
 
+BAYES = """
+bz AS (SELECT ticker, t, z, row_number() OVER (PARTITION BY ticker ORDER BY t) AS k FROM z60 WHERE z IS NOT NULL),
+bs AS (
+  SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS k, CAST(0 AS INTEGER) AS t, [{'n': CAST(0 AS INTEGER), 's': CAST(0 AS DOUBLE), 'mass': CAST(1 AS DOUBLE)}] AS runs, CAST(0 AS INTEGER) AS before, CAST(0 AS INTEGER) AS best FROM bz
+  UNION ALL
+  SELECT ticker, k, t, runs, before, list_max(list_transform(runs, lambda r: {'mass': r.mass, 'n': r.n})).n AS best FROM (
+    SELECT ticker, k, t, before, list_concat([{'n': CAST(0 AS INTEGER), 's': CAST(0 AS DOUBLE), 'mass': CAST(1 AS DOUBLE) / 250}],
+        list_filter(list_transform(w, lambda r: {'n': CAST(r.n + 1 AS INTEGER), 's': r.s + z, 'mass': coalesce(r.mass / nullif(total, 0), 0) * (1 - CAST(1 AS DOUBLE) / 250)}), lambda r: r.mass >= 1e-4)) AS runs
+    FROM (SELECT *, list_sum(list_transform(w, lambda r: r.mass)) AS total FROM (
+      SELECT b.ticker, y.k, y.t, y.z, b.best AS before, list_transform(b.runs, lambda r: {'n': r.n, 's': r.s,
+          'mass': r.mass * exp(-pow(y.z - r.s / (0.25 + r.n), 2) / (2 * (1 + 1 / (0.25 + r.n)))) / sqrt(1 + 1 / (0.25 + r.n))}) AS w
+      FROM bs b JOIN bz y ON b.ticker = y.ticker AND y.k = b.k + 1) c) d) e)"""
+
+
+@query(with_(PANEL, RETURNS, z_cte("z60", 60), BAYES) + "SELECT ticker, t, CAST(t - best + 1 AS INTEGER) AS began FROM bs WHERE best < before")
+def detect_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the z-scores' mean, by the posterior of run lengths."""
+    return online.detect_bayes(detectors.zscores(_returns(spark, sf_dir), 60))
+
+
 EVENTS = f"""
 pos AS (SELECT ticker, date, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM panel {WIN}),
 near AS (SELECT ticker, event, min_by(pos, abs(date_diff('day', CAST(event_date AS DATE), date)) * 1000000 + pos) AS pos, any_value(n) AS n
