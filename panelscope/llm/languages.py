@@ -23,11 +23,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Bounds:
-    """The labelled sample: texts taken for each language (those of the least hash), and characters of each, from a
-    hashed place. Both bound a language's model (to about 2 MB), not what it is applied to."""
+    """The labelled sample: for each language `texts` whole texts at most, those of the least hash, as long as they have
+    `chars` characters at most together; texts that don't fit are passed over for shorter ones, and if none does, the
+    shortest is taken. This bounds a language's model (to some 5 MB), not what it is applied to."""
 
-    texts: int = 160
-    chars: int = 300
+    texts: int = 64
+    chars: int = 120_000
 
 
 #: Characters between the places from which a text is parsed side by side; it changes nothing in the result.
@@ -251,18 +252,19 @@ class Automaton:
 
 def train(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The models (MODEL), one row for each language with labelled text, in the shared folder. Learns from text and
-    non-null lang of the rows that aren't held out; the sample's texts are those of the least hash, found by a partial
-    top-k before the texts are read."""
+    non-null lang of the rows that aren't held out; the sample is found by a partial top-k."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    by_hash = F.xxhash64("doc_id", F.length("text"))
-    start = F.pmod(F.xxhash64(F.length("text")), F.greatest(F.lit(1), F.length("text") - bounds.chars + 1)).cast("int") + 1
-    part = F.substring("text", start, F.lit(bounds.chars)).alias("part")
-    drawn = seen.select("lang", by_hash.alias("h"), part).where(F.col("part").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
-    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= bounds.texts).select("lang", "rank", "part")
+    size = F.length("text")
+    # texts that could crowd out all others come last, the shorter before the longer
+    order = F.struct(F.when(size > bounds.chars // 8, size).otherwise(0).alias("late"), F.xxhash64("doc_id", "text").alias("h"))
+    drawn = seen.where(F.col("text").rlike(r"\p{L}")).select("lang", order.alias("order"), size.alias("size"), "text")
+    by_order = Window.partitionBy("lang").orderBy("order", "text")
+    first = drawn.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= bounds.texts)
+    total = F.sum("size").over(by_order.rowsBetween(Window.unboundedPreceding, 0))
+    sample = first.withColumn("total", total).where((F.col("total") <= bounds.chars) | (F.col("rank") == 1)).select("lang", "rank", "text")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        letters, base, cells = Automaton.made(" ".join(rows.sort_values("rank")["part"]))
+        letters, base, cells = Automaton.made(" ".join(rows.sort_values("rank")["text"]))
         return pd.DataFrame({"lang": rows["lang"][:1], "letters": [letters.tobytes()], "base": [base.tobytes()], "cells": [cells.tobytes()]})
 
     return kept(sample.groupBy("lang").applyInPandas(learn, MODEL))

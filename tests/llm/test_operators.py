@@ -384,7 +384,7 @@ def test_language_id_has_no_caps(spark, monkeypatch):
     rows = [(k, draw(lang, 150), lang) for k, lang in enumerate(lang for lang in letters for _ in range(6))]
     rows.append((10_000, draw("zh", 30_000), None))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    bounds = languages.Bounds(texts=4, chars=100)
+    bounds = languages.Bounds(texts=4, chars=1600)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in languages.identify(df, bounds).collect()}
     assert len({p for p, _ in got.values()}) == 70
     says = {d: lang for d, _, lang in rows} | {10_000: "zh"}
