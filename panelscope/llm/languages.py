@@ -25,10 +25,10 @@ UNKNOWN = "und"
 class Bounds:
     """The labelled sample: for each language `texts` whole texts at most, those of the least hash, as long as they have
     `chars` characters at most together; texts that don't fit are passed over for shorter ones, and if none does, the
-    shortest is taken. This bounds a language's model (to some 5 MB), not what it is applied to."""
+    shortest is taken. This bounds a language's model (to some 6 MB), not what it is applied to."""
 
-    texts: int = 64
-    chars: int = 120_000
+    texts: int = 200
+    chars: int = 160_000
 
 
 #: Characters between the places from which a text is parsed side by side; it changes nothing in the result.
@@ -255,8 +255,8 @@ def train(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     non-null lang of the rows that aren't held out; the sample is found by a partial top-k."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     size = F.length("text")
-    # texts that could crowd out all others come last, the shorter before the longer
-    order = F.struct(F.when(size > bounds.chars // 8, size).otherwise(0).alias("late"), F.xxhash64("doc_id", "text").alias("h"))
+    # texts of over twice the length that would let all fit come last, the shorter before the longer
+    order = F.struct(F.when(size > 2 * bounds.chars // bounds.texts, size).otherwise(0).alias("late"), F.xxhash64("doc_id", "text").alias("h"))
     drawn = seen.where(F.col("text").rlike(r"\p{L}")).select("lang", order.alias("order"), size.alias("size"), "text")
     by_order = Window.partitionBy("lang").orderBy("order", "text")
     first = drawn.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= bounds.texts)
