@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def changes_of(xs: Column, hazard: float = 1 / 250, prior: float = 2.0, least: float = 1e-4) -> Column:
+def changes_of(xs: Column, hazard: float = 1 / 250, prior: float = 2.0, least: float = 1e-3) -> Column:
     """array<struct<t, began>> from (t, x) in order: at t the likeliest run became one that began later. prior: deviation of
     runs' means around 0. least: the mass under which a run is dropped."""
     once = lambda value, f: F.transform(F.array(value), f)[0]
@@ -51,7 +51,7 @@ def changes_of(xs: Column, hazard: float = 1 / 250, prior: float = 2.0, least: f
     return F.aggregate(xs, none, step, lambda s: s["found"])
 
 
-def detect_bayes(values: DataFrame, value: str = "z", hazard: float = 1 / 250, prior: float = 2.0, least: float = 1e-4) -> DataFrame:
+def detect_bayes(values: DataFrame, value: str = "z", hazard: float = 1 / 250, prior: float = 2.0, least: float = 1e-3) -> DataFrame:
     """(ticker, t, began) of values (ticker, t, <value>), whose deviation around their mean is about one. Nulls and NaN are
     passed over, and so are runs' ends in them. A ticker's values are gathered in order; what is carried from row to row
     has as many runs as hold a mass of `least` or more."""

@@ -367,7 +367,7 @@ bs AS (
   UNION ALL
   SELECT ticker, k, t, runs, before, list_max(list_transform(runs, lambda r: {'mass': r.mass, 'n': r.n})).n AS best FROM (
     SELECT ticker, k, t, before, list_concat([{'n': CAST(0 AS INTEGER), 's': CAST(0 AS DOUBLE), 'mass': CAST(1 AS DOUBLE) / 250}],
-        list_filter(list_transform(w, lambda r: {'n': CAST(r.n + 1 AS INTEGER), 's': r.s + z, 'mass': coalesce(r.mass / nullif(total, 0), 0) * (1 - CAST(1 AS DOUBLE) / 250)}), lambda r: r.mass >= 1e-4)) AS runs
+        list_filter(list_transform(w, lambda r: {'n': CAST(r.n + 1 AS INTEGER), 's': r.s + z, 'mass': coalesce(r.mass / nullif(total, 0), 0) * (1 - CAST(1 AS DOUBLE) / 250)}), lambda r: r.mass >= 1e-3)) AS runs
     FROM (SELECT *, list_sum(list_transform(w, lambda r: r.mass)) AS total FROM (
       SELECT b.ticker, y.k, y.t, y.z, b.best AS before, list_transform(b.runs, lambda r: {'n': r.n, 's': r.s,
           'mass': r.mass * exp(-pow(y.z - r.s / (0.25 + r.n), 2) / (2 * (1 + 1 / (0.25 + r.n)))) / sqrt(1 + 1 / (0.25 + r.n))}) AS w
