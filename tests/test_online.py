@@ -57,3 +57,14 @@ def test_nothing(spark):
     df = frame(spark, a=[1.0])
     assert online.detect_bayes(df.limit(0)).count() == 0 and online.detect_bayes(df).count() == 0
     assert online.detect_bayes(df.withColumn("z", F.lit(None).cast("double"))).count() == 0
+
+
+def test_many_series_in_step(spark):
+    """More series than are taken together, of all lengths; they go through batches of arrays, not row by row."""
+    rng = np.random.default_rng(3)
+    data = {f"s{k}": rng.normal(np.repeat(rng.normal(0, 2, 3), k // 5 + 1), 1) for k in range(300)}
+    made = online.detect_bayes(frame(spark, **data), hazard=0.02)
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.collect()
+    for k, x in data.items():
+        assert sorted((r["t"], r["began"]) for r in got if r["ticker"] == k) == by_loop(x, 0.02, 2.0, 1e-3)
