@@ -68,8 +68,9 @@ def detect_cusum(returns: DataFrame, ref_window: int = 60, threshold: float = 4.
     return to 0 within a block as a rule, and a detection outlives its cooldown, two or three rounds are enough, and only
     the blocks that begin otherwise are run again.
     """
-    z = detectors.zscores(returns, ref_window).where("z is not null").select("ticker", F.floor(F.col("t") / rows).alias("block"), F.struct(F.col("t").cast("int").alias("t"), "z").alias("x"))
-    blocks = cut(z.groupBy("ticker", "block").agg(F.array_sort(F.collect_list("x")).alias("zs")))
+    x = F.when(F.col("z").isNotNull(), F.struct(F.col("t").cast("int").alias("t"), "z"))
+    z = detectors.zscores(returns, ref_window).select("ticker", F.floor(F.col("t") / rows).alias("block"), x.alias("x"))
+    blocks = cut(z.groupBy("ticker", "block").agg(F.array_sort(F.collect_list("x")).alias("zs")).where(F.size("zs") > 0))
     fresh = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(-cooldown - 1).alias("last"))
     w = Window.partitionBy("ticker").orderBy("block")
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelscope.functions.stats import t_bounds, two_sided_p
 from panelscope.operators import comparison, detectors, events, features, rolling
 
 DAY = date(2020, 1, 1)
@@ -106,3 +107,31 @@ def test_comparison_reads_once(spark, tmp_path):
     dated = spark.createDataFrame([("e", DAY + timedelta(50))], "event string, event_date date")
     plan = comparison.compared(spark.read.parquet(str(tmp_path / "p")), dated)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(ticker") == 1
+
+
+def test_wide_windows_and_long_series_are_exact(spark):
+    """Windows past the longs' reach go by decimals, with the same digits; sums over long series don't overflow."""
+    rng = np.random.default_rng(4)
+    x = rng.choice([-1.0, 1.0], 150_000) * 1e6 + rng.normal(0, 1e-3, 150_000)
+    df = spark.createDataFrame(pd.DataFrame({"ticker": "a", "t": np.arange(len(x)), "r": x}), "ticker string, t int, r double")
+    windows = {"narrow": (rolling.NARROW, 1), "wide": (rolling.NARROW + 1, 1), "three": (3, 1)}
+    last = rolling.with_moments(rolling.with_running(df, "r", "ticker", "t"), windows, "ticker", "t").where(f"t = {len(x) - 1}").first()
+    for key, (first, _) in windows.items():
+        part = x[-first - 1 : -1]
+        assert last[f"{key}_mean"] == pytest.approx(part.mean(), abs=1e-6)
+        assert last[f"{key}_var"] == pytest.approx(part.var(ddof=1), rel=1e-12, abs=1e-9)
+
+
+def test_detectors_work_out_moments_once(spark):
+    """A filter on what is made of the moments would be put beneath them, with all that they are made of in it."""
+    r = spark.createDataFrame([("a", t, float(t % 7)) for t in range(99)], "ticker string, t int, r double")
+    for found in (detectors.jump_candidates(r, 10, 1.0), detectors.detect_ttest(r, 10, 0.3, 5), detectors.detect_cusum(r, 10)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Filter" in line and "_unit" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.05, 0.001])
+def test_bounds_of_t(alpha):
+    low, high = t_bounds(alpha, 19, 38)
+    assert two_sided_p(low, 38) > alpha > two_sided_p(low * (1 + 3e-6), 38)
+    assert two_sided_p(high, 19) < alpha < two_sided_p(high * (1 - 3e-6), 19)
