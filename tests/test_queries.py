@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from panelscope.plans import catalogue
+from panelscope.plans import catalogue, market
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,3 +36,12 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["date", "ticker", "price"]
+
+
+def test_tasks_grow_with_the_items(spark, monkeypatch):
+    """A task's rows stay as many as they are, however many there are in all; small tables leave the number to Spark."""
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    plan = lambda: market.panel(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan() and f", {-(-n // 100)}" not in plan()
+    monkeypatch.setattr(market, "ITEMS", 100)
+    assert market.panel(spark, SF).rdd.getNumPartitions() == -(-n // 100)
