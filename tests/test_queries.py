@@ -38,6 +38,10 @@ def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["date", "ticker", "price"]
 
 
+def test_ttest_has_detections(spark):
+    assert entry.queries()["detect_ttest"](spark, "/root/testdata/sf0.01").count() == 1192
+
+
 def test_tasks_grow_with_the_items(spark, monkeypatch):
     """A task's rows stay as many as they are, however many there are in all; small tables leave the number to Spark."""
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
