@@ -554,6 +554,27 @@ def test_decontamination(spark):
         assert got == Counter(planted.items()) + Counter({(202, 0): 2})
 
 
+def test_decontamination_judges_few_candidates(monkeypatch):
+    """Most candidates lack the item's rarest words, which is found for a whole batch at once; what is found stays the same."""
+    rng = np.random.default_rng(3)
+    word = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(word, 20)) + f" answer{k} place{k} year{k}") for k in range(40)]
+    texts = [None, "", *(" ".join([*rng.choice(word, n), *(rows[k][1].split() if k % 4 == 0 else []), *rng.choice(word, 30)]) for k, n in enumerate(rng.integers(0, 200, 40)))]
+    s = decontamination.Settings(cosine=0.0)
+    space = rng.standard_normal((s.features + 1, s.rank + 1)).astype(np.float32)
+    space[:, -1] = (space[:, :-1] ** 2).sum(1)
+    space[-1] = 0
+    seen = Counter(w for t in texts for w in set(decontamination.tokens(t).tolist()))
+    items = decontamination.Items.of(rows, seen, space, s)
+    judged = []
+    monkeypatch.setattr(decontamination, "sorted", lambda x, key: judged.append(len(x := list(x))) or sorted(x, key=key), raising=False)
+    got = items.leaks(texts, space, s)
+    few = sum(judged)
+    monkeypatch.setattr(decontamination, "PLACES", -1)
+    assert items.leaks(texts, space, s) == got and {d["item_id"] for x in got for d in x} == set(range(0, 40, 4))
+    assert 0 < few < (sum(judged) - few) / 10
+
+
 def test_decontamination_finds_paraphrases_of_many_items(spark):
     """900 items in one space of 96 dimensions, looked up in cells: of paraphrases that pass the checks nine in ten are found,
     and so are a frequent text's many copies, which count once in the fit."""
