@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -57,6 +57,8 @@ NEAR = SimHash(shingle=5, width=768, segments=32, distance=148, wildcards=6, sim
 PAIRS = 32
 #: Columns of a signature's first words, which travel with its variants.
 SKETCH = ("s0", "s1")
+#: The same where only buckets of several components are compared, and many of them may hold the same signatures.
+WIDE = tuple(f"s{k}" for k in range(6))
 #: Signatures in a block of a crowded bucket, about; blocks are compared two by two.
 BLOCK = 1024
 SEED = 42
@@ -215,16 +217,15 @@ def _cliques(hot: DataFrame, p: SimHash) -> DataFrame:
     return one.join(least, ["mask", "rest"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _near_sketches(rows: pd.DataFrame, most: int) -> np.ndarray:
-    """Which of the rows, in order of (key, i, j), have one of another root, of another side in a wildcard's bucket, and of
-    another block between blocks, in their group whose sketch differs in at most `most` bits."""
+def _near_sketches(rows: pd.DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, apart): places of rows, in order of (key, i, j), of one group whose sketches differ in at most `most` bits, and
+    by how many; they are of different roots, of different sides in a wildcard's bucket, and of different blocks between blocks."""
     keys = rows[["key", "i", "j"]].to_numpy()
     root, block, side = (rows[c].to_numpy() for c in ("root", "block", "side"))
-    inner, sketch = keys[:, 1] == keys[:, 2], rows[list(SKETCH)].to_numpy().view(np.uint64)
+    inner, sketch = keys[:, 1] == keys[:, 2], rows[list(WIDE)].to_numpy().view(np.uint64)
     first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
     end = np.repeat(np.r_[first[1:], len(rows)], np.diff(np.r_[first, len(rows)]))
     after = end - np.arange(len(rows)) - 1
-    out = np.zeros(len(rows), bool)
     pairs = np.cumsum(after)
     for k in range(0, int(pairs[-1]) if len(pairs) else 0, 1 << 21):
         low, high = np.searchsorted(pairs, [k, k + (1 << 21)], side="right")
@@ -233,29 +234,43 @@ def _near_sketches(rows: pd.DataFrame, most: int) -> np.ndarray:
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[run]) - after[run], after[run])
         use = (root[a] != root[b]) & ((side[a] < 0) | (side[a] != side[b])) & (inner[a] | (block[a] != block[b]))
         a, b = a[use], b[use]
-        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= most
-        out[a[near]] = out[b[near]] = True
-    return out
+        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+        near = apart <= most
+        yield a[near], b[near], apart[near]
 
 
-def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
-    """Verified links between different components (root) in the buckets of the nodes, enough to join all that a pair of
-    any bucket joins. Buckets of a single component have nothing to add; in others every member is compared with all
-    of other components, block by block: first by some bits of the signatures, which travel with the variants, and what
-    may be near by that in whole."""
+def _of_near(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The rows that are near another one, without sketches."""
+    out = np.zeros(len(rows), bool)
+    for a, b, _ in _near_sketches(rows, most):
+        out[a] = out[b] = True
+    return rows[out].drop(columns=list(WIDE))
+
+
+def _nearest(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """(node, apart, u): for each node the one of the least sketch's distance among those that it is near in any group."""
+    node, found = rows["node"].to_numpy(), [pd.DataFrame({"node": [], "apart": [], "u": []}, dtype=np.int64)]
+    for a, b, apart in _near_sketches(rows, most):
+        each = pd.DataFrame({"node": node[np.r_[a, b]], "apart": np.r_[apart, apart], "u": node[np.r_[b, a]]})
+        found.append(each.sort_values(["node", "apart", "u"]).drop_duplicates("node"))
+    return pd.concat(found).sort_values(["node", "apart", "u"]).drop_duplicates("node")
+
+
+def _met(named: DataFrame, p: SimHash, what: Callable[[pd.DataFrame, int], pd.DataFrame], schema: str) -> DataFrame:
+    """what() of the nodes in the buckets that hold several components (root), block by block: by some bits of the signatures,
+    which travel with the variants."""
     of = Window.partitionBy("key")
-    sketched = _sketched(named, p)
-    seen = variants(sketched, p, ("root", *SKETCH)).select("*", F.min("root").over(of).alias("lo"), F.max("root").over(of).alias("hi"), F.count("*").over(of).alias("n"), F.min("side").over(of).alias("one"), F.max("side").over(of).alias("two"))
+    seen = variants(_sketched(named, p, WIDE), p, ("root", *WIDE)).select("*", F.min("root").over(of).alias("lo"), F.max("root").over(of).alias("hi"), F.count("*").over(of).alias("n"), F.min("side").over(of).alias("one"), F.max("side").over(of).alias("two"))
     rest = kept(seen.where("lo < hi and (side < 0 or one < two)").drop("lo", "hi", "one", "two"))
     blocks = F.ceil(F.col("n") / BLOCK)
     zero = F.lit(0).cast("long")
     alone = rest.where(F.col("n") <= BLOCK).withColumn("block", zero).withColumn("other", zero)
     several = rest.where(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
     dealt = alone.unionByName(several.withColumn("other", F.explode(F.sequence(zero, blocks - 1))))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "side", "node", "root", *SKETCH)
-    most = _most(p)
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "side", "node", "root", *WIDE)
+    most = _most(p, WIDE)
 
-    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -264,12 +279,35 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
             # the last group may go on in the next batch
             open_ = (rows[["key", "i", "j"]].to_numpy() == rows[["key", "i", "j"]].to_numpy()[-1]).all(1)
             held, rows = rows[open_], rows[~open_]
-            yield rows[_near_sketches(rows, most)].drop(columns=list(SKETCH))
+            yield what(rows, most)
         if held is not None:
-            yield held[_near_sketches(held, most)].drop(columns=list(SKETCH))
+            yield what(held, most)
+
+    groups = ["key", "i", "j"]
+    return dealt.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(run, schema)
+
+
+def _joined_nearest(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
+    """named with the roots after each node is compared with the nearest of another component that it shares a bucket with,
+    so that few are left to be compared with all."""
+    near = _met(named, p, _nearest, "node long, apart long, u long").groupBy("node").agg(F.min(F.struct("apart", "u")).alias("best"))
+    pairs = near.select(F.least("node", "best.u").alias("u"), F.greatest("node", "best.u").alias("v")).distinct()
+    own = named.select(F.col("node").alias("node"), "root")
+    alike = similar(pairs, sets, p.similarity)
+    for x in "uv":
+        alike = alike.join(own.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x)
+    roots = kept(connected_components(alike.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))))
+    top = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return named.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
 
+def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
+    """Verified links between different components (root) in the buckets of the nodes, enough to join all that a pair of
+    any bucket joins. Buckets of a single component have nothing to add; in others every member is compared with all
+    of other components, block by block: first by some bits of the signatures, which travel with the variants, and what
+    may be near by that in whole."""
+    near = _met(named, p, _of_near, "key long, i long, j long, block long, side byte, node long, root long")
     groups = ["key", "i", "j"]
-    near = dealt.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(sieve, "key long, i long, j long, block long, side byte, node long, root long")
     held = named.select("node", "sig").join(sets.select("node", "shingles"), "node") if p.similarity else named.select("node", "sig", F.lit(b"").alias("shingles"))
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
@@ -291,16 +329,16 @@ def _across(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     return linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _most(p: SimHash) -> int:
+def _most(p: SimHash, names: tuple[str, ...] = SKETCH) -> int:
     """Bits in which the sketches of signatures within the distance can differ: three deviations over what those at the
     greatest distance differ by."""
-    words, share = min(len(SKETCH), p.width // 64), p.distance / p.width
-    return math.ceil((len(SKETCH) / words) * (64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share))))
+    words, share = min(len(names), p.width // 64), p.distance / p.width
+    return math.ceil((len(names) / words) * (64 * words * share + 3 * math.sqrt(64 * words * share * (1 - share))))
 
 
-def _sketched(nodes: DataFrame, p: SimHash) -> DataFrame:
-    words = min(len(SKETCH), p.width // 64)
-    return nodes.select("*", *[F.col("sig")[k % words].alias(c) for k, c in enumerate(SKETCH)])
+def _sketched(nodes: DataFrame, p: SimHash, names: tuple[str, ...] = SKETCH) -> DataFrame:
+    words = min(len(names), p.width // 64)
+    return nodes.select("*", *[F.col("sig")[k % words].alias(c) for k, c in enumerate(names)])
 
 
 def _stars(nodes: DataFrame, p: SimHash) -> DataFrame:
@@ -337,8 +375,10 @@ def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
         first = best.join(left, "u").join(right, "v").where(differ <= p.distance).select("u", "v")
     roots = kept(connected_components(first))
     named = kept(known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # the roots say all that the first links do
-    return roots.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v").union(_across(named, sets, p))
+    if p.similarity:
+        named = kept(_joined_nearest(named, sets, p))
+    # the roots say all that the links so far do
+    return named.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v").union(_across(named, sets, p))
 
 
 def links(nodes: DataFrame, p: SimHash, docs: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -530,6 +531,27 @@ def test_distance():
     assert quality.distance(np.array([1.0, 0]), np.array([0.0, 1])) == pytest.approx(1)
 
 
+def test_nearest_of_other_components():
+    """Of each node the nearest one of another component, in any bucket, by brute force; a bucket's sides and blocks count."""
+    rng = np.random.default_rng(9)
+    n, words = 60, len(simhash.WIDE)
+    sketch = np.repeat(rng.integers(0, 1 << 62, (6, words)), 10, axis=0)
+    sketch ^= np.left_shift(1, rng.integers(0, 62, (n, words)))
+    root = np.repeat(np.arange(12), 5)
+    rows = pd.DataFrame([(key, 0, 0, 0, side if key else -1, node, root[node], *sketch[node]) for key in range(3) for node, side in enumerate(rng.integers(0, 2, n)) if rng.random() < 0.7 or not key], columns=["key", "i", "j", "block", "side", "node", "root", *simhash.WIDE])
+    best = {}
+    for key in range(3):
+        held = rows[rows["key"] == key]
+        for a, x in zip(held["node"], held["side"]):
+            for b, y in zip(held["node"], held["side"]):
+                if root[a] != root[b] and (x < 0 or x != y) and (apart := int(np.bitwise_count(sketch[a] ^ sketch[b]).sum())) <= 97:
+                    best[a] = min(best.get(a, (999, 0)), (apart, b))
+    got = {r.node: (r.apart, r.u) for r in simhash._nearest(rows, 97).itertuples()}
+    assert len(best) == n and got == best
+    assert set(simhash._of_near(rows[rows["key"] == 0], 97)["node"]) == set(range(n))
+    assert not len(simhash._nearest(rows.assign(root=0), 97)) and not len(simhash._of_near(rows[:0], 97))
+
+
 def test_decontamination(spark):
     rng = random.Random(11)
     items = [" ".join(rng.choices(VOCABULARY, k=30)) for _ in range(12)]
