@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelscope.functions.stats import clipped, exchange_of, half_even, severity, sigmoid, student_t_two_sided, t_angle
-from panelscope.operators import backtest, benchmarks, coverage, detectors, events, features, gaussian, momentum, panel, scan
+from panelscope.operators import backtest, benchmarks, comparison, coverage, detectors, events, features, gaussian, momentum, panel, scan
 from panelscope.sources import prices
 
 DAY = date(2020, 1, 1)
@@ -388,3 +388,15 @@ def test_finalize_and_rebase(spark):
     assert panel.finalize(p.withColumn("extra", F.lit(1))).columns == ["date", "ticker", "price"]
     near(column(benchmarks.rebased_first_valid(p), "level", "ticker", "date"), [100, 200, 100])
     assert panel.normalised(p.withColumn("price", F.lit(float("nan")))).count() == 0
+
+
+def test_generated_code_of_the_comparison_is_short_enough_to_be_compiled(spark):
+    """The JVM compiles no method of over 8000 bytes, and such a one takes several times as long."""
+    panel = spark.createDataFrame([("A", "2020-01-01", 1.0)], "ticker string, date string, price double").withColumn("date", F.col("date").cast("date"))
+    listed = spark.createDataFrame([("e", "2020-01-01")], "event string, event_date string").withColumn("event_date", F.col("event_date").cast("date"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = comparison.compared(panel, listed)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
