@@ -296,7 +296,7 @@ def _joined_nearest(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     alike = similar(pairs, sets, p.similarity)
     for x in "uv":
         alike = alike.join(own.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x)
-    roots = kept(connected_components(alike.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))))
+    roots = connected_components(alike.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
     top = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
     return named.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
@@ -373,7 +373,7 @@ def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
         left, right = (known.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
         differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
         first = best.join(left, "u").join(right, "v").where(differ <= p.distance).select("u", "v")
-    roots = kept(connected_components(first))
+    roots = connected_components(first)
     named = kept(known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     if p.similarity:
         named = kept(_joined_nearest(named, sets, p))

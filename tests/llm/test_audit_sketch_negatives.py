@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.llm import audit, linking, negatives, setsketch
+from panelscope.llm import audit, components, linking, negatives, setsketch
 from panelscope.llm.simhash import shingle_set
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -222,3 +222,12 @@ def test_bounds_hold_whatever_the_codes():
     assert (np.abs(exact - guess) <= off).all() and np.abs(exact - guess).max() > 0
     large = np.full((3, 10), 1 << 27)
     assert (negatives.products(large, large) == 10 << 54).all()
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Rounds end once stars are left, without one more that only confirms it."""
+    rounds, large_star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or large_star(edges))
+    found = lambda edges: {tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found([(2, 1), (1, 3), (9, 8)]) == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)} and not rounds
+    assert found([(1, 2), (2, 3)]) == {(1, 1), (2, 1), (3, 1)} and len(rounds) == 1
