@@ -33,8 +33,8 @@ def _are_stars(edges: DataFrame) -> bool:
     return (each.agg(F.max("n")).first()[0] or 0) <= 1
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v), with the least node of its component as root.
+def roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (u, v) but the roots themselves, with the least node of its component as root.
 
     Self-loops and nulls are ignored; an empty edge table gives an empty result. Each round is a
     grouping and a join on node keys, and is written to the shared folder; rounds grow with the
@@ -45,4 +45,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = kept(edges)
     while not _are_stars(edges):
         edges = kept(_small_star(_large_star(edges)))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """roots(), and a row for each root."""
+    found = roots(edges)
+    return found.union(found.select("root", "root").distinct())

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.llm.common import kept, mixed
-from panelscope.llm.components import connected_components
+from panelscope.llm.components import roots
 
 
 @dataclass(frozen=True)
@@ -151,9 +151,9 @@ def fingerprints(docs: DataFrame, p: SimHash) -> DataFrame:
     return out.select("doc_id", "k1", "k2", node.alias("node"), "sig", "at")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: SimHash) -> DataFrame:
-    """(node, shingles binary) of the wanted nodes, from one text of each."""
-    of = nodes.join(wanted, "node", "left_semi").select("node", "least.k1", "least.k2")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, p: SimHash) -> DataFrame:
+    """(node, shingles binary) of the nodes, from one text of each."""
+    of = nodes.select("node", "least.k1", "least.k2")
     texts = docs.select("text", *text_key()).join(of, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +165,14 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: SimHas
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least that similarity."""
+    """The pairs (u, v, ...) whose shingle sets have at least that similarity."""
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=float)
 
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
-    return pairs.select("u", "v").join(left, "u").join(right, "v").where(alike("set_u", "set_v") >= least).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(alike("set_u", "set_v") >= least).select(pairs.columns)
 
 
 def sided_keys(words: np.ndarray, at: np.ndarray, p: SimHash) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +248,13 @@ def _of_near(rows: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def _nearest(rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    """(node, apart, u): for each node the one of the least sketch's distance among those that it is near in any group."""
-    node, found = rows["node"].to_numpy(), [pd.DataFrame({"node": [], "apart": [], "u": []}, dtype=np.int64)]
+    """(node, apart, u, root, root_u): for each node the one of the least sketch's distance among those that it is near in any
+    group, and the roots of both."""
+    node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+    found = [pd.DataFrame({c: [] for c in ("node", "apart", "u", "root", "root_u")}, dtype=np.int64)]
     for a, b, apart in _near_sketches(rows, most):
-        each = pd.DataFrame({"node": node[np.r_[a, b]], "apart": np.r_[apart, apart], "u": node[np.r_[b, a]]})
+        a, b = np.r_[a, b], np.r_[b, a]
+        each = pd.DataFrame({"node": node[a], "apart": np.r_[apart, apart], "u": node[b], "root": root[a], "root_u": root[b]})
         found.append(each.sort_values(["node", "apart", "u"]).drop_duplicates("node"))
     return pd.concat(found).sort_values(["node", "apart", "u"]).drop_duplicates("node")
 
@@ -290,14 +293,12 @@ def _met(named: DataFrame, p: SimHash, what: Callable[[pd.DataFrame, int], pd.Da
 def _joined_nearest(named: DataFrame, sets: DataFrame, p: SimHash) -> DataFrame:
     """named with the roots after each node is compared with the nearest of another component that it shares a bucket with,
     so that few are left to be compared with all."""
-    near = _met(named, p, _nearest, "node long, apart long, u long").groupBy("node").agg(F.min(F.struct("apart", "u")).alias("best"))
-    pairs = near.select(F.least("node", "best.u").alias("u"), F.greatest("node", "best.u").alias("v")).distinct()
-    own = named.select(F.col("node").alias("node"), "root")
+    near = _met(named, p, _nearest, "node long, apart long, u long, root long, root_u long").groupBy("node").agg(F.min(F.struct("apart", "u", "root", "root_u")).alias("best"))
+    # which of a pair comes first says which root does, so that a pair met from both ends is one row
+    ends = F.array_sort(F.array(F.struct("node", "best.root"), F.struct(F.col("best.u").alias("node"), F.col("best.root_u").alias("root"))))
+    pairs = near.select(ends.alias("end")).select(*[F.col("end")[k][c].alias(name) for k, x in enumerate("uv") for c, name in (("node", x), ("root", f"root_{x}"))]).distinct()
     alike = similar(pairs, sets, p.similarity)
-    for x in "uv":
-        alike = alike.join(own.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x)
-    roots = connected_components(alike.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
-    top = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    top = roots(alike.select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return named.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
@@ -364,8 +365,8 @@ def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
     stars = kept(_stars(nodes, p))
     # nodes that share no bucket have nothing to be compared with
     members = stars.select("node").distinct()
-    known = kept(nodes.select("node", "sig", "at").join(members, "node", "left_semi"))
-    sets = kept(shingle_sets(docs, nodes, members, p)) if p.similarity else known
+    known = kept(nodes.join(members, "node", "left_semi"))
+    sets = kept(shingle_sets(docs, known, p)) if p.similarity else known
     best = stars.where("u is not null").groupBy("node").agg(F.max(F.struct("times", "u")).alias("best")).select("best.u", F.col("node").alias("v"))
     if p.similarity:
         first = similar(best, sets, p.similarity)
@@ -373,8 +374,7 @@ def _linked(nodes: DataFrame, p: SimHash, docs: DataFrame | None) -> DataFrame:
         left, right = (known.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "uv")
         differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
         first = best.join(left, "u").join(right, "v").where(differ <= p.distance).select("u", "v")
-    roots = connected_components(first)
-    named = kept(known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = kept(known.select("node", "sig", "at").join(roots(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
     if p.similarity:
         named = kept(_joined_nearest(named, sets, p))
     # the roots say all that the links so far do
@@ -404,8 +404,8 @@ def _components(docs: DataFrame, p: SimHash) -> tuple[DataFrame, DataFrame]:
     fps = kept(fingerprints(docs, p))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("least")
     nodes = kept(fps.groupBy("node").agg(first, F.first("sig").alias("sig"), F.first("at").alias("at")))
-    roots = connected_components(links(nodes, p, docs))
-    return fps, nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = roots(links(nodes, p, docs))
+    return fps, nodes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, p: SimHash = CONTRACT) -> DataFrame:

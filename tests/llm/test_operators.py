@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelscope.llm import decontamination, extraction, languages, mixing, passages, quality, resampling, simhash, suffixes, urls
+from panelscope.llm import components, decontamination, extraction, languages, mixing, passages, quality, resampling, simhash, suffixes, urls
 from panelscope.llm.components import connected_components
 
 random.seed(1)
@@ -552,6 +552,28 @@ def test_nearest_of_other_components():
     assert not len(simhash._nearest(rows.assign(root=0), 97)) and not len(simhash._of_near(rows[:0], 97))
 
 
+def test_near_duplicates_spare_the_driver_exchanges(spark):
+    """Roots travel with the pairs of nearest nodes, and what has links is looked up once: every exchange is a job, with its
+    threads and events, in the driver's memory."""
+    spark.sparkContext.setJobGroup("near", "near duplicates")
+    try:
+        assert simhash.representatives(table(spark), simhash.NEAR).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) <= 90
+
+
+def test_nearest_nodes_bring_both_roots():
+    sketch = dict.fromkeys(simhash.WIDE, 0)
+    rows = pd.DataFrame([{"key": 0, "i": 0, "j": 0, "block": 0, "side": -1, "node": node, "root": root} | sketch for node, root in ((5, 1), (6, 2), (7, 2))])
+    assert simhash._nearest(rows, 97)[["node", "u", "root", "root_u"]].to_numpy().tolist() == [[5, 6, 1, 2], [6, 5, 2, 1], [7, 5, 2, 1]]
+
+
+def test_roots_leave_themselves_out(spark):
+    got = components.roots(spark.createDataFrame([(3, 2), (2, 1), (9, 8), (4, 4)], "u long, v long"))
+    assert {tuple(r) for r in got.collect()} == {(2, 1), (3, 1), (9, 8)}
+
+
 def test_decontamination(spark):
     rng = random.Random(11)
     items = [" ".join(rng.choices(VOCABULARY, k=30)) for _ in range(12)]
